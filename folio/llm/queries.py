@@ -6,7 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import read
+from folio.llm.decontamination import find_contamination
+from folio.llm.mixing import mix
+from folio.llm.ngram_jaccard import ngram_jaccard
+from folio.llm.quality_rules import quality_rules
 from folio.llm.substring_dedup import substring_dedup
+from folio.llm.token_ids import crc32, read_token_ids, write_token_ids
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in names])
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +45,67 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.c, 0) AS B
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_ids(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return read_token_ids(files).select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=13)
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrase AS (SELECT item, least(len(w), 13) AS k, md5(array_to_string(w[s:s + least(len(w), 13) - 1], ' ')) AS h
+           FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT k FROM phrase),
+hit AS (SELECT doc_id, s, k, item FROM (
+          SELECT doc_id, s, k, md5(array_to_string(w[s:s + k - 1], ' ')) AS h
+          FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS s FROM d, lens)) JOIN phrase USING (k, h)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS signs,
+                  md5(CASE WHEN doc_id IS NULL THEN '' ELSE CAST(doc_id AS VARCHAR) || '|' END || coalesce(text, '')) AS h FROM documents),
+k AS (SELECT doc_id, source, size, h, CASE WHEN size > 0 THEN -ln((CAST(('0x' || h[1:13]) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (size::DOUBLE / (size + signs)) END AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT source, n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS wt FROM s),
+l AS (SELECT source, n, wt, n / wt::DOUBLE AS r,
+             (sum(n) OVER () - 3 * coalesce(sum(n) OVER (ORDER BY n / wt::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(wt) OVER (ORDER BY n / wt::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
+f AS (SELECT arg_min(level, r) AS level FROM l WHERE 3 * n > level * wt),
+t AS (SELECT l.source, n, CASE WHEN 3 * n <= l.level * wt THEN (3 * n)::DOUBLE ELSE f.level * wt END AS target FROM l LEFT JOIN f ON true),
+e AS (SELECT source, n, target, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS epochs, target - CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END * n AS rest FROM t),
+o AS (SELECT k.*, e.n, e.target, e.epochs, e.rest, sum(size) OVER (PARTITION BY k.source ORDER BY key NULLS LAST, h ROWS UNBOUNDED PRECEDING) AS run FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN size > 0 THEN (epochs + CASE WHEN 2 * run - size <= 2 * rest THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken FROM o
+"""
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op9_token_ids": op9_token_ids,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLES = {
+    "op4_source_mixing": OP4_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
     "op7_substring_dedup": OP7_SQL,
 }
