@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import read
 from folio.llm.decontamination import find_contamination
+from folio.llm.html_text import html_text
 from folio.llm.mixing import mix
 from folio.llm.ngram_jaccard import ngram_jaccard
 from folio.llm.quality_rules import quality_rules
 from folio.llm.substring_dedup import substring_dedup
 from folio.llm.token_ids import crc32, read_token_ids, write_token_ids
+from folio.llm.toxicity import score, train
+from folio.llm.warc import read_warc, write_warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,42 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in names])
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    labels = read(spark, sf_dir, "labels").where(fold != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # of the rows for learning those with remainder 3 are for the logistic function
+    trained = train(docs.join(labels, "doc_id").withColumn("fold", fold), calibrate=F.col("fold") == 3)
+    out = score(docs, trained)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_warc(spark, write_warc(read(spark, sf_dir, "pages"), least=100))
+    number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1)
+    whole = F.col("record_type") == "response"
+    return records.select(
+        number("record_id").try_cast("long").alias("page_id"),
+        F.when(whole, F.octet_length("payload")).otherwise(F.col("http_length")).cast("long").alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.regexp_extract("payload_digest", "sha256:([0-9a-f]+)", 1)).alias("payload_digest"),
+        "record_type",
+        F.when(~whole, number("refers_to").try_cast("long")).alias("refers_to"),
+    )
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d, n >= 100) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM f
+"""
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -97,7 +136,10 @@ SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN size > 0 THEN (epo
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_source_mixing": op4_source_mixing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_token_ids": op9_token_ids,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
@@ -105,6 +147,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc": OP3_SQL,
     "op4_source_mixing": OP4_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
     "op7_substring_dedup": OP7_SQL,
