@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import read
 from folio.llm.decontamination import find_contamination
 from folio.llm.html_text import html_text
+from folio.llm.line_dedup import line_dedup
 from folio.llm.mixing import mix
 from folio.llm.ngram_jaccard import ngram_jaccard
 from folio.llm.quality_rules import quality_rules
@@ -72,6 +73,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, s, md5(array_to_string(w[s:s+34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS s FROM d)),
@@ -141,9 +147,10 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_html_extraction": op5_html_extraction,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
-    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLES = {
