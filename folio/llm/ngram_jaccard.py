@@ -9,15 +9,18 @@ Equal sets are one node from the start. Then, by set size:
 * Light sets: for each size a partner can have, all subsets of the one size that
   a link needs in common are enumerated as keys. Sets of the two sizes under one
   key are linked; no pair is formed, each is tied to the smallest of the others.
-* Heavy sets: the inverted lists of the set's prefix (its rarest n-grams, as
-  many as a link cannot miss entirely) are scanned. A list is not paired with
-  itself: it has one leader, the set most connected over all lists, and every
-  member keeps only its difference to the leader. Two members' difference
-  follows from theirs, and two members that share nothing of theirs link only if
-  both link with the leader. So the members of a list are joined again on the
-  rare n-grams of their differences, with length and position filters, and each
-  candidate is verified exactly. A group of near copies costs its differences,
-  not its pairs.
+* Heavy sets: the inverted lists of the set's prefix are scanned. A prefix of
+  twice the usual length is taken by hash order, of which linked sets share as
+  many n-grams as the usual one has. So a set with fewer repeated n-grams there
+  has no link and goes, twice over; of the others' lists as many of the longest
+  can be passed over, exactly as if all n-grams had been ordered by frequency.
+  A list is not paired with itself: it has one leader, the set most connected
+  over all lists, and every member keeps only its difference to the leader. Two
+  members' difference follows from theirs, and two members that share nothing of
+  theirs link only if both link with the leader. So the members of a list are
+  joined again on the prefixes of their differences, with length and position
+  filters, and each candidate is verified exactly. A group of near copies costs
+  its differences, not its pairs.
 * The boundary between the two is the size with the least total cost: keys to
   enumerate below, prefixes to list and sets to fetch above.
 
@@ -35,12 +38,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import LOWER, Spans, components, keyed, mixed, runs, same_row, signed, written
+from folio.llm.common import LOWER, Spans, components, keyed, mixed, runs, signed, written
 
-#: N-grams whose document frequency may be put in order, of one batch and of all; the rest count as rare. Only speed depends on them.
-_FREQUENT_OF_BATCH, _FREQUENT = 4096, 1 << 16
 #: Largest set size for which subsets may be enumerated.
 _LIGHTEST = 64
 
@@ -61,19 +63,6 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + k, np.zeros(0, np.uint64)
 
 
-def _frequent(n: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for _, s in _sets(batch.column("_text"), n)]
-            grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = np.flatnonzero(counts > 2)
-            if len(often) > _FREQUENT_OF_BATCH:
-                often = often[np.argpartition(counts[often], -_FREQUENT_OF_BATCH)[-_FREQUENT_OF_BATCH:]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(grams[often])), pa.array(counts[often])], ["gram", "n"])
-
-    return of
-
-
 class Rule:
     """Integer arithmetic of the threshold."""
 
@@ -103,30 +92,23 @@ class Rule:
         return min(range(1, _LIGHTEST + 2), key=cost)
 
 
-def _rank(grams: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Place in the global order: rare n-grams by hash, then the frequent ones by frequency."""
-    key = mixed(grams) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        known = frequent[at] == grams
-        key[known] = np.uint64(1 << 63) + order[at[known]]
-    return key
+def _rank(grams: np.ndarray) -> np.ndarray:
+    """Place in the global order."""
+    return mixed(grams)
 
 
-def _signatures(n: int, rule: Rule, shared):
+def _signatures(n: int, rule: Rule):
     """Size, 128-bit hash and prefix of each text's set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, order = shared.value
         for batch in batches:
             size, one, two, prefix = [], [], [], []
             for _, s in _sets(batch.column("_text"), n):
                 size.append(len(s))
                 one.append(int(mixed(s).sum(dtype=np.uint64)))
                 two.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                p = rule.prefix(len(s))
-                key = _rank(s, frequent, order)
-                prefix.append(s[np.argpartition(key, p - 1)[:p]] if 0 < p < len(s) else s)
+                p = 2 * rule.prefix(len(s)) - 1
+                prefix.append(s[np.argpartition(_rank(s), p - 1)[:p]] if 0 < p < len(s) else s)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(signed(np.concatenate(prefix))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_key"), pa.array(size, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), lists],
@@ -170,14 +152,13 @@ def _whole(n: int):
     return of
 
 
-def _differences(rule: Rule, shared):
-    """Each member against its leader: linked or not, what it has more and less, in the global order, and how much of that a join needs."""
+def _differences(rule: Rule):
+    """Each member against its leader: sizes of what it has more and of all differences, linked or not, and the prefix of them that a join needs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, order = shared.value
         up, down = rule.den + rule.num, rule.den - rule.num
         for batch in batches:
-            out = {k: [] for k in ("size", "more", "linked", "grams", "need")}
+            out = {k: [] for k in ("size", "more", "d", "linked", "grams")}
             for a, b in zip(batch.column("lead_grams").to_pylist(), batch.column("grams").to_pylist()):
                 lead, own = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
@@ -185,20 +166,30 @@ def _differences(rule: Rule, shared):
                 more = own[~common]
                 less = np.delete(lead, at[common])
                 d = len(more) + len(less)
-                linked = up * d <= down * (len(own) + len(lead))
-                more = more[np.argsort(_rank(more, frequent, order))]
-                less = less[np.argsort(_rank(less, frequent, order))]
                 most = down * (len(own) + len(own) * rule.den // rule.num + 1) // up
                 out["size"].append(len(own))
                 out["more"].append(len(more))
-                out["linked"].append(linked)
-                out["grams"].append(signed(np.concatenate([more, less])))
-                out["need"].append(min(d, most + 1))
+                out["d"].append(d)
+                out["linked"].append(up * d <= down * (len(own) + len(lead)))
+                ordered = np.concatenate([more[np.argsort(_rank(more))], less[np.argsort(_rank(less))]])
+                out["grams"].append(signed(ordered[: most + 1]))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out["grams"])]), pa.int32()), pa.array(np.concatenate(out["grams"])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lead"), batch.column("node"), pa.array(out["size"], pa.int64()), pa.array(out["more"], pa.int64()), pa.array(out["linked"]), lists, pa.array(out["need"], pa.int32())],
-                ["lead", "node", "size", "more", "linked", "grams", "need"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("node"), *(pa.array(out[k], pa.int64()) for k in ("size", "more", "d")), pa.array(out["linked"]), lists], ["lead", "node", "size", "more", "d", "linked", "grams"])
+
+    return of
+
+
+def _linked(rule: Rule):
+    """Of candidates those that link, by their whole sets."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a_grams").to_pylist(), batch.column("b_grams").to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(rule.den * common >= rule.num * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
     return of
 
@@ -208,16 +199,12 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, rule = df.sparkSession, Rule(num, den)
     docs = keyed(df, id_col, text_col)
     kind = docs.schema["_id"].dataType.simpleString()
-    top = docs.select("_text").mapInArrow(_frequent(n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(_FREQUENT).collect()
-    grams = np.array([r.gram for r in top], np.int64).view(np.uint64)
-    by = np.argsort(grams)
-    shared = spark.sparkContext.broadcast((grams[by], np.arange(len(top), 0, -1).astype(np.uint64)[by]))
-    sets = written(docs.mapInArrow(_signatures(n, rule, shared), f"_id {kind}, _key long, size long, s1 long, s2 long, prefix array<long>"), "sets")
+    sets = written(docs.mapInArrow(_signatures(n, rule), f"_id {kind}, _key long, size long, s1 long, s2 long, prefix array<long>"), "sets")
     nodes = sets.where("size > 0 and _id is not null").groupBy("s1", "s2", "size").agg(F.min(F.struct("_id", "_key")).alias("r"))
     nodes = written(nodes.select(F.col("r._id").alias("node"), F.col("r._key").alias("_key"), "size", "s1", "s2"), "nodes")
     sizes = {int(r["size"]): int(r["count"]) for r in nodes.where(F.col("size") <= _LIGHTEST).groupBy("size").count().collect()}
     edge = rule.boundary(sizes)
-    links = _light(docs, nodes.where(F.col("size") < edge), n, rule, kind).unionAll(_heavy(docs, sets, nodes.where(F.col("size") >= num * edge // den), n, rule, kind, shared))
+    links = _light(docs, nodes.where(F.col("size") < edge), n, rule, kind).unionAll(_heavy(docs, sets, nodes.where(F.col("size") >= num * edge // den), n, rule, kind))
     found = components(links, "a", "b")
     named = nodes.join(found, "node", "left").select("s1", "s2", "size", F.coalesce("component", "node").alias("c"))
     out = sets.join(named, ["s1", "s2", "size"], "left").select("_id", F.col("size").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("c", "_id")).alias("component_id"))
@@ -239,31 +226,45 @@ def _light(docs: DataFrame, nodes: DataFrame, n: int, rule: Rule, kind: str) ->
     return keys.join(lists, ["k1", "k2"]).select(F.col("node").alias("a"), partner.alias("b")).where("a <> b").distinct()
 
 
-def _heavy(docs: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, rule: Rule, kind: str, shared) -> DataFrame:
-    up, down = rule.den + rule.num, rule.den - rule.num
-    own = sets.join(nodes.select(F.col("node").alias("_id"), "_key"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+def _lists(own: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, node, size, m): the inverted lists that must be scanned, m their length over all sets that may have a link."""
+    # linked sets share this many n-grams of their prefixes: the usual prefix's length of the smallest partner
+    smallest = f"(({num} * size + {den - 1}) div {den})"
+    common = F.expr(f"{smallest} - ({num} * {smallest} + {den - 1}) div {den} + 1")
     lists = own.select(F.col("_id").alias("node"), "size", F.explode("prefix").alias("gram"))
-    lists = written(lists.join(lists.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram"), "lists")
+    for _ in range(2):
+        repeated = lists.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+        lists = written(lists.select("node", "size", "gram").join(repeated, "gram"), "lists")
+        enough = lists.groupBy("node", "size").agg(F.count("*").alias("c")).where(F.col("c") >= common).select("node", "c")
+        lists = lists.join(enough, "node")
+    place = F.row_number().over(W.partitionBy("node").orderBy("m", "gram"))  # within one set's prefix
+    lists = lists.withColumn("place", place).where(F.col("place") <= F.col("c") - common + 1)
+    return written(lists.select("gram", "node", "size", "m", "c"), "lists")
+
+
+def _heavy(docs: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, rule: Rule, kind: str) -> DataFrame:
+    num, den = rule.num, rule.den
+    up, down = den + num, den - num
+    own = sets.join(nodes.select(F.col("node").alias("_id"), "_key"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    lists = _lists(own, num, den)
     score = lists.groupBy("node").agg(F.sum("m").alias("score"))
     lists = lists.join(score, "node")
-    leaders = lists.groupBy("gram").agg(F.max(F.struct("score", "node", "size")).alias("lead")).select("gram", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size"))
+    leaders = lists.groupBy("gram").agg(F.max(F.struct("score", "node", "size")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("gram", "k", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size"))
     # a list of two has no other pair: there the sizes decide at once
-    near = (F.col("m") > 2) | ((F.col("size") * rule.den >= F.col("lead_size") * rule.num) & (F.col("lead_size") * rule.den >= F.col("size") * rule.num))
+    near = (F.col("k") > 2) | ((F.col("size") * den >= F.col("lead_size") * num) & (F.col("lead_size") * den >= F.col("size") * num))
     pairs = written(lists.join(leaders, "gram").where(F.col("node") != F.col("lead")).where(near).select("lead", "node").distinct(), "pairs")
     used = pairs.select("node").unionAll(pairs.select("lead")).distinct()
     grams = written(_texts(docs, nodes.join(used, "node", "left_semi")).mapInArrow(_whole(n), f"node {kind}, grams binary"), "grams")
-    lead = grams.select(F.col("node").alias("lead"), F.col("grams").alias("lead_grams"))
-    both = pairs.join(grams, "node").join(lead, "lead")
-    diff = written(both.mapInArrow(_differences(rule, shared), f"lead {kind}, node {kind}, size long, more long, linked boolean, grams array<long>, need int"), "differences")
+    side = lambda c: grams.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
+    both = pairs.join(grams, "node").join(side("lead"), "lead")
+    diff = written(both.mapInArrow(_differences(rule), f"lead {kind}, node {kind}, size long, more long, d long, linked boolean, grams array<long>"), "differences")
     direct = diff.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     # members that may link though they don't both link with their leader
     open_ = diff.groupBy("lead").agg(F.count("*").alias("k"), F.min("linked").alias("all")).where("k > 1 and not all").select("lead")
-    diff = diff.join(open_, "lead", "left_semi").withColumn("d", F.size("grams"))
-    posts = diff.select("lead", "node", "size", "more", "linked", "d", F.posexplode(F.slice("grams", F.lit(1), F.col("need"))).alias("pos", "gram"))
+    posts = diff.join(open_, "lead", "left_semi").select("lead", "node", "size", "more", "linked", "d", F.posexplode("grams").alias("pos", "gram"))
     x = posts.where("not linked").alias("x")
     y = posts.alias("y")
-    total = F.col("x.size") + F.col("y.size")
-    gap = F.floor(F.lit(down) * total / F.lit(up))  # largest difference of a link
+    gap = F.expr(f"({down} * (x.size + y.size)) div {up}")  # largest difference of a link
     more, less = F.col("x.more") + F.col("y.more"), F.abs((F.col("x.d") - F.col("x.more")) - (F.col("y.d") - F.col("y.more")))
     rest = F.least(F.col("x.d") - F.col("x.pos"), F.col("y.d") - F.col("y.pos"))
     first = (
@@ -271,14 +272,12 @@ def _heavy(docs: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, rule: Rul
         & (F.col("x.gram") == F.col("y.gram"))
         & (F.col("y.linked") | (F.col("x.node") < F.col("y.node")))
         & (F.col("x.node") != F.col("y.node"))
+        & (F.col("x.size") * den >= F.col("y.size") * num)
+        & (F.col("y.size") * den >= F.col("x.size") * num)
         & (2 * rest >= F.col("x.d") + F.col("y.d") - gap)
-        # the first n-gram in common is one that both lack: then they have nothing more in common
+        # if the first n-gram in common is one that both lack, they have nothing more in common
         & ((F.col("x.pos") < F.col("x.more")) | (more + less <= gap))
     )
-    tried = x.join(y, first).select(F.col("x.lead").alias("lead"), F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    tried = tried.groupBy("a", "b").agg(F.min("lead").alias("lead"))
-    side = lambda c: diff.select("lead", F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("grams").alias(f"{c}_grams"))
-    tried = tried.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"])
-    apart = F.size("a_grams") + F.size("b_grams") - 2 * F.size(F.array_intersect("a_grams", "b_grams"))
-    linked = tried.where(F.lit(up) * apart <= F.lit(down) * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+    tried = written(x.join(y, first).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "candidates")
+    linked = tried.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(rule), f"a {kind}, b {kind}")
     return direct.unionAll(linked)
