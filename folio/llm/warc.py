@@ -129,10 +129,6 @@ class WarcReader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
-def _line(f) -> bytes:
-    return f.readline()
-
-
 def _records(file, packed: bool, end: int | None):
     """(offset, headers, take, skip) of each record; take(n) reads on in its block, skip() passes over the rest of it."""
     stream = io.BufferedReader(_Raw(file), 1 << 16)
@@ -145,7 +141,7 @@ def _records(file, packed: bool, end: int | None):
         while first in (b"\r\n", b"\n"):
             offset += len(first)
             first = stream.readline()
-        if not first:
+        if not first or (end is not None and not packed and offset >= end):
             return
         if not first.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at {offset}")
@@ -262,7 +258,7 @@ def _write(folder: str, split: int, date: str, packed: bool):
                 for i, url, payload, digest, length, first in zip(*(c.slice(k, 256).to_pylist() for c in columns)):
                     if stream is None:
                         fs.create_dir(where, recursive=True)
-                        stream = fs.open_output_stream(f"{where}/{name}")
+                        stream = fs.open_output_stream(f"{where}/{name}", compression=None)
                     if at - splits[-1] >= split and not packed:
                         splits.append(at)
                     data = record(f"urn:page:{i}", url, payload or b"", digest, length, None if first is None else f"urn:page:{first}", date)
