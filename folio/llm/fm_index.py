@@ -43,10 +43,11 @@ class Bits:
 
 
 class FMIndex:
-    """Of symbols 1 to ``top``; 0 parts what no pattern may cross and is put at the end too."""
+    """Of symbols 1 to ``top``; 0 parts what no pattern may cross. Inside all are one higher, for an end that is below all and unique."""
 
     def __init__(self, codes: np.ndarray, top: int, sample: int = 16):
-        codes = np.append(codes, 0).astype(np.int64)
+        codes = np.append(codes.astype(np.int64) + 1, 0)
+        top += 1
         order = suffix_array(codes)
         self.n = len(codes)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=top + 1))])
@@ -84,6 +85,7 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Patterns of one length, a row each: (pattern, place) of every occurrence."""
+        patterns = patterns + 1
         alive = np.arange(len(patterns))
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
         for k in range(patterns.shape[1] - 1, -1, -1):
