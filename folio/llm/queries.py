@@ -14,7 +14,7 @@ from folio.llm.ngram_jaccard import ngram_jaccard
 from folio.llm.quality_rules import quality_rules
 from folio.llm.substring_dedup import substring_dedup
 from folio.llm.token_ids import crc32, read_token_ids, write_token_ids
-from folio.llm.toxicity import score, train
+from folio.llm.toxicity import bounded_labels, score, train
 from folio.llm.warc import read_warc, write_warc
 
 
@@ -27,9 +27,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    labels = read(spark, sf_dir, "labels").where(fold != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = bounded_labels(read(spark, sf_dir, "labels").where(fold != 2))
     # of the rows for learning those with remainder 3 are for the logistic function
-    trained = train(docs.join(labels, "doc_id").withColumn("fold", fold), calibrate=F.col("fold") == 3)
+    trained = train(docs.join(F.broadcast(labels), "doc_id").withColumn("fold", fold), calibrate=F.col("fold") == 3)
     out = score(docs, trained)
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
