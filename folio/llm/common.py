@@ -29,6 +29,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer rows go to Python at once, unless the session says otherwise."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(conf) == "10000":
+        spark.conf.set(conf, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; set to a local one only where it is unset."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -87,6 +94,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows with equal id and text are interchangeable, so (id, hash) names a row's text even where ids repeat or are null.
     """
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(text_col).alias("_text"))
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.llm.common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements in a line of text; all others part lines.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -172,5 +174,6 @@ extract_udf = F.arrow_udf(extract_all, T.StringType())
 
 
 def html_text(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """The input's columns and the main text of each page."""
-    return df.select("*", extract_udf(F.col(html_col)).alias(out_col))
+    """The input's columns and the main text of each page, in place of a column of that name."""
+    small_batches(df.sparkSession)
+    return df.withColumn(out_col, extract_udf(F.col(html_col)))

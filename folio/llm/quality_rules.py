@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import PLAIN, Spans, Words, _table, mixed, runs, written
+from folio.llm.common import PLAIN, Spans, Words, _table, mixed, runs, small_batches, written
 
 _LINES = _table(b"\n", False)
 _SIGNS = np.zeros(256, np.int64)
@@ -35,6 +35,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 #: Ratio: the sides that are cut, how many spreads from the median, the least spread.
 RULES = {"symbol_ratio": ("above", 4.0, 0.025), "word_length": ("both", 6.0, 0.4), "dup_line_ratio": ("above", 6.0, 0.1)}
 
+#: Input columns of these names are left out.
+_OWN = ("_c", "_q", "_cut")
 #: Texts of fewer words get more distance.
 STEADY = 100
 
@@ -83,7 +85,7 @@ def _measured(df: DataFrame, text_col: str, lang_col: str, source_col: str) -> D
         F.when(F.col("_c.n_lines") > 0, F.col("_c.n_dup_lines") / F.col("_c.n_lines")).alias("dup_line_ratio"),
     ]
     failed = (F.col("_c.n_words") < 10) | (100 * F.col("_c.n_repeat_words") > 20 * F.col("_c.n_words"))
-    out = df.withColumn("_c", counts_udf(F.col(text_col)))
+    out = df.drop(*_OWN).withColumn("_c", counts_udf(F.col(text_col)))
     return out.withColumn("_q", F.struct("_c.*", *ratios, failed.alias("base_failed"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).drop("_c")
 
 
@@ -105,14 +107,15 @@ def thresholds(measured: DataFrame, least: int = 50, k: int = 400) -> DataFrame:
 
 def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 50) -> DataFrame:
     """The input's columns and a struct _q: counts, ratios, base_failed, kept."""
+    small_batches(df.sparkSession)
     measured = _measured(df, text_col, lang_col, source_col)
-    cuts = written(thresholds(measured, least), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"} | {f"{r}_{s}": f"_{r}_{s}" for r in RULES for s in ("min", "mid", "max")})
-    on = F.col("_q.lang").eqNullSafe(F.col("_lang")) & F.col("_q.source").eqNullSafe(F.col("_source"))
+    cuts = written(thresholds(measured, least), "thresholds").select(F.struct("*").alias("_cut"))
+    on = F.col("_q.lang").eqNullSafe(F.col("_cut.lang")) & F.col("_q.source").eqNullSafe(F.col("_cut.source"))
     inside = F.lit(True)
-    slack = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.col("_q.n_words")))
+    slack = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.greatest(F.col("_q.n_words"), F.lit(1))))
     for r in RULES:
-        mid = F.col(f"_{r}_mid")
-        inside &= F.coalesce((mid + (F.col(f"_q.{r}") - mid) / slack).between(F.col(f"_{r}_min"), F.col(f"_{r}_max")), F.lit(True))
+        mid = F.col(f"_cut.{r}_mid")
+        inside &= F.coalesce((mid + (F.col(f"_q.{r}") - mid) / slack).between(F.col(f"_cut.{r}_min"), F.col(f"_cut.{r}_max")), F.lit(True))
     kept = ~F.col("_q.base_failed") & inside
     out = measured.join(cuts, on, "left").withColumn("_q", F.col("_q").withField("kept", kept))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_q")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in _OWN], "_q")
