@@ -23,6 +23,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,48 +36,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from folio.llm.common import new_dir, written
+from folio.llm.common import new_dir, small_batches, written
 
 MAGIC = b"FOLIOTK1"
-#: White space next to a space (and what some engines count as such): there pieces of a text don't part at each space.
-_UNEVEN = re.compile(r" [\s\x1c-\x1f\u180e\u200b]|[\s\x1c-\x1f\u180e\u200b] ")
+#: White space (and what some engines count as such) other than a space.
+_WHITE = re.compile(r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 
-class Encoder:
+def _uneven(text: str) -> bool:
+    """Whether some space has white space beside it: there the pieces of a text don't part at each space."""
+    if "  " in text:
+        return True
+    return any(" " in text[max(0, m.start() - 1) : m.end() + 1] for m in _WHITE.finditer(text))
+
+
+#: A word with signs behind it: the pre-tokenizer parts the two.
+_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+
+
+class Encoder(dict):
     """Ids of whole texts, as little-endian 32-bit integers.
 
     The vocabulary's pre-tokenizer never lets a piece reach over a single space
     between two other characters, so a text's ids are those of its space-led
-    parts one after the other. Parts repeat a lot; their ids are kept. Texts with
-    other white space around a space are encoded as they are.
+    parts one after the other. Parts repeat a lot; their ids are kept (the dict:
+    a part without its space, and its ids). Texts with other white space around a
+    space are encoded as they are.
     """
 
-    def __init__(self, path: str, end_id: int, kept: int = 400_000):
+    def __init__(self, path: str, end_id: int, kept: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model, self.kept = Tokenizer.from_file(path), kept
         self.end = np.array([end_id], "<u4").tobytes()
-        self.parts: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        signed = {p: m.groups() for p in new if (m := _SIGNED.fullmatch(p))}
+        words = list((new - signed.keys()).union(w for w, _ in signed.values()).difference(self.keys()))
+        self.update(zip(words, self._ids([" " + w for w in words])))
+        signs = list({s for _, s in signed.values()} - self.signs.keys())
+        self.signs.update(zip(signs, self._ids(signs)))
+        self.update({p: self[w] + self.signs[s] for p, (w, s) in signed.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.kept:
-            self.parts.clear()
-        split = [None if _UNEVEN.search(t) else t.split(" ") for t in texts]
-        new = set()
-        for s in split:
-            if s:
-                new.update(s[1:])
-        new -= self.parts.keys()
-        if new:
-            new = list(new)
-            self.parts.update(zip(new, self._ids([" " + x for x in new])))
-        alone = iter(self._ids([t if s is None else s[0] for t, s in zip(texts, split)]))
-        known = self.parts.__getitem__
-        return [next(alone) + b"".join(map(known, s[1:] if s else ())) + self.end for s in split]
+        if len(self) > self.kept:
+            self.clear()
+        split = [[t] if _uneven(t) else t.split(" ") for t in texts]
+        self._learn({p for s in split for p in s[1:] if p not in self})
+        known = self.__getitem__
+        return [first + b"".join(map(known, s[1:])) + self.end for first, s in zip(self._ids([s[0] for s in split]), split)]
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -172,8 +185,9 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 def _write(folder: str, path: str, end_id: int, chunk: int, bits: bool, level: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault((path, end_id), None) or Encoder(path, end_id)
-        _ENCODERS[path, end_id] = encoder
+        if (path, end_id) not in _ENCODERS:
+            _ENCODERS[path, end_id] = Encoder(path, end_id)
+        encoder = _ENCODERS[path, end_id]
         fs, where = pyarrow.fs.FileSystem.from_uri(folder)
         name, writer, n = f"ids-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}", None, 0
         for batch in batches:
@@ -194,6 +208,7 @@ def _write(folder: str, path: str, end_id: int, chunk: int, bits: bool, level: i
 
 def write_token_ids(df: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, chunk: int = 1 << 16, bits: bool = False, level: int = 1) -> DataFrame:
     """Writes the files and returns the manifest, a row per file in the order of documents: part, path, n_docs, n_ids, start."""
+    small_batches(df.sparkSession)
     folder = folder or new_dir(df.sparkSession, "token-ids")
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     docs = docs.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
