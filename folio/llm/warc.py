@@ -98,7 +98,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no file
+            return
         fs, where = pyarrow.fs.FileSystem.from_uri(partition.path)
         name = where.rpartition("/")[2]
         with fs.open_input_file(where) as file:
