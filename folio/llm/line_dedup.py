@@ -29,31 +29,23 @@ from folio.llm.common import components, keyed, same_row, written
 LETTERS = "eainrstolduh"
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """First character (from 0) and size of segment i: even parts, the longer ones last."""
-    base, longer = F.floor(length / parts), length % parts
-    return base * i + F.greatest(F.lit(0), i - (parts - longer)), base + (F.lit(i) >= parts - longer).cast("int")
+def _wanted(edits: int) -> list[tuple[int, int, int]]:
+    """(difference of lengths, segment, shift) of the substrings that a line looks for: before a segment at most as many edits as its number, behind it the others."""
+    at = range(-edits, edits + 1)
+    return [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in at if abs(shift) <= i and abs(shift - less) <= edits - i]
 
 
-def _keys(line: Column, length: Column, edits: int) -> Column:
-    """Structs (key, probe): the segments that a line lists, and those it looks for. ``probe`` is the difference of lengths, -1 for a listed one."""
-    out, parts = [], edits + 1
-
-    def add(own: Column, i: int, start: Column, size: Column, probe: int) -> None:
-        whole = (start >= 0) & (start + size <= length) & (own >= parts)
-        out.append(F.when(whole, F.struct(F.xxhash64(own.cast("int"), F.lit(i), F.substring(line, start.cast("int") + 1, size.cast("int"))).alias("key"), F.lit(probe).alias("probe"))))
-
-    for i in range(parts):
-        add(length, i, *_segment(length, i, parts), -1)
-    for less in range(edits + 1):
-        own = length - less
-        for i in range(parts):
-            start, size = _segment(own, i, parts)
-            for shift in range(-edits, edits + 1):
-                # before the segment at most i edits, behind it at most the others
-                if abs(shift) <= i and abs(shift - less) <= edits - i:
-                    add(own, i, start + shift, size, less)
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def _keys(lines: DataFrame, edits: int, wanted: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for each line and wanted substring. The choices are rows, so that the expression stays small enough to be compiled."""
+    parts = edits + 1
+    choices = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in wanted])
+    rows = lines.select("node", "letters", "line", "n", F.explode(choices).alias("c")).select("node", "letters", "line", "n", "c.*")
+    own, i = F.col("n") - F.col("less"), F.col("i")
+    base, longer = F.expr(f"(n - less) div {parts}").cast("int"), own % parts
+    start = base * i + F.greatest(F.lit(0), i - (parts - longer)) + F.col("shift")
+    rows = rows.select("node", "letters", "line", "n", "less", "i", own.alias("own"), start.alias("start"), (base + (i >= parts - longer).cast("int")).alias("size"))
+    rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")) & (F.col("own") >= parts))
+    return rows.select("node", "letters", "less", F.xxhash64("own", "i", F.substring(F.col("line"), F.col("start") + 1, F.col("size"))).alias("key"))
 
 
 def _letters(line: Column) -> Column:
@@ -80,6 +72,15 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= most) & (F.substring(a, F.lit(1), (at + step).cast("int")) == F.substring(b, F.lit(1), (at + step).cast("int"))), at + step).otherwise(at))
 
 
+#: The value of a band that has no way back under the limit.
+_LOST = 1 << 20
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once: inside lambdas nothing else keeps an expression from being repeated."""
+    return F.transform(F.array(value), f)[0]
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings, bit-parallel in a band of 2 * edits + 1 diagonals; more than ``edits`` if it is more.
 
@@ -96,22 +97,38 @@ def _banded(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
     full = (1 << width) - 1
     bits = lambda c: c.bitwiseAND(F.lit(full))
     inverse = lambda c: c.bitwiseXOR(F.lit(full))
+    on = lambda c, k: c.bitwiseAND(F.lit(1 << k)) != 0
 
     def step(s: Column, i: Column) -> Column:
         char = F.get(y, i - 1)
         same = F.lit(0)
         for k in range(width):
             same = same.bitwiseOR(F.when(F.coalesce(F.get(x, i - edits + k - 1) == char, F.lit(False)), F.lit(1 << k)).otherwise(0))
-        vp, vn = s["vp"], s["vn"]
-        d0 = bits((same.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(same).bitwiseOR(vn))
-        hp = vn.bitwiseOR(inverse(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftrightunsigned(d0, 1)
-        at = m - i + edits  # the bit of a's last row
-        at_last = lambda c: c.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.greatest(at, F.lit(0)).cast("int"))) != 0
-        diagonal = s["d"] + F.when(d0.bitwiseAND(F.lit(1 << (2 * edits))) == 0, 1).otherwise(0)
-        along = s["d"] + F.when(at_last(hp), 1).otherwise(0) - F.when(at_last(hn), 1).otherwise(0)
-        return F.struct(hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), F.when(i + edits <= m, diagonal).otherwise(along).cast("int").alias("d"))
+
+        def zeros(a: Column) -> Column:
+            d0 = bits((a["same"].bitwiseAND(a["vp"]) + a["vp"]).bitwiseXOR(a["vp"]).bitwiseOR(a["same"]).bitwiseOR(a["vn"]))
+            return _bound(F.struct(a["vp"].alias("vp"), a["vn"].alias("vn"), d0.alias("d0")), rows)
+
+        def rows(a: Column) -> Column:
+            hp, hn = a["vn"].bitwiseOR(inverse(a["d0"].bitwiseOR(a["vp"]))), a["d0"].bitwiseAND(a["vp"])
+            return _bound(F.struct(hp.alias("hp"), hn.alias("hn"), a["d0"].alias("d0"), F.shiftrightunsigned(a["d0"], 1).alias("down")), moved)
+
+        def moved(a: Column) -> Column:
+            last = F.call_function("shiftleft", F.lit(1), F.greatest(m - i + edits, F.lit(0)).cast("int"))  # the bit of a's last row
+            along = s["d"] + F.when(a["hp"].bitwiseAND(last) != 0, 1).otherwise(0) - F.when(a["hn"].bitwiseAND(last) != 0, 1).otherwise(0)
+            d = F.when(i + edits > m, along).otherwise(s["d"] + F.when(on(a["d0"], 2 * edits), 0).otherwise(1))
+            return _bound(F.struct(a["hn"].bitwiseOR(inverse(a["down"].bitwiseOR(a["hp"]))).alias("vp"), a["down"].bitwiseAND(a["hp"]).alias("vn"), d.cast("int").alias("d")), checked)
+
+        def checked(a: Column) -> Column:
+            # the least value of the band's rows; over the limit, no later one comes back under it
+            value = least = a["d"]
+            for k in range(2 * edits - 1, -1, -1):
+                value = value - F.when(on(a["vp"], k), 1).otherwise(0) + F.when(on(a["vn"], k), 1).otherwise(0)
+                least = F.least(least, value)
+            d = F.when((i + edits <= m) & (a["d"] > edits) & (least > edits), F.lit(_LOST)).otherwise(a["d"])
+            return F.struct(a["vp"].alias("vp"), a["vn"].alias("vn"), d.cast("int").alias("d"))
+
+        return F.when(s["d"] >= _LOST, s).otherwise(_bound(F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), same.alias("same")), zeros))
 
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(edits), m).cast("int").alias("d"))
     run = F.aggregate(F.sequence(F.lit(1), n), start, step)["d"]
@@ -122,10 +139,11 @@ def edit_links(lines: DataFrame, edits: int) -> DataFrame:
     """lines: distinct (node, line). The pairs (a, b) of nodes within ``edits`` edits."""
     length = F.length("line")
     lines = lines.select("node", "line", length.alias("n"), _letters(F.col("line")).alias("letters"))
-    keys = lines.select("node", "letters", F.explode(_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("node", "letters", "k.key", "k.probe")
-    listed, probes = keys.where("probe < 0").alias("r"), keys.where("probe >= 0").alias("s")
+    # segments are even, the longer ones last; each line lists its own and looks for those of lines as long or shorter
+    listed = _keys(lines, edits, [(0, i, 0) for i in range(edits + 1)]).alias("r")
+    probes = _keys(lines, edits, _wanted(edits)).alias("s")
     near = _letters_apart(F.col("r.letters"), F.col("s.letters")) <= 2 * edits
-    on = (F.col("r.key") == F.col("s.key")) & (F.col("r.node") != F.col("s.node")) & ((F.col("s.probe") > 0) | (F.col("r.node") < F.col("s.node"))) & near
+    on = (F.col("r.key") == F.col("s.key")) & (F.col("r.node") != F.col("s.node")) & ((F.col("s.less") > 0) | (F.col("r.node") < F.col("s.node"))) & near
     pairs = written(probes.join(listed, on).select(F.col("r.node").alias("a"), F.col("s.node").alias("b")).distinct(), "line-pairs")
     side = lambda c: lines.select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
