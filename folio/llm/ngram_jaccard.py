@@ -12,8 +12,9 @@ Equal sets are one node from the start. Then, by set size:
 * Heavy sets: the inverted lists of the set's prefix are scanned. A prefix of
   twice the usual length is taken by hash order, of which linked sets share as
   many n-grams as the usual one has. So a set with fewer repeated n-grams there
-  has no link and goes, twice over; of the others' lists as many of the longest
-  can be passed over, exactly as if all n-grams had been ordered by frequency.
+  has no link and goes. Of the others the whole sets are listed, and those go of
+  which fewer n-grams repeat than a link needs. What is left has prefixes by
+  frequency: their inverted lists are scanned.
   A list is not paired with itself: it has one leader, the set most connected
   over all lists, and every member keeps only its difference to the leader. Two
   members' difference follows from theirs, and two members that share nothing of
@@ -37,7 +38,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -146,12 +147,20 @@ def _subsets(n: int, rule: Rule):
 def _whole(n: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, s in _sets(batch.column("_text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])
+            sets = [s for _, s in _sets(batch.column("_text"), n)]
+            size = list(map(len, sets))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(signed(np.concatenate(sets))))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), lists], ["node", "size", "grams"])
 
     return of
 
 
+def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column of lists, still sorted as unsigned numbers."""
+    values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(at[:-1], at[1:]))
+
+
 def _differences(rule: Rule):
     """Each member against its leader: sizes of what it has more and of all differences, linked or not, and the prefix of them that a join needs."""
 
@@ -159,8 +168,7 @@ def _differences(rule: Rule):
         up, down = rule.den + rule.num, rule.den - rule.num
         for batch in batches:
             out = {k: [] for k in ("size", "more", "d", "linked", "grams")}
-            for a, b in zip(batch.column("lead_grams").to_pylist(), batch.column("grams").to_pylist()):
-                lead, own = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for lead, own in zip(_arrays(batch.column("lead_grams")), _arrays(batch.column("grams"))):
                 at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
                 common = lead[at] == own
                 more = own[~common]
@@ -185,8 +193,7 @@ def _linked(rule: Rule):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a_grams").to_pylist(), batch.column("b_grams").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for x, y in zip(_arrays(batch.column("a_grams")), _arrays(batch.column("b_grams"))):
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(rule.den * common >= rule.num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
@@ -226,37 +233,41 @@ def _light(docs: DataFrame, nodes: DataFrame, n: int, rule: Rule, kind: str) ->
     return keys.join(lists, ["k1", "k2"]).select(F.col("node").alias("a"), partner.alias("b")).where("a <> b").distinct()
 
 
-def _lists(own: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, node, size, m): the inverted lists that must be scanned, m their length over all sets that may have a link."""
-    # linked sets share this many n-grams of their prefixes: the usual prefix's length of the smallest partner
-    smallest = f"(({num} * size + {den - 1}) div {den})"
-    common = F.expr(f"{smallest} - ({num} * {smallest} + {den - 1}) div {den} + 1")
-    lists = own.select(F.col("_id").alias("node"), "size", F.explode("prefix").alias("gram"))
+def _lists(sets: DataFrame, common: Column) -> DataFrame:
+    """sets: (node, size, grams). The inverted lists (gram, node, size, m, c) of sets with ``common`` repeated n-grams or more.
+
+    m is the list's length, c the set's number of n-grams in lists of two or more; sets that go make others' n-grams unrepeated, so twice.
+    """
+    lists = sets.select("node", "size", F.explode("grams").alias("gram"))
     for _ in range(2):
-        repeated = lists.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+        repeated = written(lists.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "repeated")
         lists = written(lists.select("node", "size", "gram").join(repeated, "gram"), "lists")
         enough = lists.groupBy("node", "size").agg(F.count("*").alias("c")).where(F.col("c") >= common).select("node", "c")
         lists = lists.join(enough, "node")
-    place = F.row_number().over(W.partitionBy("node").orderBy("m", "gram"))  # within one set's prefix
-    lists = lists.withColumn("place", place).where(F.col("place") <= F.col("c") - common + 1)
-    return written(lists.select("gram", "node", "size", "m", "c"), "lists")
+    return lists
 
 
 def _heavy(docs: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, rule: Rule, kind: str) -> DataFrame:
     num, den = rule.num, rule.den
     up, down = den + num, den - num
     own = sets.join(nodes.select(F.col("node").alias("_id"), "_key"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    lists = _lists(own, num, den)
+    least = f"(({num} * size + {den - 1}) div {den})"
+    # prefixes of linked sets share as many n-grams as the usual prefix of the smallest partner is long
+    common = F.expr(f"{least} - ({num} * {least} + {den - 1}) div {den} + 1")
+    near = _lists(own.select(F.col("_id").alias("node"), "size", F.col("prefix").alias("grams")), common).select("node").distinct()
+    grams = written(_texts(docs, nodes.join(near, "node", "left_semi")).mapInArrow(_whole(n), f"node {kind}, size long, grams array<long>"), "grams")
+    # the same with whole sets, of which linked ones share this many; then the prefix by frequency
+    lists = _lists(grams, F.expr(least))
+    place = F.row_number().over(W.partitionBy("node").orderBy("m", "gram"))  # within one set
+    lists = written(lists.withColumn("place", place).where(F.col("place") <= F.col("c") - F.expr(least) + 1).select("gram", "node", "size", "m", "c"), "lists")
     score = lists.groupBy("node").agg(F.sum("m").alias("score"))
     lists = lists.join(score, "node")
     leaders = lists.groupBy("gram").agg(F.max(F.struct("score", "node", "size")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("gram", "k", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size"))
     # a list of two has no other pair: there the sizes decide at once
-    near = (F.col("k") > 2) | ((F.col("size") * den >= F.col("lead_size") * num) & (F.col("lead_size") * den >= F.col("size") * num))
-    pairs = written(lists.join(leaders, "gram").where(F.col("node") != F.col("lead")).where(near).select("lead", "node").distinct(), "pairs")
-    used = pairs.select("node").unionAll(pairs.select("lead")).distinct()
-    grams = written(_texts(docs, nodes.join(used, "node", "left_semi")).mapInArrow(_whole(n), f"node {kind}, grams binary"), "grams")
+    fit = (F.col("k") > 2) | ((F.col("size") * den >= F.col("lead_size") * num) & (F.col("lead_size") * den >= F.col("size") * num))
+    pairs = written(lists.join(leaders, "gram").where(F.col("node") != F.col("lead")).where(fit).select("lead", "node").distinct(), "pairs")
     side = lambda c: grams.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
-    both = pairs.join(grams, "node").join(side("lead"), "lead")
+    both = pairs.join(grams.drop("size"), "node").join(side("lead"), "lead")
     diff = written(both.mapInArrow(_differences(rule), f"lead {kind}, node {kind}, size long, more long, d long, linked boolean, grams array<long>"), "differences")
     direct = diff.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     # members that may link though they don't both link with their leader
