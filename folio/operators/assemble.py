@@ -79,22 +79,30 @@ def aligned(text: Column, lengths: Column) -> Column:
 
 
 def page_words(text: Column, counts: Column, window: int = 20) -> Column:
-    """A text's words dealt to pages in proportion to their word counts, cut at sentence ends within the window, the later first."""
-    w = T.words(text)
+    """A text's words dealt to pages in proportion to their word counts, cut at sentence ends within the window, the later first. Null is an empty text."""
+    given = F.struct(T.words(F.coalesce(text, F.lit(""))).alias("w"), counts.alias("counts"))
+    # bound as a lambda's variable, so that the text is split once; only words in the window are looked at
+    return F.transform(F.array(given), lambda g: _pages(g["w"], g["counts"], window))[0]
+
+
+def _pages(w: Column, counts: Column, window: int) -> Column:
     total = F.greatest(F.aggregate(counts, F.lit(0), lambda a, x: a + x), F.lit(1))
     n = F.size(w)
-    ends = F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.regexp_replace(F.get(w, i - 1), "[\"'»)]+$", "").rlike("[.!?]$"), i)), lambda i: i.isNotNull())
+    ends = lambda i: F.regexp_replace(F.get(w, i - 1), "[\"'»)]+$", "").rlike("[.!?]$")
+
+    def first_end(low: Column, high: Column, step: int) -> Column:
+        """The first place behind a sentence's end, from low to high or back from high to low."""
+        places = F.when(low <= high, F.sequence(low, high) if step > 0 else F.sequence(high, low, F.lit(-1)))
+        return F.get(F.filter(places, ends), F.lit(0))
 
     def step(cuts: Column, c: Column) -> Column:
-        start = F.element_at(cuts, -1)
-        t = F.least(start + F.bround(c / total * n).cast("int"), n)
-        ahead = F.array_min(F.filter(ends, lambda e: (e >= t) & (e < F.least(n, t + window))))
-        back = F.array_max(F.filter(ends, lambda e: (e <= t) & (e > F.greatest(F.lit(0), t - window))))
-        return F.concat(cuts, F.array(F.coalesce(ahead, back, t)))
+        t = F.least(F.element_at(cuts, -1) + F.bround(c / total * n).cast("int"), n)
+        near = F.transform(F.array(t), lambda t: F.coalesce(first_end(F.greatest(t, F.lit(1)), F.least(n, t + window) - 1, 1), first_end(F.greatest(F.lit(0), t - window) + 1, t, -1), t))
+        return F.concat(cuts, near)
 
     cuts = F.concat(F.aggregate(F.slice(counts, F.lit(1), F.size(counts) - 1), F.array(F.lit(0)), step), F.array(n))
-    pages = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda k: F.array_join(F.slice(w, F.get(cuts, k - 1) + 1, F.greatest(F.get(cuts, k) - F.get(cuts, k - 1), F.lit(0))), " "))
-    return F.when(n == 0, F.transform(counts, lambda x: F.lit(""))).otherwise(pages)
+    dealt = lambda cuts: F.transform(counts, lambda x, k: F.array_join(F.slice(w, F.get(cuts, k) + 1, F.greatest(F.get(cuts, k + 1) - F.get(cuts, k), F.lit(0))), " "))
+    return F.when(n == 0, F.transform(counts, lambda x: F.lit(""))).otherwise(F.transform(F.array(cuts), dealt)[0])
 
 
 def exact_metrics(gold: Column, pred: Column) -> list[Column]:

@@ -444,8 +444,7 @@ def q_align_split(spark, sf_dir):
 
 @query()
 def q_page_distribution(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.size(T.words(F.col("text"))) < 2000)
-    return rows.select("doc_id", F.posexplode(assemble.page_words(F.col("text"), F.array(F.lit(120), F.lit(80), F.lit(200)))).alias("page", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(assemble.page_words(F.col("text"), F.array(F.lit(120), F.lit(80), F.lit(200)))).alias("page", "text"))
 
 
 _SETS = "s AS (SELECT source, list_distinct(list(lang || doc_id % 7) FILTER (WHERE doc_id % 2 = 0)) AS gold, list_distinct(list(lang || doc_id % 7) FILTER (WHERE doc_id % 3 = 0)) AS pred FROM documents GROUP BY source)"

@@ -1,6 +1,7 @@
 """Literal rows through the engine's functions and operators."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -11,7 +12,7 @@ from folio.cli import main
 from folio.functions import reply
 from folio.functions import text as T
 from folio.operators import assemble, memory, mentions, pack, routing, segment, state
-from folio.plans import pipeline
+from folio.plans import pipeline, queries
 from folio.sources import files
 
 
@@ -112,6 +113,27 @@ def test_alignment(spark):
     assert pages == ["Uno dos tres.", "Cuatro cinco seis. Siete ocho nueve."]
 
 
+def paged(text, counts):
+    w, out, start = text.split(), [], 0
+    for c in counts[:-1]:
+        t = min(start + round(c / sum(counts) * len(w)), len(w))
+        places = [*range(t, min(len(w), t + 20)), *range(t, max(0, t - 20), -1)]
+        t = next((i for i in places if i > 0 and w[i - 1].rstrip("\"'»)").endswith((".", "!", "?"))), t)
+        out.append(" ".join(w[start:t]))
+        start = t
+    return [*out, " ".join(w[start:])] if w else [""] * len(counts)
+
+
+def test_page_distribution_of_long_texts(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["uno", "dos", "tres", "fin.", "sí!»", "no?"] if k % 2 else ["uno"] * 30 + ["fin."]) for _ in range(n)) for k, n in enumerate([0, 1, 2, 5, 60, 300, 1999, 2000, 2001, 30000])]
+    spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in queries.QUERIES["q_page_distribution"](spark, str(tmp_path)).orderBy("doc_id", "page").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {k: paged(t, [120, 80, 200]) for k, t in [*enumerate(texts), (99, "")]}
+
+
 def test_sources_and_pipeline(spark, tmp_path):
     book = tmp_path / "a book.txt"
     book.write_bytes("Chapter 1\nEl ni\xf1o.\nChapter 2\nFin.".encode("latin-1"))
