@@ -1,21 +1,22 @@
 """Line dedup: a segment-partition edit join, in DataFrame functions only.
 
 Lines (parts of a text between line feeds, with something else than white space)
-are first made distinct by a 64-bit hash, with map-side sums. Of those with
-``least`` characters or more, each is cut into ``edits + 1`` segments: two lines
-within that many edits share a segment. A line lists its own segments by (length,
+are first made distinct by a 64-bit hash, with map-side sums. Each with more than
+``edits`` characters is cut into ``edits + 1`` segments: two lines within ``edits``
+edits share a segment. A line lists its own segments by (length,
 number, content) and probes, for each length a partner can have, the substrings
 at which that segment can lie; the windows of Pass-Join keep these few. A list's
 members must also be near in their counts of some letters before they become a
 candidate. Candidates are verified by a banded bit-parallel edit distance on what
-is left between their common beginning and end.
+is left between their common beginning and end. Lines too short for segments are
+all within ``edits`` of each other; with a longer one they share a character.
 
 Linked lines form classes (connected components, with lines that are equal). The
 first line of a class, by document id and place, stays; the others go.
 
 Defined results: null text has no lines; white lines always stay and are not
-counted; lines shorter than ``least`` match only equal lines; rows with equal id
-and text are one document, whose first lines stay in each.
+counted; the number of edits is the same for lines of any length; rows with equal
+id and text are one document, whose first lines stay in each.
 """
 
 from __future__ import annotations
@@ -48,6 +49,12 @@ def _keys(lines: DataFrame, edits: int, wanted: list[tuple[int, int, int]]) -> D
     return rows.select("node", "letters", "less", F.xxhash64("own", "i", F.substring(F.col("line"), F.col("start") + 1, F.col("size"))).alias("key"))
 
 
+def _character_keys(lines: DataFrame, less: int) -> DataFrame:
+    """A row for each line and character."""
+    rows = lines.select("node", "letters", F.explode(F.array_distinct(F.split("line", ""))).alias("char"))
+    return rows.select("node", "letters", F.lit(less).alias("less"), F.xxhash64(F.lit("character"), "char").alias("key"))
+
+
 def _letters(line: Column) -> Column:
     out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
@@ -136,12 +143,15 @@ def _banded(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
 
 
 def edit_links(lines: DataFrame, edits: int) -> DataFrame:
-    """lines: distinct (node, line). The pairs (a, b) of nodes within ``edits`` edits."""
+    """lines: distinct (node, line). The pairs (a, b) of nodes within ``edits`` edits; of lines of at most ``edits`` characters, all within reach of each other, those with the least node."""
     length = F.length("line")
     lines = lines.select("node", "line", length.alias("n"), _letters(F.col("line")).alias("letters"))
     # segments are even, the longer ones last; each line lists its own and looks for those of lines as long or shorter
-    listed = _keys(lines, edits, [(0, i, 0) for i in range(edits + 1)]).alias("r")
-    probes = _keys(lines, edits, _wanted(edits)).alias("s")
+    listed = _keys(lines, edits, [(0, i, 0) for i in range(edits + 1)])
+    probes = _keys(lines, edits, _wanted(edits))
+    # lines too short for segments: a longer one within reach has at most twice as many characters as edits, one of them in common
+    tiny, beyond = lines.where(F.col("n") <= edits), lines.where((F.col("n") > edits) & (F.col("n") <= 2 * edits))
+    listed, probes = listed.unionAll(_character_keys(tiny, 0)).alias("r"), probes.unionAll(_character_keys(beyond, 1)).alias("s")
     near = _letters_apart(F.col("r.letters"), F.col("s.letters")) <= 2 * edits
     on = (F.col("r.key") == F.col("s.key")) & (F.col("r.node") != F.col("s.node")) & ((F.col("s.less") > 0) | (F.col("r.node") < F.col("s.node"))) & near
     pairs = written(probes.join(listed, on).select(F.col("r.node").alias("a"), F.col("s.node").alias("b")).distinct(), "line-pairs")
@@ -152,16 +162,18 @@ def edit_links(lines: DataFrame, edits: int) -> DataFrame:
     both = both.withColumn("begin", begin).select("a", "b", cut("a"), cut("b")).withColumn("begin", _common(F.col("a_rest"), F.col("b_rest")))
     rest = lambda c: F.expr(f"substring({c}_rest, begin + 1)").alias(c + "_rest")
     both = both.select("a", "b", rest("a"), rest("b"))
-    return both.where(banded_distance(F.col("a_rest"), F.col("b_rest"), edits) <= edits).select("a", "b")
+    links = both.where(banded_distance(F.col("a_rest"), F.col("b_rest"), edits) <= edits).select("a", "b")
+    among = tiny.crossJoin(F.broadcast(tiny.agg(F.min("node").alias("a")))).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    return links.unionAll(among)
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 40) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2) -> DataFrame:
     """One row per input row: id, n_lines, n_removed, kept_text (what is left, white lines included)."""
     docs = keyed(df, id_col, text_col)
     lines = docs.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
     lines = lines.withColumn("node", F.xxhash64("line"))
     places = written(lines.select("_id", "_key", "pos", "node"), "places")
-    texts = written(lines.where(F.length("line") >= least).groupBy("node").agg(F.first("line").alias("line")), "lines")
+    texts = written(lines.groupBy("node").agg(F.first("line").alias("line")), "lines")
     classes = written(components(edit_links(texts, edits)), "classes")
     places = places.join(classes, "node", "left").select("_id", "_key", "pos", F.coalesce("component", "node").alias("c"))
     firsts = places.groupBy("c").agg(F.min(F.struct("_id", "_key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("c", "f")

@@ -266,6 +266,20 @@ def test_lines(spark, none):
     assert line_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_short_lines(spark, edits):
+    rng = random.Random(8)
+    lines = sorted({"".join(rng.choice("abcdé.7") for _ in range(rng.choice([1, 2, 3, 3, 4, 4, 5, 6, 8, 11, 39]))) for _ in range(160)} | {"Click here", "Click here.", "Share (1)", "Share (2)", "x" * 39, "x" * 40})
+    near = {(a, b) for a, b in combinations(range(len(lines)), 2) if distance(lines[a], lines[b]) <= edits}
+    tiny = {(a, b) for a, b in near if max(len(lines[a]), len(lines[b])) <= edits}
+    got = [tuple(sorted((r.a, r.b))) for r in edit_links(spark.createDataFrame(list(enumerate(lines)), "node long, line string"), edits).collect()]
+    assert len(got) == len(set(got)) and set(got) - tiny == near - tiny
+    assert {pair for pair in got if pair in tiny} == {pair for pair in tiny if pair[0] == min(tiny)[0]}
+    texts = ["Menu 1\nClick here\nfirst", "Menu 2\nClick here.\nsecond", "Share\nClick hére\n??\na"]
+    out = line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), edits=edits).orderBy("doc_id").collect()
+    assert [r.kept_text for r in out] == [texts[0], "second", "Share\n??" + "\na" * (edits == 1)]
+
+
 def test_planes():
     ids = np.random.default_rng(0).integers(0, 1 << 32, 77, dtype=np.uint64).astype("<u4")
     for bits in (False, True):
