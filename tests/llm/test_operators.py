@@ -118,6 +118,19 @@ def test_toxicity(spark):
     assert {r.score for r in score(docs, train(docs.join(labels.where("toxic = 5"), "doc_id"))).collect()} == {0.0}
 
 
+def test_toxic_pairs(spark):
+    """Words that are ordinary one by one: only their order tells."""
+    rng = random.Random(12)
+    plain, texts = [f"w{k}" for k in range(60)], []
+    for i in range(800):
+        w = [rng.choice(plain) for _ in range(40)]
+        w[5:7], w[20:22] = (["red", "fox"], ["red", "fox"]) if i % 4 == 0 else (["fox", "red"], ["fox", "red"])
+        texts.append((i, " ".join(w), int(i % 4 == 0)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.score for r in score(docs, train(docs.where("doc_id < 500"))).collect()}
+    assert np.mean([(got[i] >= 0.3) == bool(y) for i, _, y in texts[500:]]) > 0.95
+
+
 def test_warc(spark):
     long = "<p>" + "ä" * 120
     pages = [(1, "http://a/1", long), (2, "http://a/\n2", long), (3, None, None), (4, "u", "short"), (5, "v", "short"), (0, "w", long), (None, "n", "<b>x"), (6, "r", "WARC/1.1\r\n\r\n" * 20)]
