@@ -131,6 +131,15 @@ def test_toxic_pairs(spark):
     assert np.mean([(got[i] >= 0.3) == bool(y) for i, _, y in texts[500:]]) > 0.95
 
 
+def test_toxic_counts_have_no_cap(spark):
+    """All labels and all labelled texts are counted, whatever the logistic function is fitted on."""
+    labels = spark.range(450_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    assert bounded_labels(labels).count() == 450_000
+    rows = spark.createDataFrame([(f"common word{i} word{i}", i % 2, i % 3 == 0) for i in range(300)], "text string, toxic int, own boolean")
+    model, _ = train(rows, calibrate=F.col("own"), max_words=100)
+    assert len(model.word) == 201
+
+
 def test_warc(spark):
     long = "<p>" + "ä" * 120
     pages = [(1, "http://a/1", long), (2, "http://a/\n2", long), (3, None, None), (4, "u", "short"), (5, "v", "short"), (0, "w", long), (None, "n", "<b>x"), (6, "r", "WARC/1.1\r\n\r\n" * 20)]
