@@ -5,9 +5,11 @@ two block boundaries; it knows its number of characters and tags and the element
 it stands in. Elements that never hold an article's text (by name, role, or the
 words of class and id) are left out as they stream by. Of the remaining lines,
 ratios of characters to tags are smoothed by a Gaussian over the neighbours and
-cut at a share of their deviation into two clusters. The content region is the
-smallest element around the lines of the upper cluster; all its lines are kept,
-so a short paragraph between long ones is not lost.
+cut at a share of their deviation into two clusters. Kept are all lines of the
+smallest element around the upper cluster, and of each outermost article or main
+element that holds one of its lines. Of the lines outside only lists of links are
+dropped: lines that are links for the most part, in an element with nothing else.
+So headings and sections of short paragraphs are not lost.
 
 Defined results: null and empty pages give an empty text; unclosed and stray tags
 are borne as browsers do; rows map one to one.
@@ -16,6 +18,7 @@ are borne as browsers do; rows map one to one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -72,13 +75,16 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags, self.path = 0, ()
+        self.articles, self.anchors = set(), set()  # numbers of article and main elements, and of links
+        self.linked, self.links = 0, []  # characters in links: of the line so far, of each line
 
     def _flush(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
             self.lines.append((line, self.tags, self.path))
+            self.links.append(self.linked)
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def _pop(self, depth: int) -> None:
         if any(name not in INLINE for name, _ in self.stack[depth:]):
@@ -109,6 +115,10 @@ class Lines(HTMLParser):
             return
         self.count += 1
         self.stack.append((tag, self.count))
+        if tag in ("article", "main"):
+            self.articles.add(self.count)
+        elif tag == "a" and any(n == "href" for n, _ in attrs):
+            self.anchors.add(self.count)
         if self.out_from is None and _left_out(tag, attrs):
             self.out_from = len(self.stack) - 1
 
@@ -131,6 +141,17 @@ class Lines(HTMLParser):
             if not self.text:
                 self.path = tuple(n for name, n in self.stack if name not in INLINE)
             self.text.append(data)
+            if self._in_link():
+                self.linked += len(" ".join(data.split()))
+
+    def _in_link(self) -> bool:
+        """Whether a link is open in the line's own element."""
+        for name, number in reversed(self.stack):
+            if name not in INLINE:
+                return False
+            if number in self.anchors:
+                return True
+        return False
 
     def close(self):
         super().close()
@@ -163,7 +184,14 @@ def extract(html: str, share: float = 1.0) -> str:
     # a region of one line: its neighbours in the same element belong to it
     if len(paths) == 1 and region:
         around = around[:-1]
-    return " ".join(t for t, _, p in lines if p[: len(around)] == around)
+    whole = {next((n for n in p if n in page.articles), None) for p in paths} - {None}
+    inside = [p[: len(around)] == around or not whole.isdisjoint(p) for _, _, p in lines]
+    links = [2 * linked > len(t) for (t, _, _), linked in zip(lines, page.links)]
+    mixed = {n for (_, _, p), link in zip(lines, links) if not link for n in (0, *p)}  # 0: the page
+    own = Counter((0, *p)[-1:] for _, _, p in lines)
+    # the element around a line and its neighbours: its own if that has several lines, else the one around it
+    listed = [link and mixed.isdisjoint((0, *p)[-1:] if own[(0, *p)[-1:]] > 1 else (0, *p)[-2:-1] or (0,)) for (_, _, p), link in zip(lines, links)]
+    return " ".join(t for (t, _, p), i, x in zip(lines, inside, listed) if i or not x)
 
 
 def extract_all(pages: pa.Array) -> pa.Array:

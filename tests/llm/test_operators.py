@@ -192,6 +192,16 @@ def test_html(spark):
     assert extract("<p>" + "long text " * 2000) == ("long text " * 2000).strip()
 
 
+@pytest.mark.parametrize("frame", ["article", "main", "div"])
+def test_html_of_uneven_sections(frame):
+    """A section of long paragraphs, one of short ones and the headings are kept, a list of links beside them is not."""
+    long, short = [[f"{k} " + "text " * n for k in range(m)] for m, n in ((10, 160), (20, 16))]
+    section = lambda head, rows: f"<section><h2>{head}</h2>" + "".join(f"<p>{x}</p>" for x in rows) + "</section>"
+    links = "<div>" + "".join(f"<p><a href='/{k}'>Go {k}</a></p>" for k in range(9)) + "</div>"
+    page = f"<body>{links}<{frame}><h1>Head</h1>{section('A', long)}{section('B', short)}<p><a href='/s'>Source</a></p></{frame}><p>Outside</p></body>"
+    assert extract(page) == " ".join(" ".join(x.split()) for x in ["Head", "A", *long, "B", *short, "Source", "Outside"])
+
+
 @pytest.mark.parametrize("n, num", [(3, 90), (2, 80), (5, 80)])
 def test_jaccard(docs, none, rows, n, num):
     got = ngram_jaccard(docs, n=n, num=num).collect()
