@@ -30,13 +30,12 @@ def relevant_terms(chunks: DataFrame, terms: DataFrame, text_col: str = "text",
     hit = F.contains(F.lower(F.col(text_col)), F.lower(F.col(term_col)))
     if len(terms.take(most + 1)) <= most:
         return chunks.join(F.broadcast(terms), hit)
-    # a term lies inside the text, so its first three characters do
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(F.lower(t), i, F.lit(3))))
-    short = terms.where(F.length(term_col) < 3)
-    left = chunks.withColumn("_gram", F.explode(grams(F.col(text_col))))
-    right = terms.where(F.length(term_col) >= 3).withColumn("_gram", F.substring(F.lower(term_col), 1, 3))
-    out = left.join(right, "_gram").where(hit).drop("_gram")
-    return out.unionByName(chunks.join(F.broadcast(short.limit(most)), hit)) if short.take(1) else out
+    # a term lies inside the text, so its first three characters do, or all of a shorter term
+    cut = lambda low, k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = lambda low: F.array_distinct(F.concat(F.array(F.lit("")), *[cut(low, k) for k in (1, 2, 3)]))
+    left = chunks.withColumn("_gram", F.explode(F.transform(F.array(F.lower(F.col(text_col))), grams)[0]))
+    right = terms.withColumn("_gram", F.substring(F.lower(term_col), 1, 3))
+    return left.join(right, "_gram").where(hit).drop("_gram")
 
 
 def recent(decisions: Column, n: int = L.PROMPT_DECISIONS) -> Column:

@@ -91,6 +91,15 @@ def test_memory_rules(spark):
     assert got[1].voice == "v" and got[1].last_scene == "first" and len(got[3].last_scene) == 420 and got[3].characters == {}
 
 
+def test_relevant_terms_of_any_length(spark):
+    texts = [(1, "Él vio a 李 en Oz."), (2, "A"), (3, ""), (4, None), (5, "oZ oz aaaa")]
+    names = [(i, t) for i, t in enumerate(["", "a", "É", "李", "oz", "Z.", "aaa", "vio a", "q", "qq", None])]
+    chunks, terms = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(names, "n int, term string")
+    exp = sorted((i, n) for i, x in texts for n, t in names if x is not None and t is not None and t.lower() in x.lower())
+    for most in (1, 100):
+        assert sorted((r.id, r.n) for r in memory.relevant_terms(chunks, terms, most=most).collect()) == exp
+
+
 def test_state_and_routing(spark):
     events = spark.createDataFrame([(1, 1, "a", None), (1, 2, None, "done"), (2, 1, "b", "flagged")], "chunk int, seq int, text string, status string")
     assert {(r.chunk, r.text, r.status) for r in state.latest_set(events, "chunk").collect()} == {(1, "a", "done"), (2, "b", "flagged")}
