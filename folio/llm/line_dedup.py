@@ -1,15 +1,15 @@
 """Line dedup: a segment-partition edit join, in DataFrame functions only.
 
 Lines (parts of a text between line feeds, with something else than white space)
-are first made distinct by a 64-bit hash, with map-side sums. Each with more than
-``edits`` characters is cut into ``edits + 1`` segments: two lines within ``edits``
-edits share a segment. A line lists its own segments by (length,
-number, content) and probes, for each length a partner can have, the substrings
-at which that segment can lie; the windows of Pass-Join keep these few. A list's
-members must also be near in their counts of some letters before they become a
-candidate. Candidates are verified by a banded bit-parallel edit distance on what
-is left between their common beginning and end. Lines too short for segments are
-all within ``edits`` of each other; with a longer one they share a character.
+are first made distinct, with map-side sums, and known by 128 bits. Each with more
+than ``edits`` characters is cut into ``edits + 1`` segments: two lines within
+``edits`` edits share a segment. A line lists its own segments by (class of
+lengths, number, content) and probes, for each class a partner's length can be in,
+the substrings at which that segment can lie; the windows of Pass-Join keep these
+few. Pairs that meet in a list must be near in length and in their counts of some
+letters. They are verified by a banded bit-parallel edit distance on what is left
+between their common beginning and end. Lines too short for segments are all
+within ``edits`` of each other; with a longer one they share a character.
 
 Linked lines form classes (connected components, with lines that are equal). The
 first line of a class, by document id and place, stays; the others go.
@@ -24,35 +24,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, keyed, same_row, written
+from folio.llm.common import components, forget, keyed, same_row, written
 
 #: Letters that are counted, modulo 32; few enough for one number.
 LETTERS = "eainrstolduh"
 
 
-def _wanted(edits: int) -> list[tuple[int, int, int]]:
-    """(difference of lengths, segment, shift) of the substrings that a line looks for: before a segment at most as many edits as its number, behind it the others."""
-    at = range(-edits, edits + 1)
-    return [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in at if abs(shift) <= i and abs(shift - less) <= edits - i]
+def _class(n: Column) -> Column:
+    """The shortest length of n's class of lengths: single lengths below 16, then eight classes for each doubling."""
+    width = F.call_function("shiftleft", F.lit(1), F.greatest(F.floor(F.log2(n)).cast("int") - 3, F.lit(0)))
+    return (n - n % width).cast("int")
 
 
-def _keys(lines: DataFrame, edits: int, wanted: list[tuple[int, int, int]]) -> DataFrame:
-    """A row for each line and wanted substring. The choices are rows, so that the expression stays small enough to be compiled."""
-    parts = edits + 1
-    choices = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in wanted])
-    rows = lines.select("node", "letters", "line", "n", F.explode(choices).alias("c")).select("node", "letters", "line", "n", "c.*")
-    own, i = F.col("n") - F.col("less"), F.col("i")
-    base, longer = F.expr(f"(n - less) div {parts}").cast("int"), own % parts
-    start = base * i + F.greatest(F.lit(0), i - (parts - longer)) + F.col("shift")
-    rows = rows.select("node", "letters", "line", "n", "less", "i", own.alias("own"), start.alias("start"), (base + (i >= parts - longer).cast("int")).alias("size"))
-    rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")) & (F.col("own") >= parts))
-    return rows.select("node", "letters", "less", F.xxhash64("own", "i", F.substring(F.col("line"), F.col("start") + 1, F.col("size"))).alias("key"))
+def _segments(edits: int) -> Column:
+    """Segments of lines of a class of lengths, as they can lie in a line of n characters: their hashes, null where they don't fit, and whether the place is that of the line's own segment.
+
+    All lines of a class have segments of one size, those of the first half counted
+    from the line's beginning, the others from its end. Of two lines within reach
+    some segment i is untouched with just i edits before it, so it is shifted by at
+    most i places from the beginning and by the other edits from the end.
+    """
+    line, n, size, out = F.col("line"), F.col("n"), F.col("size"), []
+    for i in range(edits + 1):
+        ahead = 2 * i <= edits
+        reach = i if ahead else edits - i
+        for shift in range(-reach, reach + 1):
+            start = size * i + shift if ahead else n - size * (edits + 1 - i) + shift
+            key = F.when((start >= 0) & (start + size <= n), F.xxhash64("least", F.lit(i), F.substring(line, start + 1, size)))
+            out.append(F.struct(key.alias("key"), (F.col("mine") if shift == 0 else F.lit(False)).alias("own")))
+    return F.array(*out)
+
+
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, n, own, key): a row for each segment of a line's own class (own), and for each other substring wanted of the classes that a partner's length can have."""
+    classes = F.array_distinct(F.array(*[_class(F.greatest(F.col("n") + d, F.lit(edits + 1))) for d in range(-edits, edits + 1)]))
+    lines = lines.where(F.col("n") > edits).select("h", "line", "n", F.explode(classes).alias("least"))
+    lines = lines.withColumn("size", F.expr(f"least div {edits + 1}").cast("int")).withColumn("mine", F.col("least") == _class(F.col("n")))
+    rows = lines.select("h", "n", F.explode(_segments(edits)).alias("s")).select("h", "n", "s.*")
+    return rows.where("key IS NOT NULL")
 
 
-def _character_keys(lines: DataFrame, less: int) -> DataFrame:
-    """A row for each line and character."""
-    rows = lines.select("node", "letters", F.explode(F.array_distinct(F.split("line", ""))).alias("char"))
-    return rows.select("node", "letters", F.lit(less).alias("less"), F.xxhash64(F.lit("character"), "char").alias("key"))
+def _characters(lines: DataFrame) -> DataFrame:
+    return lines.select("h", F.explode(F.array_distinct(F.split("line", ""))).alias("key"))
 
 
 def _letters(line: Column) -> Column:
@@ -64,12 +77,12 @@ def _letters(line: Column) -> Column:
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
-    """A lower bound of the distance of two lines' letter counts."""
-    total = F.lit(0).cast("long")
+    """A lower bound of the distance of two lines: the letters that the one, or the other, has more of."""
+    more, less = F.lit(0).cast("long"), F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        x = F.abs(F.shiftright(a, 5 * k).bitwiseAND(31) - F.shiftright(b, 5 * k).bitwiseAND(31))
-        total = total + F.least(x, 32 - x)
-    return total
+        x = (F.shiftright(a, 5 * k).bitwiseAND(31) - F.shiftright(b, 5 * k).bitwiseAND(31) + 16).bitwiseAND(31) - 16
+        more, less = more + F.greatest(x, F.lit(0)), less + F.greatest(-x, F.lit(0))
+    return F.greatest(more, less)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -142,28 +155,42 @@ def _banded(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
     return F.when(F.abs(m - n) > edits, edits + 1).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(run)
 
 
+def _if_small(hashes: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """A written table of 64-bit hashes: broadcast up to a number of rows (2 Mi: 16 MB and as much again for the hash table), beyond it joined by a shuffle."""
+    return F.broadcast(hashes) if hashes.count() <= most else hashes
+
+
 def edit_links(lines: DataFrame, edits: int) -> DataFrame:
     """lines: distinct (node, line). The pairs (a, b) of nodes within ``edits`` edits; of lines of at most ``edits`` characters, all within reach of each other, those with the least node."""
-    length = F.length("line")
-    lines = lines.select("node", "line", length.alias("n"), _letters(F.col("line")).alias("letters"))
-    # segments are even, the longer ones last; each line lists its own and looks for those of lines as long or shorter
-    listed = _keys(lines, edits, [(0, i, 0) for i in range(edits + 1)])
-    probes = _keys(lines, edits, _wanted(edits))
-    # lines too short for segments: a longer one within reach has at most twice as many characters as edits, one of them in common
+    if not 0 <= edits <= 12:
+        raise ValueError("edits: 0 to 12")
+    lines = lines.select("node", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
+    keys = _keys(lines, edits)
+    # first the lists in which a line can meet another, by sums; then their rows; letters are counted of their lines only, and then pairs are made
+    lists = written(keys.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("h"))).alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "line-lists")
+    met = written(keys.join(_if_small(lists), "key", "left_semi"), "line-keys")
     tiny, beyond = lines.where(F.col("n") <= edits), lines.where((F.col("n") > edits) & (F.col("n") <= 2 * edits))
-    listed, probes = listed.unionAll(_character_keys(tiny, 0)).alias("r"), probes.unionAll(_character_keys(beyond, 1)).alias("s")
-    near = _letters_apart(F.col("r.letters"), F.col("s.letters")) <= 2 * edits
-    on = (F.col("r.key") == F.col("s.key")) & (F.col("r.node") != F.col("s.node")) & ((F.col("s.less") > 0) | (F.col("r.node") < F.col("s.node"))) & near
-    pairs = written(probes.join(listed, on).select(F.col("r.node").alias("a"), F.col("s.node").alias("b")).distinct(), "line-pairs")
-    side = lambda c: lines.select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    begin = _common(F.col("a_line"), F.col("b_line"))
-    cut = lambda c: F.reverse(F.expr(f"substring({c}_line, begin + 1)")).alias(c + "_rest")
-    both = both.withColumn("begin", begin).select("a", "b", cut("a"), cut("b")).withColumn("begin", _common(F.col("a_rest"), F.col("b_rest")))
-    rest = lambda c: F.expr(f"substring({c}_rest, begin + 1)").alias(c + "_rest")
-    both = both.select("a", "b", rest("a"), rest("b"))
-    links = both.where(banded_distance(F.col("a_rest"), F.col("b_rest"), edits) <= edits).select("a", "b")
-    among = tiny.crossJoin(F.broadcast(tiny.agg(F.min("node").alias("a")))).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    # lines too short for segments: a longer one within reach has at most twice as many characters as edits, one of them in common
+    short = written(_characters(tiny).alias("r").join(_characters(beyond).alias("s"), F.col("r.key") == F.col("s.key")).select(F.col("r.h").alias("a"), F.col("s.h").alias("b")).distinct(), "line-short")
+    wanted = met.select("h").unionAll(short.select("a")).unionAll(short.select("b")).distinct()
+    wanted = written(wanted, "line-wanted")
+    counted = written(lines.join(_if_small(wanted), "h", "left_semi").select("h", "node", "line", _letters(F.col("line")).alias("letters")), "line-letters")
+    letters = met.join(counted.select("h", "letters"), "h")
+    r, s = letters.where("own").alias("r"), letters.alias("s")
+    on = (F.col("r.key") == F.col("s.key")) & (F.col("r.h") < F.col("s.h")) & (F.abs(F.col("r.n") - F.col("s.n")) <= edits)
+    near = r.join(s, on & (_letters_apart(F.col("r.letters"), F.col("s.letters")) <= edits)).select(F.col("r.h").alias("a"), F.col("s.h").alias("b")).unionAll(short).distinct()
+    side = lambda c: counted.select(F.col("h").alias(c), F.col("node").alias(f"{c}_node"), F.col("line").alias(f"{c}_line"))
+    near = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_line", "b_line")
+    # tables between the steps: else the last filter moves below the joins and every value is computed again at each use
+    beyond_begin = F.expr("substring(a_line, begin + 1) AS a_rest"), F.expr("substring(b_line, begin + 1) AS b_rest")
+    ahead = written(near.withColumn("begin", _common(F.col("a_line"), F.col("b_line"))).select("a", "b", *beyond_begin), "line-texts")
+    back = _common(F.reverse("a_rest"), F.reverse("b_rest"))
+    cut = lambda c: F.expr(f"substring({c}_rest, 1, length({c}_rest) - back) AS {c}_rest")
+    near = written(ahead.withColumn("back", back).select("a", "b", cut("a"), cut("b")), "line-rests")
+    links = written(near.where(banded_distance(F.col("a_rest"), F.col("b_rest"), edits) <= edits).select("a", "b"), "line-links")
+    forget(lists, met, short, wanted, counted, ahead, near)
+    first = F.lit(tiny.agg(F.min("node")).first()[0]).cast(tiny.schema["node"].dataType)  # one value
+    among = tiny.where(F.col("node") != first).select(first.alias("a"), F.col("node").alias("b"))
     return links.unionAll(among)
 
 
@@ -171,16 +198,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     """One row per input row: id, n_lines, n_removed, kept_text (what is left, white lines included)."""
     docs = keyed(df, id_col, text_col)
     lines = docs.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
-    lines = lines.withColumn("node", F.xxhash64("line"))
-    places = written(lines.select("_id", "_key", "pos", "node"), "places")
-    texts = written(lines.groupBy("node").agg(F.first("line").alias("line")), "lines")
+    node = F.unhex(F.md5("line"))
+    places = written(lines.select("_id", "_key", "pos", node.alias("node")), "places")
+    texts = written(lines.select("line").distinct().select(node.alias("node"), "line"), "lines")
     classes = written(components(edit_links(texts, edits)), "classes")
+    forget(texts)
     places = places.join(classes, "node", "left").select("_id", "_key", "pos", F.coalesce("component", "node").alias("c"))
     firsts = places.groupBy("c").agg(F.min(F.struct("_id", "_key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("c", "f")
     gone = places.join(firsts, "c").where(~F.struct("_id", "_key", "pos").eqNullSafe(F.col("f")))
     gone = gone.groupBy("_id", "_key").agg(F.collect_set("pos").alias("gone"))
     out = docs.join(gone, same_row(docs, gone), "left").select(docs["_id"], "_text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     parts = F.split("_text", "\n")
-    kept = F.when(F.size("gone") == 0, F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    stay = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i))
+    kept = F.when(F.size("gone") == 0, F.coalesce("_text", F.lit(""))).otherwise(_bound(parts, lambda p: F.array_join(stay(p), "\n")))
     count = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"\S"))), F.lit(0))
     return out.select(F.col("_id").alias(id_col), F.when(F.col("_text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept_text"))
