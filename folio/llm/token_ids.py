@@ -23,7 +23,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,60 +35,183 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from folio.llm.common import new_dir, small_batches, written
+from folio.llm.common import mixed, new_dir, small_batches, strings, written
 
 MAGIC = b"FOLIOTK1"
-#: White space (and what some engines count as such) other than a space.
-_WHITE = re.compile(r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _uneven(text: str) -> bool:
-    """Whether some space has white space beside it: there the pieces of a text don't part at each space."""
-    if "  " in text:
-        return True
-    return any(" " in text[max(0, m.start() - 1) : m.end() + 1] for m in _WHITE.finditer(text))
+def _kinds() -> np.ndarray:
+    """By byte: 1 ASCII white space, 2 ASCII letter, 4 sign after which no letter's piece goes on, 8 last byte of other white space, 16 last byte of a letter behind C3."""
+    kind = np.zeros(256, np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]] = 1
+    kind[65:91] = kind[97:123] = 2
+    kind[list(b".,;:!?")] = 4
+    kind[[*range(0x1C, 0x20), *range(0x80, 0x8F), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] |= 8
+    kind[0x80:0xC0] |= 16
+    kind[[0x97, 0xB7]] &= 0xEF
+    return kind
 
 
-#: A word with signs behind it: the pre-tokenizer parts the two.
-_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+_KIND = _kinds()
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-class Encoder(dict):
-    """Ids of whole texts, as little-endian 32-bit integers.
+class Encoder:
+    """Ids of whole texts by a tokenizer file, each followed by the end id.
 
-    The vocabulary's pre-tokenizer never lets a piece reach over a single space
-    between two other characters, so a text's ids are those of its space-led
-    parts one after the other. Parts repeat a lot; their ids are kept (the dict:
-    a part without its space, and its ids). Texts with other white space around a
-    space are encoded as they are.
+    A byte-level vocabulary with the common pattern never lets a piece reach over
+    the start of white space, nor from a letter to one of ``.,;:!?``; so a text's
+    ids are those of the parts between such places, one after the other. Parts
+    repeat a lot: they are found in the bytes of many texts at once, known by 128
+    bits, and the ids of known ones are gathered. New parts are encoded in long
+    runs, in which the parts' ends are found by the tokens' numbers of bytes. With
+    any other tokenizer whole texts are encoded. What is kept is bounded by a
+    number of parts and of their ids; beyond it, it is learnt anew.
     """
 
-    def __init__(self, path: str, end_id: int, kept: int = 600_000):
+    def __init__(self, path: str, end_id: int, most: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.kept = Tokenizer.from_file(path), kept
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.signs: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        signed = {p: m.groups() for p in new if (m := _SIGNED.fullmatch(p))}
-        words = list((new - signed.keys()).union(w for w, _ in signed.values()).difference(self.keys()))
-        self.update(zip(words, self._ids([" " + w for w in words])))
-        signs = list({s for _, s in signed.values()} - self.signs.keys())
-        self.signs.update(zip(signs, self._ids(signs)))
-        self.update({p: self[w] + self.signs[s] for p, (w, s) in signed.items()})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.kept:
-            self.clear()
-        split = [[t] if _uneven(t) else t.split(" ") for t in texts]
-        self._learn({p for s in split for p in s[1:] if p not in self})
-        known = self.__getitem__
-        return [first + b"".join(map(known, s[1:])) + self.end for first, s in zip(self._ids([s[0] for s in split]), split)]
+        self.model, self.end, self.most = Tokenizer.from_file(path), end_id, most
+        told = json.loads(self.model.to_str())
+        before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+        self.parted = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not told.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+        added = told.get("added_tokens") or []
+        self.special = [t["content"].encode() for t in added]
+        self.odd = re.compile(b"|".join(re.escape(x) for t in self.special for x in (t[:2], t[-2:])) or b"(?!)").search
+        # a token next to which white space goes would reach over the places
+        self.parted = self.parted and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"[\s.,;:!?]", t["content"]) for t in added)
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max([0, *vocabulary.values(), *(t["id"] for t in added)]) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = 0
+        self.table = np.full(1 << (4 * self.most - 1).bit_length(), -1, np.int32)
+        self.names = np.zeros((2, 1024), np.uint64)
+        self.at = np.zeros(1025, np.int64)
+        self.ids = np.zeros(4096, "<u4")
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        cut = np.zeros(n, bool)
+        kind = _KIND[data]
+        latin = np.zeros(n, bool)  # behind C3
+        latin[1:] = data[:-1] == 0xC3
+        letter = (kind & 2).view(bool) | ((kind & 16).astype(bool) & latin)
+        white = (kind & 1).view(bool)
+        other = (kind & 8).astype(bool) & ~latin
+        cut[1:] = (white[1:] & ~white[:-1] & ~other[:-1]) | ((kind[1:] & 4).astype(bool) & letter[:-1])
+        cut[offsets[:-1][offsets[:-1] < n]] = True
+        start = np.flatnonzero(cut)
+        return start, np.append(start[1:], n)
+
+    @staticmethod
+    def _names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128 bits of each part, from eight bytes at a time."""
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        size = end - start
+        a, b = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
+        some, k = slice(None), 0
+        while True:
+            w = eight[start[some] + k] & _MASK[np.minimum(size[some] - k, 8)]
+            a[some], b[some] = mixed(a[some] ^ w), mixed((b[some] + w) * np.uint64(0xC2B2AE3D27D4EB4F))
+            k += 8
+            some = np.flatnonzero(size > k)
+            if not len(some):
+                return np.stack([a, b])
+
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """Numbers of known parts, -1 of new ones."""
+        out, left, probe = np.full(names.shape[1], -1, np.int64), np.arange(names.shape[1]), 0
+        while len(left):
+            found = self.table[((names[0, left] + np.uint64(probe)) & np.uint64(len(self.table) - 1)).astype(np.int64)]
+            left, found = left[found >= 0], found[found >= 0]
+            same = (self.names[0, found] == names[0, left]) & (self.names[1, found] == names[1, left])
+            out[left[same]] = found[same]
+            left, probe = left[~same], probe + 1
+        return out
+
+    def _keep(self, names: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        first, n = self.known, self.known + names.shape[1]
+        if n > self.names.shape[1]:
+            room = max(n, 2 * self.names.shape[1])
+            self.names = np.pad(self.names, ((0, 0), (0, room - self.names.shape[1])))
+            self.at = np.pad(self.at, (0, room + 1 - len(self.at)))
+        self.names[:, first:n] = names
+        self.at[first + 1 : n + 1] = self.at[first] + np.cumsum(counts)
+        if self.at[n] > len(self.ids):
+            self.ids = np.pad(self.ids, (0, max(self.at[n], 2 * len(self.ids)) - len(self.ids)))
+        self.ids[self.at[first] : self.at[n]] = ids
+        if 2 * n > len(self.table):
+            self.table, first = np.full(1 << int(4 * n - 1).bit_length(), -1, np.int32), 0
+        left, probe, self.known = np.arange(first, n), 0, n
+        while len(left):
+            place = ((self.names[0, left] + np.uint64(probe)) & np.uint64(len(self.table) - 1)).astype(np.int64)
+            free = self.table[place] < 0
+            self.table[place[free]] = left[free]
+            left, probe = left[self.table[place] != left], probe + 1
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray) -> None:
+        raw = data.tobytes()
+        parts = [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
+        # parts that can follow each other in a run: led by white space, and nothing at their ends that joins it
+        head, tail, ahead = data[start], data[end - 1], data[np.maximum(end - 2, 0)]
+        plain = ((_KIND[head] & 1) != 0) & (end - start > 1) & ((_KIND[tail] & 1) == 0) & (((_KIND[tail] & 8) == 0) | (ahead == 0xC3))
+        if self.special:  # a run must not put together what is none in the text
+            plain &= np.array([not self.odd(p) for p in parts], bool)
+        order, ids, counts = np.flatnonzero(plain), [], []
+        edges = np.cumsum((end - start)[order])
+        cuts = np.searchsorted(edges, np.arange(1 << 16, edges[-1] + (1 << 16), 1 << 16), side="left") + 1 if len(order) else []
+        run = 0
+        for cut in cuts:  # one after the other: what the library returns is many times as large as the text
+            these, run = order[run:cut], cut
+            (got,) = self._ids([b"".join([parts[k] for k in these]).decode()])
+            ends = np.searchsorted(np.cumsum(self.bytes_of[got]), np.cumsum((end - start)[these])) + 1
+            ids.append(got)
+            counts.append(np.diff(ends, prepend=0))
+        alone = np.flatnonzero(~plain)
+        for k in range(0, len(alone), 1024):
+            single = self._ids([parts[i].decode() for i in alone[k : k + 1024]])
+            ids += single
+            counts.append(np.array([len(x) for x in single], np.int64))
+        self._keep(names[:, np.concatenate([order, alone])], np.concatenate(ids), np.concatenate(counts))
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column, the end id last; null like an empty text."""
+        data, offsets = strings(column)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        end = np.array([self.end], "<u4")
+        if not self.parted:
+            return [np.concatenate([x, end]) for x in self._ids([t or "" for t in column.to_pylist()])]
+        if not len(data):
+            return [end] * len(column)
+        if self.known > self.most or self.at[self.known] > 16 * self.most:
+            self._clear()
+        starts, ends = self._parts(data, offsets)
+        names = self._names(data, starts, ends)
+        number = self._find(names)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            _, firsts = np.unique(names[0, new], return_index=True)
+            new = new[firsts]
+            self._learn(data, starts[new], ends[new], names[:, new])
+            lost = np.flatnonzero(number < 0)
+            number[lost] = self._find(names[:, lost])
+        counts = self.at[number + 1] - self.at[number]
+        after = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.at[number] - after + counts, counts) + np.arange(after[-1])]
+        bounds = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -180,6 +302,15 @@ class FileReader:
             yield (None if i in null else name), np.concatenate(parts)
 
 
+def _runs(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about ``limit`` bytes, one at least."""
+    offsets, i = strings(texts)[1], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -191,14 +322,14 @@ def _write(folder: str, path: str, end_id: int, chunk: int, bits: bool, level: i
         fs, where = pyarrow.fs.FileSystem.from_uri(folder)
         name, writer, n = f"ids-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}", None, 0
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
+            for i, j in _runs(batch.column("_text")):
+                part = batch.slice(i, j - i)
                 if writer is None:
                     fs.create_dir(where, recursive=True)
                     writer = FileWriter(fs.open_output_stream(f"{where}/{name}"), chunk, bits, level)
-                for doc_id, ids in zip(part.column("_id").to_pylist(), encoder.encode([t or "" for t in part.column("_text").to_pylist()])):
-                    writer.add(doc_id, np.frombuffer(ids, "<u4"))
-                    n += len(ids) // 4
+                for doc_id, ids in zip(part.column("_id").to_pylist(), encoder.encode(part.column("_text"))):
+                    writer.add(doc_id, ids)
+                    n += len(ids)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(writer.docs)], pa.int64()), pa.array([n], pa.int64())], ["part", "path", "n_docs", "n_ids"])
@@ -211,7 +342,9 @@ def write_token_ids(df: DataFrame, tokenizer_path: str, folder: str | None = Non
     small_batches(df.sparkSession)
     folder = folder or new_dir(df.sparkSession, "token-ids")
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    docs = docs.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    # rows of one id, or without one, are dealt on by their text, and equal ones by their place
+    docs = docs.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    docs = docs.repartitionByRange("_id", "_hash", "_row").sortWithinPartitions("_id", "_hash", "_row").select("_id", "_text")
     files = written(docs.mapInArrow(_write(folder, tokenizer_path, end_id, chunk, bits, level), "part int, path string, n_docs long, n_ids long"), "manifest")
     before = F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # a row per file
     return written(files.withColumn("start", F.coalesce(before, F.lit(0).cast("long"))), "manifest")
