@@ -125,7 +125,7 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept up to 4 Mi of them."""
+    """Powers of the base and of its inverse modulo 2**64, kept up to 2 Mi of them."""
     if _POWERS and len(_POWERS[0]) >= n:
         return _POWERS[0], _POWERS[1]
     out = []
@@ -133,7 +133,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         a = np.full(n, b, np.uint64)
         a[0] = 1
         out.append(np.multiply.accumulate(a))
-    if n <= 1 << 22:
+    if n <= 1 << 21:
         _POWERS[:] = out
     return out[0], out[1]
 

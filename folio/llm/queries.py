@@ -13,7 +13,7 @@ from folio.llm.mixing import mix
 from folio.llm.ngram_jaccard import ngram_jaccard
 from folio.llm.quality_rules import quality_rules
 from folio.llm.substring_dedup import substring_dedup
-from folio.llm.token_ids import crc32, read_token_ids, write_token_ids
+from folio.llm.token_ids import read_token_ids, write_token_ids
 from folio.llm.toxicity import bounded_labels, score, train
 from folio.llm.warc import read_warc, write_warc
 
@@ -98,7 +98,7 @@ def tokenizer_path() -> str:
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_ids(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
-    return read_token_ids(files).select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+    return read_token_ids(files, digests=True)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

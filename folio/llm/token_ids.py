@@ -69,7 +69,7 @@ class Encoder:
     number of parts and of their ids; beyond it, it is learnt anew.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 1 << 19):
+    def __init__(self, path: str, end_id: int, most: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -195,7 +195,7 @@ class Encoder:
             return [np.concatenate([x, end]) for x in self._ids([t or "" for t in column.to_pylist()])]
         if not len(data):
             return [end] * len(column)
-        if self.known > self.most or self.at[self.known] > 16 * self.most:
+        if self.known > self.most or self.at[self.known] > 8 * self.most:
             self._clear()
         starts, ends = self._parts(data, offsets)
         names = self._names(data, starts, ends)
@@ -350,32 +350,36 @@ def write_token_ids(df: DataFrame, tokenizer_path: str, folder: str | None = Non
     return written(files.withColumn("start", F.coalesce(before, F.lit(0).cast("long"))), "manifest")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "n_tokens", "ids"]
-    for batch in batches:
-        for row in batch.to_pylist():
-            fs, where = pyarrow.fs.FileSystem.from_uri(row["path"])
-            with fs.open_input_file(where) as file:
-                out, held, start = [], 0, row["start"]
-                for doc_id, ids in FileReader(file).documents():
-                    out.append((doc_id, start, len(ids), ids.tobytes()))
-                    start, held = start + len(ids), held + len(ids)
-                    if held > 1 << 21:
-                        yield _batch(out, names)
-                        out, held = [], 0
-                if out:
-                    yield _batch(out, names)
+def _read(digests: bool):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, where = pyarrow.fs.FileSystem.from_uri(row["path"])
+                with fs.open_input_file(where) as file:
+                    out, held, start = [], 0, row["start"]
+                    for doc_id, ids in FileReader(file).documents():
+                        out.append((doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids)) if digests else ids.tobytes()))
+                        start, held = start + len(ids), held + len(ids)
+                        if held > 1 << 21:
+                            yield _batch(out, digests)
+                            out, held = [], 0
+                    if out:
+                        yield _batch(out, digests)
+
+    return of
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    ids, start, n, raw = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names)
+def _batch(rows: list[tuple], digests: bool) -> pa.RecordBatch:
+    ids, start, n, last = zip(*rows)
+    last = pa.array(last, pa.int64() if digests else pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"])
 
 
-def read_token_ids(manifest: DataFrame) -> DataFrame:
-    """Documents of the files, a task per file: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian 32-bit)."""
+def read_token_ids(manifest: DataFrame, digests: bool = False) -> DataFrame:
+    """Documents of the files, a task per file: doc_id, start (ids of all documents before it), n_tokens and ids (binary, little-endian 32-bit); or, in place of the ids, their unsigned crc32 as ids_crc32."""
     files = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(files).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    last = "ids_crc32 long" if digests else "ids binary"
+    return manifest.select("path", "start").repartition(files).mapInArrow(_read(digests), f"doc_id long, start long, n_tokens long, {last}")
 
 
 @F.arrow_udf(T.LongType())
