@@ -11,7 +11,7 @@ from folio.llm.mixing import mix
 from folio.llm.ngram_jaccard import ngram_jaccard
 from folio.llm.quality_rules import quality_rules
 from folio.llm.queries import tokenizer_path
-from folio.llm.token_ids import crc32, read_token_ids, write_token_ids
+from folio.llm.token_ids import read_token_ids, write_token_ids
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -24,33 +24,39 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_rules(docs).where("_q.kept").drop("_q")
 
 
+def _same(id_col: str, key_col: str):
+    return F.col("doc_id").eqNullSafe(F.col(id_col)) & (F.col("text_key") == F.col(key_col))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id. Null ids stay."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id, of rows with equal id and text one. Null ids stay."""
     found = ngram_jaccard(docs, n=5, num=80, den=100)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs = _named(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    again = docs.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
+    again, on = written(again, "repeated"), _same("again_id", "again_key")
+    once = docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return docs.join(again, on, "left_anti").unionAll(once).drop("text_key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in 20 is in a benchmark phrase; their texts are left as they are."""
     found = find_contamination(docs, read(spark, sf_dir, "benchmark"), window=13)
     gone = written(found.where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "contaminated")
-    on = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
-    return _named(docs).join(gone, on, "left_anti").select(*docs.columns)
+    return _named(docs).join(gone, _same("gone_id", "gone_key"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; rows with equal id and text are taken equally often."""
     taken = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id"), F.col("text_key").alias("taken_key")).agg(F.max("copies").alias("copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("text_key") == F.col("taken_key"))
-    rows = _named(docs).join(taken, on).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = _named(docs).join(taken, _same("taken_id", "taken_key")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written and read back: doc_id, start, n_tokens, ids_crc32."""
     files = write_token_ids(docs, tokenizer_path(), end_id=2)
-    return read_token_ids(files).select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+    return read_token_ids(files, digests=True)
 
 
 STAGES = [
