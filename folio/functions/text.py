@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from folio import lexicons as L
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once: as a lambda's variable nothing repeats its expression."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
@@ -130,10 +135,6 @@ def polish_payload(draft: Column, target_lang: str) -> Column:
     return F.concat(F.lit(f"TRADUCCIÓN EXISTENTE ({target_lang}):\n<traduccion_existente>\n"), full, F.lit("\n</traduccion_existente>"))
 
 
-def book_key(file_hash: Column) -> Column:
-    return file_hash
-
-
 def fix_key(source_hash: Column, draft_hash: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit("fix"), source_hash, draft_hash), 256)
 

@@ -42,40 +42,45 @@ def targets(rows: DataFrame, book: str, order: str, length: Column, total_chars:
     return rows.withColumn("target", F.bround(upto / F.sum(size).over(w) * total_chars).cast("int"))
 
 
-def _breaks(text: Column) -> Column:
-    """Offsets at which a text breaks naturally: behind a line feed, or before white space behind a sign of punctuation."""
-    after = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.when((F.substring(text, i, F.lit(1)) == "\n") | F.substring(text, i, F.lit(2)).rlike(r"^[.?!;:]\s"), i))
-    return F.when(F.length(text) > 1, F.filter(after, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+def _is_break(chars: Column, i: Column) -> Column:
+    """Whether a text breaks naturally at an offset: behind a line feed, or before white space behind a sign of punctuation."""
+    before, behind = F.get(chars, i - 1), F.get(chars, i)
+    return (before == "\n") | (before.isin(*".?!;:") & behind.rlike(r"\s"))
 
 
-def snapped(breaks: Column, targets_: Column, n: Column, window: int = 120) -> Column:
-    """Cuts near the targets: the nearest break within the window, the left of two, always behind the cut before."""
+def snapped(chars: Column, targets_: Column, n: Column, window: int = 120) -> Column:
+    """Cuts near the targets, a zero before them: the nearest break within the window, the left of two, always behind the cut before.
+
+    Only offsets in the window are looked at, so the work grows with the targets and not with the text.
+    """
 
     def step(cuts: Column, target: Column) -> Column:
-        start = F.coalesce(F.element_at(cuts, -1), F.lit(0))
-        low, high = start + 1, n - 1
-        t = F.greatest(low, F.least(target, high))
-        near = F.filter(breaks, lambda b: (b >= low) & (b <= high) & (F.abs(b - t) <= window))
-        best = F.array_min(F.transform(near, lambda b: F.struct(F.abs(b - t).alias("far"), b.alias("at"))))["at"]
-        cut = F.when((start >= n) | (low > high), n).otherwise(F.coalesce(best, t))
-        return F.concat(cuts, F.array(cut.cast("int")))
+        def cut(s: Column) -> Column:
+            low, high = s["start"] + 1, n - 1
+            t = F.greatest(low, F.least(target, high))
+            return T.bound(t, lambda t: F.when((s["start"] >= n) | (low > high), n).otherwise(F.coalesce(nearest(t, F.greatest(low, t - window), F.least(high, t + window)), t)))
+
+        def nearest(t: Column, low: Column, high: Column) -> Column:
+            near = F.filter(F.sequence(low, high), lambda i: _is_break(chars, i))
+            return F.array_min(F.transform(near, lambda i: F.struct(F.abs(i - t).alias("far"), i.alias("at"))))["at"]
+
+        return F.concat(cuts, F.array(T.bound(F.struct(F.element_at(cuts, -1).alias("start")), cut).cast("int")))
 
-    empty = F.array().cast("array<int>")
-    return F.aggregate(targets_, empty, lambda cuts, t: F.when(F.size(cuts) == 0, step(F.array(F.lit(0)), t)).otherwise(step(cuts, t)))
+    return F.aggregate(targets_, F.array(F.lit(0)), step)
 
 
 def aligned(text: Column, lengths: Column) -> Column:
     """A draft's pieces, as many as lengths, cut in proportion to them."""
-    sizes = F.transform(lengths, lambda x: F.greatest(x, F.lit(1)))
-    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-    upto = F.transform(F.sequence(F.lit(1), F.size(sizes) - 1), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x))
-    goal = F.when(F.size(sizes) > 1, F.transform(upto, lambda u: F.bround(u / total * F.length(text)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    cuts = snapped(_breaks(text), goal, F.length(text))
-    drop = F.slice(cuts, 2, 1 << 20)  # the fold's first element is its start
-    ends = F.concat(F.when(F.size(goal) > 0, drop).otherwise(F.array().cast("array<int>")), F.array(F.length(text)))
-    starts = F.concat(F.array(F.lit(0)), ends)
-    pieces = F.transform(ends, lambda e, i: T.strip(F.substring(text, F.get(starts, i) + 1, e - F.get(starts, i))))
-    return F.when(F.length(text) == 0, F.transform(lengths, lambda x: F.lit(""))).otherwise(pieces)
+    sums = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.greatest(x, F.lit(1)))))
+    given = F.struct(F.split(text, "").alias("chars"), sums.alias("sums"), F.length(text).alias("n"))
+
+    def cut(g: Column) -> Column:
+        inner = F.slice(g["sums"], F.lit(2), F.greatest(F.size(g["sums"]) - 2, F.lit(0)))
+        goal = F.transform(inner, lambda u: F.bround(u / F.element_at(g["sums"], -1) * g["n"]).cast("int"))
+        cuts = F.concat(snapped(g["chars"], goal, g["n"]), F.array(g["n"]))
+        return T.bound(cuts, lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda start, k: T.strip(F.substring(text, start + 1, F.get(c, k + 1) - start))))
+
+    return F.when((F.length(text) == 0) | (F.size(lengths) == 0), F.transform(lengths, lambda x: F.lit(""))).otherwise(T.bound(given, cut))
 
 
 def page_words(text: Column, counts: Column, window: int = 20) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,21 +23,46 @@ SCHEMA = "voice string, decisions array<string>, glossary map<string,string>, ch
 
 
 def relevant(table: Column, text: Column) -> Column:
-    """Entries whose key occurs in the text, in any case, as a substring."""
-    return F.map_filter(table, lambda k, v: F.contains(F.lower(text), F.lower(k)))
-
-
-def relevant_terms(chunks: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most: int = 10_000) -> DataFrame:
-    """chunks x terms where the term occurs in the text. The terms are broadcast up to ``most`` of them, else joined by their words."""
-    hit = F.contains(F.lower(F.col(text_col)), F.lower(F.col(term_col)))
-    if len(terms.take(most + 1)) <= most:
-        return chunks.join(F.broadcast(terms), hit)
-    # a term lies inside the text, so its first three characters do, or all of a shorter term
-    cut = lambda low, k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    grams = lambda low: F.array_distinct(F.concat(F.array(F.lit("")), *[cut(low, k) for k in (1, 2, 3)]))
-    left = chunks.withColumn("_gram", F.explode(F.transform(F.array(F.lower(F.col(text_col))), grams)[0]))
-    right = terms.withColumn("_gram", F.substring(F.lower(term_col), 1, 3))
-    return left.join(right, "_gram").where(hit).drop("_gram")
+    """Entries whose key occurs in the text, in any case, as a substring. The text is lowered once."""
+    return F.transform(F.array(F.lower(text)), lambda low: F.map_filter(table, lambda k, v: F.contains(low, F.lower(k))))[0]
+
+
+def relevant_terms(chunks: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most: int = 200_000) -> DataFrame:
+    """chunks x terms where the term occurs in the text, in any case, as a substring.
+
+    The distinct lowered terms go into an automaton that finds all of them in one
+    pass over a text; beyond ``most`` of them several passes are made, each with the
+    terms of some hashes, so the driver holds one block at a time. Found terms meet
+    the terms' rows by an equality join: texts are neither copied nor shuffled for
+    terms that they don't hold. Null texts hold none; the empty term is in every text.
+    """
+    lowered = terms.where(F.col(term_col).isNotNull()).withColumn("_term", F.lower(term_col))
+    distinct = lowered.select("_term").distinct()
+    blocks = -(-distinct.count() // most) or 1
+    block = F.pmod(F.xxhash64("_term"), F.lit(blocks))
+    rows = chunks.withColumn("_low", F.lower(F.col(text_col)))
+    out = None
+    for k in range(blocks):
+        some = [r[0] for r in distinct.where(block == k).collect()]  # at most about ``most``
+        hits = rows.withColumn("_term", F.explode(_finder(some)(F.col("_low")))).drop("_low")
+        out = hits if out is None else out.unionAll(hits)
+    return out.join(lowered, "_term").drop("_term")
+
+
+def _finder(terms: list[str]):
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        always = [t for t in terms if t == ""]
+        automaton = Automaton()
+        for t in terms:
+            if t:
+                automaton.add_word(t, t)
+        if len(automaton):
+            automaton.make_automaton()
+        of = lambda x: always + (list(dict.fromkeys(t for _, t in automaton.iter(x))) if len(automaton) else [])
+        return pa.array([None if x is None else of(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return found
 
 
 def recent(decisions: Column, n: int = L.PROMPT_DECISIONS) -> Column:

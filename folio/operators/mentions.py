@@ -12,35 +12,52 @@ from folio.functions.text import folded
 _LETTERS = "A-Za-zÁÉÍÓÚÑáéíóúñ"
 
 
+#: Characters of context that any rule looks at.
+_NEAR = 42
+_WHOLE = r"(?<![\p{L}\p{N}_])" + L.NAME + r"(?![\p{L}\p{N}_])"
+
+
 def name_tokens(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
-    """(keys, name, start, text): runs of letters and digits that are a name; start counts characters from 0."""
+    """(keys, name, start, before, after, sentence_start) of each run of letters and digits that is a name.
+
+    start counts characters from 0; before and after hold the 42 characters around
+    it. A text is cut at its names, so that what is dealt out is a row for each
+    name with the ends of the text between, never the text. Rows with equal or
+    null keys are texts of their own.
+    """
     text = F.col(text_col)
-    run = r"[\p{L}\p{N}_]+"
-    # words and what lies before them, in one array each; offsets are their running lengths
-    rows = df.select(*keys, text.alias("text"), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("w"), F.split(text, run, -1).alias("g"))
-    rows = rows.select(*keys, "text", F.posexplode(F.arrays_zip(F.col("g").alias("g"), F.col("w").alias("w"))).alias("pos", "t"))
-    before = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    light = rows.select(*keys, "pos", F.col("t.w").alias("name"), F.length("t.g").alias("gap"), F.coalesce(F.length("t.w"), F.lit(0)).alias("n"))
-    start = F.coalesce(F.sum(F.col("gap") + F.col("n")).over(before), F.lit(0)) + F.col("gap")
-    names = light.withColumn("start", start.cast("int")).where(F.col("name").rlike(f"^{L.NAME}$")).select(*keys, "name", "start")
-    return names.join(df.select(*keys, text.alias("text")), list(keys))
+    texts = df.select(*keys, F.monotonically_increasing_id().alias("_row"), text.alias("text"))
+    names, gaps = F.regexp_extract_all("text", F.lit(_WHOLE), F.lit(0)), F.split("text", _WHOLE, -1)
+    rows = texts.select(*keys, "_row", F.posexplode(F.arrays_zip(gaps.alias("gap"), names.alias("name"))).alias("_pos", "t")).select(*keys, "_row", "_pos", "t.gap", "t.name")
+    tail, n = F.right("gap", F.lit(_NEAR)), F.coalesce(F.length("name"), F.lit(0))
+    # the last sign before a name; a gap of white space leaves the name before it, or the text's beginning
+    last = lambda c: F.regexp_extract(c, r"(?U)(\S)\s*$", 1)
+    sign = F.coalesce(F.nullif(last(tail), F.lit("")), F.when(F.length("gap") > _NEAR, last(F.col("gap"))), F.lit(""))
+    rows = rows.select(*keys, "_row", "_pos", "name", F.length("gap").alias("gap"), n.alias("n"), tail.alias("tail"), F.left("gap", F.lit(_NEAR)).alias("head"), sign.alias("sign"))
+    # each name with its gap has four characters at least, so eleven neighbours hold the context
+    order = W.partitionBy("_row").orderBy("_pos")
+    name = F.coalesce("name", F.lit(""))
+    so_far = F.sum(F.col("gap") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    back = F.array_join(F.collect_list(F.concat("tail", name)).over(order.rowsBetween(-11, -1)), "")
+    ahead = F.array_join(F.collect_list(F.concat("head", name)).over(order.rowsBetween(1, 11)), "")
+    rows = rows.withColumns({"start": so_far.cast("int"), "back": back, "ahead": ahead}).where("name IS NOT NULL")
+    starts = F.col("sign").isin(".", "!", "?") | ((F.col("sign") == "") & (F.col("_pos") == 0))
+    return rows.select(*keys, "name", "start", F.right(F.concat("back", "tail"), F.lit(_NEAR)).alias("before"), F.left("ahead", F.lit(_NEAR)).alias("after"), starts.alias("sentence_start"))
 
 
 def with_evidence(names: DataFrame) -> DataFrame:
-    """Adds norm and the flags of each mention's context, cut from the text at the mention."""
-    text, name, start = F.col("text"), F.col("name"), F.col("start")
-    end = start + F.length("name")
-    before = lambda n: F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
-    after = lambda n: F.substring(text, end + 1, F.lit(n))
+    """Adds norm and the flags of each mention's context."""
+    name = F.col("name")
+    before = lambda n: F.right("before", F.lit(n))
+    after = lambda n: F.left("after", F.lit(n))
     word = lambda c: folded(F.regexp_extract(c, f"([{_LETTERS}]+)[^{_LETTERS}]*$", 1))
     verbs = lambda v: "(?:" + "|".join(v) + ")"
     edge = r"(?![\p{L}\p{N}_])"
-    head = F.regexp_replace(F.substring(text, F.lit(1), start), r"(?U)\s+$", "")
     said = F.concat(F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){verbs(L.SPEECH)}\s+"), name, F.lit(edge))
     return names.select(
-        *[c for c in names.columns if c != "text"],
+        *[c for c in names.columns if c not in ("before", "after", "sentence_start")],
         folded(name).alias("norm"),
-        ((head == "") | head.rlike(r"[.!?]$")).alias("sentence_start"),
+        "sentence_start",
         (F.regexp_like(before(42), said) | after(42).rlike(rf"(?iu)^\s+{verbs(L.SPEECH)}{edge}")).alias("speech"),
         after(24).rlike(rf"(?iu)^\s+{verbs(L.ACTION)}{edge}").alias("action"),
         word(before(20)).isin(L.TITLES).alias("title"),
@@ -60,9 +77,10 @@ def score() -> Column:
 
 
 def ranked(counted: DataFrame, *keys: str, known: DataFrame | None = None, most: int = 6) -> DataFrame:
-    """The best ``most`` of each text. known: (keys, name) of names that need no evidence; their spelling wins."""
+    """The best ``most`` of each text. known: (keys, name) of names that need no evidence; their spelling wins, of several the one with the highest ``place`` if there is such a column."""
     if known is not None:
-        given = known.select(*keys, folded(F.col("name")).alias("norm"), F.col("name").alias("known")).groupBy(*keys, "norm").agg(F.max("known").alias("known"))
+        later = F.struct(F.col("place") if "place" in known.columns else F.lit(0), "name")
+        given = known.withColumn("norm", folded(F.col("name"))).groupBy(*keys, "norm").agg(F.max_by("name", later).alias("known"))
         counted = counted.join(given, [*keys, "norm"], "left")
     else:
         counted = counted.withColumn("known", F.lit(None).cast("string"))

@@ -11,28 +11,35 @@ from folio.functions import text as T
 _SENTENCE_END = r'(?<=[.!?…])\s+(?=[A-ZÁÉÍÓÚÑ"«—])'
 
 
-def packed(parts: Column, most: int, joint: str, size=T.est_tokens, extra: int = 0) -> Column:
-    """Parts joined greedily while the sum of their sizes is at most ``most``; a larger part stands alone.
+def grouped(parts: Column, sizes: Column, most: int, extra: int = 0) -> Column:
+    """Ends of greedy groups of parts: each holds a sum of sizes of at most ``most``; a larger part stands alone.
 
-    extra: size of the joint, counted for all but the first part of a group.
+    extra: size of the joint, counted for all but the first part of a group. The
+    fold carries the ends found so far and one sum; sizes are computed beforehand.
     """
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(0).alias("n"))
 
-    def step(s: Column, p: Column) -> Column:
-        n = size(p)
-        some = F.size(s["open"]) > 0
+    def step(s: Column, n: Column) -> Column:
         alone = n > most
+        some = s["open"] > 0
         closes = some & (alone | (s["n"] + n + extra > most))
-        done = F.when(closes, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-        own = F.array(p)
+        ends = F.when(closes, F.concat(s["ends"], F.array(s["at"]))).otherwise(s["ends"])
         return F.struct(
-            F.when(alone, F.concat(done, F.array(own))).otherwise(done).alias("done"),
-            F.when(alone, F.array().cast("array<string>")).when(closes, own).otherwise(F.concat(s["open"], own)).alias("open"),
+            F.when(alone, F.concat(ends, F.array(s["at"] + 1))).otherwise(ends).alias("ends"),
+            (s["at"] + 1).alias("at"),
+            F.when(alone, 0).when(closes, 1).otherwise(s["open"] + 1).cast("int").alias("open"),
             F.when(alone, 0).when(closes, n).otherwise(s["n"] + n + F.when(some, extra).otherwise(0)).cast("int").alias("n"),
         )
 
-    end = lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-    return F.transform(F.aggregate(parts, start, step, end), lambda g: F.array_join(g, joint))
+    return F.aggregate(sizes, start, step, lambda s: F.when(s["open"] > 0, F.concat(s["ends"], F.array(s["at"]))).otherwise(s["ends"]))
+
+
+def packed(parts: Column, most: int, joint: str, size=T.est_tokens, extra: int = 0) -> Column:
+    """Parts joined greedily while the sum of their sizes is at most ``most``; a larger part stands alone. size: of a part."""
+    piece = lambda p, ends, end, k: F.array_join(F.slice(p, F.when(k == 0, 0).otherwise(F.get(ends, k - 1)) + 1, end - F.when(k == 0, 0).otherwise(F.get(ends, k - 1))), joint)
+    cut = lambda p, ends: F.transform(ends, lambda end, k: piece(p, ends, end, k))
+    whole = lambda p: T.bound(grouped(p, F.transform(p, size), most, extra), lambda ends: cut(p, ends))
+    return T.bound(parts, whole)
 
 
 def by_sentences(text: Column, most: int) -> Column:
@@ -42,8 +49,9 @@ def by_sentences(text: Column, most: int) -> Column:
 def split_large(text: Column, most: int) -> Column:
     """A segment's text in pieces of at most ``most`` tokens: by paragraphs, an oversize paragraph by sentences."""
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), T.strip), lambda p: p != "")
-    pieces = F.flatten(F.transform(packed(paragraphs, most, "\n\n"), lambda p: F.when(T.est_tokens(p) > most, by_sentences(p, most)).otherwise(F.array(p))))
-    return F.when(T.est_tokens(text) <= most, F.array(text)).when(F.size(paragraphs) <= 1, by_sentences(text, most)).otherwise(pieces)
+    smaller = lambda p: F.when(T.est_tokens(p) > most, by_sentences(p, most)).otherwise(F.array(p))
+    pieces = lambda p: F.when(F.size(p) <= 1, by_sentences(text, most)).otherwise(F.flatten(F.transform(packed(p, most, "\n\n"), smaller)))
+    return F.when(T.est_tokens(text) <= most, F.array(text)).otherwise(T.bound(paragraphs, pieces))
 
 
 def merged_small(segs: Column, least: int, most: int) -> Column:
@@ -85,13 +93,4 @@ def indexed(chunks_: DataFrame, book: str, section: str) -> DataFrame:
 def char_chunks(text: Column, most: int = 1200) -> Column:
     """Blocks between blank lines, joined while their characters with joints are at most ``most``."""
     blocks = F.filter(F.transform(F.split(text, r"\n\s*\n"), T.strip), lambda b: b != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(s: Column, b: Column) -> Column:
-        over = (s["open"] != "") & (F.length(s["open"]) + 2 + F.length(b) > most)
-        return F.struct(
-            F.when(over, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
-            F.when(over | (s["open"] == ""), b).otherwise(F.concat(s["open"], F.lit("\n\n"), b)).alias("open"),
-        )
-
-    return F.aggregate(blocks, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return packed(blocks, most, "\n\n", F.length, 2)

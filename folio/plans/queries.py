@@ -110,11 +110,12 @@ MARKER_SQL = "(regexp_matches({0}, '(?i)^\\s*(chapter|capítulo|chapitre|kapitel
 @query(f"""WITH {MARKED_SQL}, p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM marked),
 e AS (SELECT doc_id, l[i + 1] AS line, i FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM p)),
 m AS (SELECT *, {MARKER_SQL.format('line')} AS mk FROM e),
-g AS (SELECT *, sum(CASE WHEN mk AND i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM m),
+g AS (SELECT *, sum(CASE WHEN mk AND i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM m
+      WHERE doc_id IN (SELECT doc_id FROM m WHERE mk GROUP BY doc_id HAVING count(*) >= 2)),
 t AS (SELECT doc_id, island, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10) || chr(9)) AS text FROM g GROUP BY doc_id, island)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS section_idx, text FROM t WHERE text <> ''""")
 def q_section_split(spark, sf_dir):
-    return segment.sections(marked(spark, sf_dir).where(segment.has_markers(F.col("text")) | F.lit(True)), "doc_id")
+    return segment.sections(marked(spark, sf_dir).where(segment.has_markers(F.col("text"))), "doc_id")
 
 
 @query(f"""WITH {MARKED_SQL}, p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM marked),
@@ -124,14 +125,15 @@ def q_has_markers(spark, sf_dir):
 
 
 # Lines as blocks, so that the fixtures, which have no blank lines, exercise the folds.
+_BLOCKS = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 FOLD_SQL = r"""
-WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+WITH RECURSIVE b AS (SELECT doc_id, {parts} AS l FROM documents),
 w AS (SELECT doc_id, l, [len(regexp_extract_all(x, '\S+')) FOR x IN l] AS n FROM b WHERE len(l) > 0),
 f AS (SELECT doc_id, l, n, 1 AS i, 0 AS g, {first} AS c FROM w UNION ALL SELECT doc_id, l, n, i + 1, {group}, {count} FROM f WHERE i < len(l))
 """
 
 
-@query(FOLD_SQL.format(first="n[1]", group="CASE WHEN c >= 40 THEN g + 1 ELSE g END", count="CASE WHEN c >= 40 THEN n[i + 1] ELSE c + n[i + 1] END") + r""",
+@query(FOLD_SQL.format(parts=_BLOCKS, first="n[1]", group="CASE WHEN c >= 40 THEN g + 1 ELSE g END", count="CASE WHEN c >= 40 THEN n[i + 1] ELSE c + n[i + 1] END") + r""",
 k AS (SELECT doc_id, i, g, l[i] AS x, max(g) OVER (PARTITION BY doc_id) AS last, sum(n[i]) OVER (PARTITION BY doc_id, g) AS total FROM f),
 m AS (SELECT doc_id, i, CASE WHEN g = last AND total < 40 AND g > 0 THEN g - 1 ELSE g END AS g, x FROM k)
 SELECT doc_id, CAST(g AS INTEGER) AS section_idx, string_agg(x, chr(10) || chr(10) ORDER BY i) AS text FROM m GROUP BY doc_id, g""")
@@ -143,25 +145,56 @@ def q_section_merge40(spark, sf_dir):
 _TOK = "CAST(floor(n[{0}] * 1.3::DOUBLE) AS INTEGER)"
 
 
-@query(FOLD_SQL.format(first=_TOK.format(1), group=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN g + 1 ELSE g END", count=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN {_TOK.format('i + 1')} ELSE c + {_TOK.format('i + 1')} END")
+@query(FOLD_SQL.format(parts=_BLOCKS, first=_TOK.format(1), group=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN g + 1 ELSE g END", count=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN {_TOK.format('i + 1')} ELSE c + {_TOK.format('i + 1')} END")
        + " SELECT doc_id, CAST(g AS INTEGER) AS piece, string_agg(l[i], chr(10) || chr(10) ORDER BY i) AS text FROM f GROUP BY doc_id, g")
 def q_pack_lines_200(spark, sf_dir):
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pack.packed(lines, 200, "\n\n")).alias("piece", "text"))
 
 
-@query()
+# Sentences, by a mark put in where one ends: the engine looks ahead, which this SQL can't.
+_SENTENCES = r"""string_split(regexp_replace({0}, '([.!?…])\s+([A-ZÁÉÍÓÚÑ"«—])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
+
+
+@query(FOLD_SQL.format(parts=_SENTENCES.format("text"), first=_TOK.format(1), group=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN g + 1 ELSE g END", count=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN {_TOK.format('i + 1')} ELSE c + {_TOK.format('i + 1')} END")
+       + " SELECT doc_id, CAST(g AS INTEGER) AS piece, string_agg(l[i], ' ' ORDER BY i) AS text FROM f GROUP BY doc_id, g")
 def q_pack_sentences_200(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pack.by_sentences(F.col("text"), 200)).alias("piece", "text"))
 
 
-@query()
+_N = "len(regexp_extract_all({0}, '\\S+'))"
+# Groups of parts of one key under a sum of tokens, as a step of a longer statement: from (key, l) to (key, g, text).
+_GROUPS = r"""
+{0}_f AS (SELECT key, l, 1 AS i, 0 AS g, floor({n1} * 1.3::DOUBLE) AS c FROM {0} WHERE len(l) > 0 UNION ALL
+          SELECT key, l, i + 1, CASE WHEN c + floor({ni} * 1.3::DOUBLE) > 300 THEN g + 1 ELSE g END, CASE WHEN c + floor({ni} * 1.3::DOUBLE) > 300 THEN floor({ni} * 1.3::DOUBLE) ELSE c + floor({ni} * 1.3::DOUBLE) END FROM {0}_f WHERE i < len(l)),
+{0}_g AS (SELECT key, g, string_agg(l[i], {joint} ORDER BY i) AS text FROM {0}_f GROUP BY key, g)
+"""
+_groups = lambda name, joint: _GROUPS.format(name, joint=joint, n1=_N.format("l[1]"), ni=_N.format("l[i + 1]"))
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE {SEGMENTS_SQL},
+para AS (SELECT {{'d': doc_id, 's': seg_no}} AS key, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS l, text FROM seg WHERE token_estimated > 300),
+many AS (SELECT key, l FROM para WHERE len(l) > 1), {_groups('many', 'chr(10) || chr(10)')},
+one AS (SELECT key, 0 AS g, text FROM para WHERE len(l) <= 1 UNION ALL SELECT key, g, text FROM many_g),
+sent AS (SELECT {{'k': key, 'g': g}} AS key, {_SENTENCES.format('text')} AS l FROM one WHERE floor({_N.format('text')} * 1.3::DOUBLE) > 300), {_groups('sent', "' '")},
+piece AS (SELECT doc_id, source, seg_no, 0 AS g, 0 AS h, boundary_type, original_position, text FROM seg WHERE token_estimated <= 300
+          UNION ALL SELECT key.d, NULL, key.s, g, 0, 'paragraph', NULL, text FROM one WHERE floor({_N.format('text')} * 1.3::DOUBLE) <= 300
+          UNION ALL SELECT key.k.d, NULL, key.k.s, key.g, g, 'paragraph', NULL, text FROM sent_g),
+num AS (SELECT p.doc_id, d.source, row_number() OVER (PARTITION BY p.doc_id ORDER BY seg_no, g, h) AS i, boundary_type, p.text AS text, {_N.format('p.text')} AS n FROM piece p JOIN documents d USING (doc_id)),
+mrg AS (SELECT doc_id, i, 0 AS g, n AS words, boundary_type AS b FROM num WHERE i = 1 UNION ALL
+        SELECT doc_id, x.i, CASE WHEN can THEN x.g ELSE x.g + 1 END, CASE WHEN can THEN x.words + x.n ELSE x.n END, CASE WHEN can THEN x.b ELSE x.nb END
+        FROM (SELECT m.doc_id, s.i, m.g, m.words, m.b, s.n, s.boundary_type AS nb, floor(m.words * 1.3::DOUBLE) < 100 AND floor(m.words * 1.3::DOUBLE) + floor(s.n * 1.3::DOUBLE) <= 300 AND s.boundary_type <> 'chapter' AND m.b <> 'chapter' AS can
+              FROM mrg m JOIN num s ON s.doc_id = m.doc_id AND s.i = m.i + 1) x),
+chk AS (SELECT doc_id, source, g, string_agg(text, chr(10) || chr(10) ORDER BY i) AS original, sum(n) AS n, arg_min(boundary_type, i) AS boundary_type FROM num JOIN mrg USING (doc_id, i) GROUP BY doc_id, source, g)
+SELECT source, doc_id, CAST(g AS INTEGER) AS chunk_index, original, CAST(floor(n * 1.3::DOUBLE) AS INTEGER) AS token_estimated, boundary_type, 'pending' AS status, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, g) - 1 AS INTEGER) AS book_index FROM chk""")
 def q_chunks(spark, sf_dir):
     segs = segment.segments(marked(spark, sf_dir), "source", "doc_id")
     return pack.indexed(pack.chunks(segs, 100, 300, "source", "doc_id"), "source", "doc_id")
 
 
-@query()
+@query(FOLD_SQL.format(parts=_BLOCKS, first="length(l[1])", group="CASE WHEN c + 2 + length(l[i + 1]) > 1200 THEN g + 1 ELSE g END", count="CASE WHEN c + 2 + length(l[i + 1]) > 1200 THEN length(l[i + 1]) ELSE c + 2 + length(l[i + 1]) END")
+       + " SELECT doc_id, CAST(g AS INTEGER) AS piece, string_agg(l[i], chr(10) || chr(10) ORDER BY i) AS text FROM f GROUP BY doc_id, g")
 def q_char_chunks_1200(spark, sf_dir):
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pack.char_chunks(text)).alias("piece", "text"))
@@ -268,10 +301,11 @@ def q_context_compress(spark, sf_dir):
 
 @query(f"WITH {TERMS_SQL} SELECT doc_id, count(*) FILTER (WHERE contains(lower(text), term))::DOUBLE / count(*) AS ratio FROM documents CROSS JOIN (SELECT DISTINCT term FROM terms WHERE term <> '') GROUP BY doc_id")
 def q_compression_ratio(spark, sf_dir):
-    glossary = terms(spark, sf_dir).groupBy("term").agg(F.min("item_id").cast("string").alias("v"))
-    whole = glossary.agg(F.map_from_entries(F.collect_list(F.struct("term", "v"))).alias("m"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(whole))  # one row
-    return docs.select("doc_id", memory.ratio(F.size(memory.relevant(F.col("m"), F.col("text"))), F.size("m")).alias("ratio"))
+    glossary = terms(spark, sf_dir).select("term").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = memory.relevant_terms(docs, glossary).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    total = F.lit(glossary.count())  # one number
+    return docs.join(kept, "doc_id", "left").select("doc_id", memory.ratio(F.coalesce("kept", F.lit(0)), total).alias("ratio"))
 
 
 _CUE = lambda cues: " + ".join(f"contains(low, '{c}')::INTEGER" for c in cues)
@@ -434,7 +468,13 @@ def q_align_targets(spark, sf_dir):
     return assemble.targets(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"), F.lit(1000)).select("conv_id", "turn", "target")
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT conv_id, coalesce(list(greatest(length(text), 1) ORDER BY turn) FILTER (WHERE role = 'user'), []) AS sizes, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS draft FROM conversations GROUP BY conv_id),
+t AS (SELECT conv_id, draft, length(draft) AS n, [CAST(round_even(list_sum(sizes[1:k]) / list_sum(sizes)::DOUBLE * length(draft), 0) AS BIGINT) FOR k IN range(1, len(sizes))] AS goals FROM c WHERE len(sizes) > 0),
+a AS (SELECT conv_id, draft, n, goals, 0 AS k, 0::BIGINT AS start, 0::BIGINT AS before FROM t UNION ALL
+      SELECT conv_id, draft, n, goals, k + 1, CASE WHEN k = len(goals) OR start >= n OR start + 1 > n - 1 THEN n ELSE
+        coalesce((list_min([{'far': abs(i - goal), 'pos': i} FOR i IN range(greatest(start + 1, goal - 120), least(n - 1, goal + 120) + 1) IF substr(draft, i, 1) = chr(10) OR (substr(draft, i, 1) IN ('.', '?', '!', ';', ':') AND regexp_matches(substr(draft, i + 1, 1), '\s'))])).pos, goal) END, start
+      FROM (SELECT *, greatest(start + 1, least(goals[k + 1], n - 1)) AS goal FROM a WHERE k <= len(goals)))
+SELECT conv_id, CAST(k - 1 AS INTEGER) AS chunk_index, regexp_replace(substr(draft, before + 1, start - before), '^\s+|\s+$', '', 'g') AS piece FROM a WHERE k > 0""")
 def q_align_split(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     by = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
@@ -442,7 +482,17 @@ def q_align_split(spark, sf_dir):
     return both.where(F.size("source") > 0).select("conv_id", F.posexplode(assemble.aligned(F.col("draft"), F.transform("source", F.length))).alias("chunk_index", "piece"))
 
 
-@query()
+_ENDS = """regexp_matches(regexp_replace(w[i], '["''»)]+$', ''), '[.!?]$')"""
+_CUT = lambda at: f"coalesce([i FOR i IN range(greatest({at}, 1), least(n, {at} + 20)) IF {_ENDS}][1], [i FOR i IN range({at}, greatest(0, {at} - 20), -1) IF {_ENDS}][1], {at})"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\S+') AS w FROM documents),
+a AS (SELECT *, least(CAST(round_even(120 / 400::DOUBLE * n, 0) AS BIGINT), n) AS t FROM (SELECT *, len(w) AS n FROM d)),
+b AS (SELECT doc_id, w, n, {_CUT('t')} AS one FROM a),
+c AS (SELECT *, least(one + CAST(round_even(80 / 400::DOUBLE * n, 0) AS BIGINT), n) AS t FROM b),
+e AS (SELECT doc_id, w, n, one, {_CUT('t')} AS two FROM c),
+f AS (SELECT doc_id, w, unnest([{{'page': 0, 'low': 0, 'high': one}}, {{'page': 1, 'low': one, 'high': two}}, {{'page': 2, 'low': two, 'high': n}}]) AS p FROM e)
+SELECT doc_id, p.page AS page, CASE WHEN p.high > p.low THEN array_to_string(w[p.low + 1:p.high], ' ') ELSE '' END AS text FROM f""")
 def q_page_distribution(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(assemble.page_words(F.col("text"), F.array(F.lit(120), F.lit(80), F.lit(200)))).alias("page", "text"))
 
