@@ -1,4 +1,4 @@
-"""Command line: ``python -m folio.cli translate BOOK --from en --to es --size standard --out FOLDER``."""
+"""Command line: ``python -m folio.cli translate BOOK --from en --to es --size standard --out FOLDER``; also ``fix BOOK --draft FILE`` and ``polish DRAFT``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import assemble
-from folio.plans import pipeline
+from folio.plans import pipeline, run
 from folio.session import PRESETS, session
 from folio.sources import files
 
@@ -17,8 +17,9 @@ from folio.sources import files
 def main(argv: list[str] | None = None) -> int:
     """0: all done, 1: wrong arguments, 2: some chunks are flagged or pending."""
     parser = argparse.ArgumentParser(prog="folio")
-    parser.add_argument("verb", choices=["translate", "polish"])
-    parser.add_argument("book")
+    parser.add_argument("verb", choices=["translate", "fix", "polish"])
+    parser.add_argument("book", help="the original; for polish the draft itself")
+    parser.add_argument("--draft", help="for fix: the translation to correct")
     parser.add_argument("--from", dest="source", default="en")
     parser.add_argument("--to", dest="target", default="es")
     parser.add_argument("--size", choices=sorted(PRESETS), default="standard")
@@ -27,12 +28,18 @@ def main(argv: list[str] | None = None) -> int:
     try:
         files.check_arguments(args.book, args.source, args.target)
         files.reader_of(args.book)
+        if args.verb == "fix":
+            files.check_arguments(args.draft or "", args.source, args.target)
+            files.reader_of(args.draft)
     except (OSError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1
     spark = session()
     book = files.read_book(spark, args.book).withColumn("book_id", F.lit(1).cast("long"))
-    done = pipeline.answered(pipeline.book_chunks(book, args.size)).cache()
+    chunks = pipeline.book_chunks(book, args.size)
+    if args.verb == "fix":
+        chunks = run.fix_chunks(chunks, files.read_book(spark, args.draft).select(F.lit(1).cast("long").alias("book_id"), "sections"))
+    done = run.run(chunks, run.Settings(pipeline.offline_models, task=args.verb, source=args.source, target=args.target)).cache()
     named = pipeline.finished(done).join(book, "book_id").select(F.concat(T.slug(F.col("title")), F.lit(f"_{args.target}")).alias("name"), "text")
     assemble.write_books(named, args.out)
     counts = pipeline.summary(done).first()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio import lexicons as L
+
 _TASKS = {
     "translate": "Translate the passage from {source} to {target}.",
     "fix": "Correct the {target} draft against the {source} original.",
@@ -12,6 +14,9 @@ _TASKS = {
 }
 
 
+_ANSWER = 'Answer with a JSON object: {"translation": text, "confidence": 0 to 1, "notes": text}.'
+
+
 def listed(items: Column, empty: str) -> Column:
     return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(F.lit(empty))
 
@@ -31,10 +36,35 @@ def prompt(task: str, source: str, target: str, voice: Column, decisions: Column
         F.concat(F.lit("Glossary:\n"), pairs(glossary, "none")),
         F.concat(F.lit("Characters:\n"), pairs(characters, "none")),
         F.concat(F.lit("Last scene: "), full(last_scene, "this is the beginning")),
-        F.lit('Answer with a JSON object: {"translation": text, "confidence": 0 to 1, "notes": text}.'),
+        F.lit(_ANSWER),
     )
 
 
+def rendered(task: str, source: str, target: str, voice: str, decisions: list[str], glossary: dict, characters: dict, last_scene: str) -> str:
+    """The same prompt of plain values, for a run's loop."""
+    rows = lambda items: "\n".join(f"- {x}" for x in items) or "none"
+    table = lambda d: rows(f"{k}: {v}" for k, v in sorted(d.items()))
+    return "\n\n".join([
+        _TASKS[task].format(source=source, target=target), f"Voice: {voice or 'not settled yet'}", f"Decisions:\n{rows(decisions)}", f"Glossary:\n{table(glossary)}",
+        f"Characters:\n{table(characters)}", f"Last scene: {last_scene or 'this is the beginning'}", _ANSWER,
+    ])
+
+
+def extraction(original: str, translation: str, notes: str, names: list[str]) -> str:
+    """The request for an update of the memory."""
+    listed_ = "Candidates to confirm or reject:\n" + "\n".join(f"- {n}" for n in names) if names else ""
+    ask = 'Answer with a JSON object: {"voice": text, "glossary": {term: value}, "characters": {name: description}, "decisions": [text], "last_scene": text, "rejected": [name]}.'
+    return "\n\n".join(x for x in (f"Original:\n{original}", f"Translation:\n{translation}", f"Notes: {notes or L.NO_NOTES}", listed_, ask) if x)
+
+
+def polish_payload(draft: str | None, target: str) -> str:
+    return f"TRADUCCIÓN EXISTENTE ({target}):\n<traduccion_existente>\n{(draft or '').strip() or L.EMPTY}\n</traduccion_existente>"
+
+
+def fix_payload(source: str | None, draft: str | None, source_lang: str, target: str) -> str:
+    return f"TEXTO ORIGINAL ({source_lang}):\n<original>\n{(source or '').strip() or L.EMPTY}\n</original>\n\n{polish_payload(draft, target)}"
+
+
 def candidates(names: Column) -> Column:
     """The section that lists candidates, empty without any."""
     return F.when(F.size(names) > 0, F.concat(F.lit("Candidates to confirm or reject:\n"), listed(names, ""))).otherwise(F.lit(""))

@@ -7,6 +7,7 @@ its own for each book.
 
 from __future__ import annotations
 
+import json
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio import lexicons as L
+from folio.functions import plain
 from folio.functions import text as T
 
 SCHEMA = "voice string, decisions array<string>, glossary map<string,string>, characters map<string,string>, last_scene string"
@@ -65,6 +67,45 @@ def _finder(terms: list[str]):
     return found
 
 
+#: The memory as JSON.
+JSON = "struct<voice:string,decisions:array<string>,glossary:map<string,string>,characters:map<string,string>,last_scene:string>"
+_BASE = {"voice": L.DEFAULT_VOICE, "decisions": [], "glossary": {}, "characters": {}, "last_scene": ""}
+
+
+def to_json(memory: Column) -> Column:
+    return F.to_json(memory)
+
+
+def of_json(raw: Column) -> Column:
+    """The memory, or null where it can't be read; missing parts are those of the base memory."""
+    m = F.from_json(raw, JSON, {"mode": "PERMISSIVE"})
+    full = F.struct(
+        F.coalesce(m["voice"], F.lit(L.DEFAULT_VOICE)).alias("voice"), F.coalesce(m["decisions"], F.array().cast("array<string>")).alias("decisions"),
+        *[F.coalesce(m[c], F.create_map().cast("map<string,string>")).alias(c) for c in ("glossary", "characters")], F.coalesce(m["last_scene"], F.lit("")).alias("last_scene"),
+    )
+    return F.when(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT<"), full)
+
+
+def based(versions: DataFrame, books: DataFrame, book: str = "book_id") -> DataFrame:
+    """versions: (book, memory as JSON, version). Adds the base memory as the next version of each book without one, or whose latest can't be read."""
+    latest = versions.groupBy(book).agg(F.max_by("memory", "version").alias("memory"), F.max("version").alias("version"))
+    good = latest.where(of_json(F.col("memory")).isNotNull()).select(book)
+    bare = books.select(book).distinct().join(good, book, "left_anti").join(latest.select(book, "version"), book, "left")
+    seeds = bare.select(book, F.lit(json.dumps(_BASE, ensure_ascii=False)).alias("memory"), (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"))
+    return versions.select(book, "memory", F.col("version").cast("int").alias("version")).unionByName(seeds)
+
+
+def unenriched(candidates: DataFrame, characters: DataFrame, *keys: str) -> DataFrame:
+    """(keys, force): whether some candidate (keys, name) is not in the memory (keys, name, what), or only with the general description."""
+    rows = candidates.join(characters.select(*keys, "name", "what"), [*keys, "name"], "left")
+    return rows.groupBy(*keys).agg(F.bool_or(F.col("what").isNull() | (F.col("what") == L.GENERIC)).alias("force"))
+
+
+def local_voice(heard: Column, so_far: Column) -> Column:
+    """The voice that a local update sets: the inferred one, while there is none or the general one."""
+    return F.when((F.coalesce(so_far, F.lit("")) == "") | (so_far == L.DEFAULT_VOICE), heard)
+
+
 def recent(decisions: Column, n: int = L.PROMPT_DECISIONS) -> Column:
     return F.when(F.size(decisions) > n, F.slice(decisions, -n, n)).otherwise(decisions)
 
@@ -144,6 +185,35 @@ class Memory:
         if u["last_scene"]:
             self.last_scene = u["last_scene"]
 
+    def apply_update(self, u: dict) -> None:
+        """The same with an update as it comes: names are checked, decisions and scene shortened."""
+        pairs = lambda d: [{"k": k, "v": v} for k, v in d.items()]
+        clean = [plain.cleaned_decision(d) for d in u["decisions"]]
+        self.apply({
+            "voice": u["voice"], "rejected": u["rejected"], "glossary": pairs(u["glossary"]), "names": [p for p in pairs(u["characters"]) if plain.valid_name(p["k"])],
+            "decisions": [{"k": d, "v": plain.decision_key(d)} for d in clean], "last_scene": plain.truncated(u["last_scene"], L.MOST_SCENE_CHARS) if u["last_scene"] else None,
+        })
+
+    def compressed(self, text: str) -> dict:
+        """What a prompt for this text needs."""
+        low = text.lower()
+        named = lambda table: {k: v for k, v in table.items() if k.lower() in low}
+        recent = [t for t, _ in self.decisions[-L.PROMPT_DECISIONS :]]
+        return {"voice": self.voice, "decisions": recent, "glossary": named(self.glossary), "characters": named(self.characters), "last_scene": plain.truncated(self.last_scene, L.PROMPT_SCENE_CHARS)}
+
+    def to_json(self) -> str:
+        return json.dumps({"voice": self.voice, "decisions": [t for t, _ in self.decisions], "glossary": self.glossary, "characters": self.characters, "last_scene": self.last_scene}, ensure_ascii=False, indent=2)
+
+    @classmethod
+    def of_json(cls, raw: str | None) -> Memory | None:
+        """None if there is none, or it can't be read. Missing parts are those of the base memory."""
+        try:
+            d = json.loads(raw)
+            decisions = [(t, plain.decision_key(t)) for t in d.get("decisions", [])]
+            return cls(d.get("voice", L.DEFAULT_VOICE), decisions, d.get("glossary", {}), d.get("characters", {}), d.get("last_scene", ""))
+        except (TypeError, ValueError, AttributeError):
+            return None
+
 
 def _items(x) -> list:
     return [] if x is None else list(x)

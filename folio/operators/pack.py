@@ -42,46 +42,46 @@ def packed(parts: Column, most: int, joint: str, size=T.est_tokens, extra: int =
     return T.bound(parts, whole)
 
 
-def by_sentences(text: Column, most: int) -> Column:
-    return packed(F.split(text, _SENTENCE_END), most, " ")
+def by_sentences(text: Column, most: int, size=T.est_tokens) -> Column:
+    return packed(F.split(text, _SENTENCE_END), most, " ", size)
 
 
-def split_large(text: Column, most: int) -> Column:
+def split_large(text: Column, most: int, size=T.est_tokens) -> Column:
     """A segment's text in pieces of at most ``most`` tokens: by paragraphs, an oversize paragraph by sentences."""
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), T.strip), lambda p: p != "")
-    smaller = lambda p: F.when(T.est_tokens(p) > most, by_sentences(p, most)).otherwise(F.array(p))
-    pieces = lambda p: F.when(F.size(p) <= 1, by_sentences(text, most)).otherwise(F.flatten(F.transform(packed(p, most, "\n\n"), smaller)))
-    return F.when(T.est_tokens(text) <= most, F.array(text)).otherwise(T.bound(paragraphs, pieces))
+    smaller = lambda p: F.when(size(p) > most, by_sentences(p, most, size)).otherwise(F.array(p))
+    pieces = lambda p: F.when(F.size(p) <= 1, by_sentences(text, most, size)).otherwise(F.flatten(F.transform(packed(p, most, "\n\n", size), smaller)))
+    return F.when(size(text) <= most, F.array(text)).otherwise(T.bound(paragraphs, pieces))
 
 
-def merged_small(segs: Column, least: int, most: int) -> Column:
+def merged_small(segs: Column, least: int, most: int, size=T.est_tokens) -> Column:
     """Array of (text, boundary_type, position, tokens): a segment under ``least`` takes in its successor, never over a chapter."""
     start = F.slice(segs, 1, 1)
 
     def step(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
         text = F.concat(last["text"], F.lit("\n\n"), s["text"])
-        joined = F.struct(text.alias("text"), last["boundary_type"].alias("boundary_type"), last["position"].alias("position"), T.est_tokens(text).alias("tokens"))
+        joined = F.struct(text.alias("text"), last["boundary_type"].alias("boundary_type"), last["position"].alias("position"), size(text).alias("tokens"))
         can = (last["tokens"] < least) & (last["tokens"] + s["tokens"] <= most) & (s["boundary_type"] != "chapter") & (last["boundary_type"] != "chapter")
         return F.when(can, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(s)))
 
     return F.aggregate(F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 1, F.lit(0))), start, step)
 
 
-def expanded(segments: DataFrame, most: int, *keys: str) -> DataFrame:
+def expanded(segments: DataFrame, most: int, *keys: str, size=T.est_tokens) -> DataFrame:
     """Large segments in pieces: pieces inherit the position and become paragraphs."""
     large = F.col("token_estimated") > most
-    rows = segments.withColumn("large", large).select(*keys, "seg_no", "boundary_type", "original_position", "large", F.posexplode(F.when(large, split_large(F.col("text"), most)).otherwise(F.array("text"))).alias("piece", "text"))
-    return rows.select(*keys, "seg_no", "piece", F.when(F.col("large"), "paragraph").otherwise(F.col("boundary_type")).alias("boundary_type"), "original_position", "text", T.est_tokens(F.col("text")).alias("token_estimated"))
+    rows = segments.withColumn("large", large).select(*keys, "seg_no", "boundary_type", "original_position", "large", F.posexplode(F.when(large, split_large(F.col("text"), most, size)).otherwise(F.array("text"))).alias("piece", "text"))
+    return rows.select(*keys, "seg_no", "piece", F.when(F.col("large"), "paragraph").otherwise(F.col("boundary_type")).alias("boundary_type"), "original_position", "text", size(F.col("text")).alias("token_estimated"))
 
 
-def chunks(segments: DataFrame, least: int, most: int, *keys: str) -> DataFrame:
-    """(keys, chunk_index, original, token_estimated, boundary_type, status) of each section's segments."""
-    rows = expanded(segments, most, *keys)
+def chunks(segments: DataFrame, least: int, most: int, *keys: str, size=T.est_tokens) -> DataFrame:
+    """(keys, chunk_index, original, token_estimated, boundary_type, status) of each section's segments. size: the token estimate of a text."""
+    rows = expanded(segments, most, *keys, size=size)
     piece = F.struct("seg_no", "piece", "text", "boundary_type", F.col("original_position").alias("position"), F.col("token_estimated").alias("tokens"))
     whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("s"))
     plain = F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["boundary_type"].alias("boundary_type"), x["position"].alias("position"), x["tokens"].alias("tokens")))
-    out = whole.select(*keys, F.posexplode(merged_small(plain, least, most)).alias("chunk_index", "c"))
+    out = whole.select(*keys, F.posexplode(merged_small(plain, least, most, size)).alias("chunk_index", "c"))
     return out.select(*keys, "chunk_index", F.col("c.text").alias("original"), F.col("c.tokens").alias("token_estimated"), F.col("c.boundary_type").alias("boundary_type"), F.lit("pending").alias("status"))
 
 

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from folio import lexicons as L
 from folio.functions import text as T
 
-#: Line ends that count, beside the plain line feed.
-_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-
-
 def lines(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     """(keys, line_no, line with its end, start): start is the offset of its first character."""
     text = F.col(text_col)
@@ -22,31 +18,35 @@ def lines(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     return rows.withColumn("start", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)).cast("int"))
 
 
-def boundary(line: Column, previous_blank: Column, inside: Column) -> Column:
+#: Patterns by kind; a genre may have others.
+PATTERNS = {"chapter": L.CHAPTER, "scene": L.SCENE, "pov": L.POINT_OF_VIEW}
+
+
+def boundary(line: Column, previous_blank: Column, inside: Column, patterns: dict[str, list[str]] | None = None) -> Column:
     """What begins at a line: chapter, scene, pov or null. A blank line after a blank one parts scenes, not at the ends."""
-    s = T.strip(line)
+    s, own = T.strip(line), PATTERNS | (patterns or {})
     return (
         F.when((s == "") & previous_blank & inside, "scene")
         .when(s == "", F.lit(None))
-        .when(T.matches(s, L.CHAPTER), "chapter")
-        .when(T.matches(s, L.SCENE), "scene")
-        .when(T.matches(s, L.POINT_OF_VIEW), "pov")
+        .when(T.matches(s, own["chapter"]), "chapter")
+        .when(T.matches(s, own["scene"]), "scene")
+        .when(T.matches(s, own["pov"]), "pov")
     )
 
 
-def classified(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+def classified(df: DataFrame, *keys: str, text_col: str = "text", patterns: dict[str, list[str]] | None = None) -> DataFrame:
     rows = lines(df, *keys, text_col=text_col)
     w = W.partitionBy(*keys).orderBy("line_no")
     blank = T.strip(F.col("line")) == ""
     last = F.count("*").over(W.partitionBy(*keys)) - 1
     inside = (F.col("line_no") > 0) & (F.col("line_no") < last)
-    return rows.withColumn("boundary", boundary(F.col("line"), F.coalesce(F.lag(blank).over(w), F.lit(False)), inside))
+    return rows.withColumn("boundary", boundary(F.col("line"), F.coalesce(F.lag(blank).over(w), F.lit(False)), inside, patterns))
 
 
-def segments(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+def segments(df: DataFrame, *keys: str, text_col: str = "text", patterns: dict[str, list[str]] | None = None) -> DataFrame:
     """(keys, seg_no, boundary_type, original_position, text, token_estimated); blank segments go."""
     w = W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = classified(df, *keys, text_col=text_col).withColumn("island", F.sum(F.when(F.col("boundary").isNotNull() & (F.col("line_no") > 0), 1).otherwise(0)).over(w))
+    rows = classified(df, *keys, text_col=text_col, patterns=patterns).withColumn("island", F.sum(F.when(F.col("boundary").isNotNull() & (F.col("line_no") > 0), 1).otherwise(0)).over(w))
     out = rows.groupBy(*keys, "island").agg(
         F.min_by("boundary", "line_no").alias("b"), F.min("start").alias("original_position"), F.expr("listagg(line) WITHIN GROUP (ORDER BY line_no)").alias("text")
     )

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions import reply
-from folio.functions import text as T
 from folio.operators import assemble, pack, segment, state
+from folio.plans import run
 from folio.session import preset
 
-#: A model takes (text, prompt) and returns a reply; an error flags its chunk alone.
-Model = Callable[[str, str], str]
-
-
 def offline(text: str, prompt: str) -> str:
-    """A model that needs no network: the text as it is."""
-    import json
-
+    """A model that needs no network: the text as it is, and for an extraction nothing new."""
+    if not prompt:
+        return "{}"
+    if (m := re.fullmatch(r"(?s).*<traduccion_existente>\n(.*)\n</traduccion_existente>", text)) is not None:
+        text = m[1]
     return json.dumps({"translation": text, "confidence": 0.9, "notes": ""})
 
 
@@ -31,32 +28,14 @@ def book_chunks(books: DataFrame, size: str = "standard") -> DataFrame:
     return pack.indexed(pack.chunks(segment.segments(sections, "book_id", "source_section"), least, most, "book_id", "source_section"), "book_id", "source_section")
 
 
-def answered(chunks: DataFrame, model: Model = offline, prompt: str = "") -> DataFrame:
-    """Calls the model for each chunk and parses what it says."""
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            raw, error = [], []
-            for text in b["original"]:
-                try:
-                    raw.append(model(text, prompt))
-                    error.append(None)
-                except Exception as e:  # noqa: BLE001  one chunk's failure is its own
-                    raw.append(None)
-                    error.append(f"error: {type(e).__name__}: {e}")
-            yield b.assign(raw=raw, error=error)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema) + ", raw string, error string"
-    said = chunks.mapInPandas(call, schema).withColumn("r", F.when(F.col("raw").isNotNull(), reply.parsed(F.col("raw"))))
-    flags = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.array().cast("array<string>"))
-    status = F.when(F.col("error").isNotNull(), "flagged").otherwise(T.status_of(F.col("r.confidence")))
-    return said.withColumn("status", status).select(*[c for c in chunks.columns if c != "status"], F.col("r.translation").alias("translated"), F.col("r.confidence").alias("confidence"), F.col("r.notes").alias("notes"), "status", flags.alias("flags"))
-
-
 def finished(done: DataFrame) -> DataFrame:
     """(book_id, text) of answered chunks."""
     return assemble.reassembled(done, "book_id", "book_index", "source_section", assemble.chosen_text(F.coalesce("translated", F.lit("")), F.col("status"), F.col("original")))
 
 
+def offline_models() -> list[run.Model]:
+    return [run.Model("offline", offline, daily_token_limit=1 << 60)]
+
+
 def summary(done: DataFrame) -> DataFrame:
     return state.counts(done, "book_id")

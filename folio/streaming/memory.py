@@ -9,28 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from folio import lexicons as L
+from folio.functions import plain
 from folio.operators.memory import Memory
 
-OUTPUT = "book_id long, chunk_index int, voice string, characters array<string>, last_scene string"
-_STATE = "voice string, characters map<string,string>, last_scene string"
+OUTPUT = "book_id long, chunk_index int, extracted boolean, memory string, version int"
+_STATE = "memory string, quiet int, version int"
 
 
 class MemoryProcessor(StatefulProcessor):
-    """Rows: book_id, chunk_index, voice, name, description, last_scene (null: nothing new)."""
+    """Rows: book_id, chunk_index, notes, force, update (an extraction reply, or null).
+
+    The state of a book is its whole memory (voice, glossary, characters, decisions,
+    scene), the count of quiet chunks since the last extraction, and the version.
+    An update counts at the first chunk, when forced, on notes of news, or at each
+    ``every``-th quiet chunk; an update that can't be read changes nothing.
+    """
+
+    every = L.EXTRACT_EVERY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("memory", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        memory = Memory(voice=held[0], characters=held[1], last_scene=held[2]) if held else Memory()
-        out = []
+        raw, quiet, version = self.state.get() if self.state.exists() else (None, 0, 0)
+        memory, out = Memory.of_json(raw) or Memory(), []
         for r in pd.concat(rows).sort_values("chunk_index").to_dict("records"):
-            name = r["name"] if isinstance(r["name"], str) else None
-            memory.apply({"voice": _text(r["voice"]), "rejected": [], "glossary": [], "names": [{"k": name, "v": _text(r["description"])}] if name else [], "decisions": [], "last_scene": _text(r["last_scene"])})
-            out.append((key[0], r["chunk_index"], memory.voice, list(memory.characters), memory.last_scene))
-        self.state.update((memory.voice, memory.characters, memory.last_scene))
-        yield pd.DataFrame(out, columns=["book_id", "chunk_index", "voice", "characters", "last_scene"])
+            wanted = r["chunk_index"] == 0 or r["force"] is True or plain.speaks_of_news(_text(r["notes"]))
+            quiet += not wanted
+            wanted = wanted or quiet >= self.every
+            update = _text(r["update"]) if wanted else None
+            if update is not None:
+                memory.apply_update(plain.update(update))
+                quiet = 0
+            version += 1
+            out.append((key[0], r["chunk_index"], update is not None, memory.to_json(), version))
+        self.state.update((memory.to_json(), quiet, version))
+        yield pd.DataFrame(out, columns=["book_id", "chunk_index", "extracted", "memory", "version"])
 
     def close(self) -> None:
         pass
