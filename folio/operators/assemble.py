@@ -110,6 +110,19 @@ def _pages(w: Column, counts: Column, window: int) -> Column:
     return F.when(n == 0, F.transform(counts, lambda x: F.lit(""))).otherwise(F.transform(F.array(cuts), dealt)[0])
 
 
+def paged(pages: DataFrame, translations: DataFrame, book: str, order: str, text: str = "text") -> DataFrame:
+    """(book, page, original, translation): the k-th page with the k-th translation; what has no partner goes."""
+    w = W.partitionBy(book).orderBy(order)
+    numbered = lambda df, name: df.select(book, F.row_number().over(w).alias("page"), F.col(text).alias(name))
+    return numbered(pages, "original").join(numbered(translations, "translation"), [book, "page"])
+
+
+def prompt_sizes(prompts: DataFrame, books: DataFrame, book: str, prompt: str = "prompt") -> DataFrame:
+    """(book, avg_chars, max_chars) of each book's prompts, 0 for a book without."""
+    sizes = prompts.groupBy(book).agg(F.avg(F.length(prompt)).alias("a"), F.max(F.length(prompt)).alias("m"))
+    return books.join(sizes, book, "left").select(book, F.coalesce("a", F.lit(0.0)).alias("avg_chars"), F.coalesce("m", F.lit(0)).alias("max_chars"))
+
+
 def exact_metrics(gold: Column, pred: Column) -> list[Column]:
     tp = F.size(F.array_intersect(gold, pred))
     part = lambda n: F.when(n == 0, 0.0).otherwise(tp / n)

@@ -69,7 +69,7 @@ def _finder(terms: list[str]):
 
 #: The memory as JSON.
 JSON = "struct<voice:string,decisions:array<string>,glossary:map<string,string>,characters:map<string,string>,last_scene:string>"
-_BASE = {"voice": L.DEFAULT_VOICE, "decisions": [], "glossary": {}, "characters": {}, "last_scene": ""}
+BASE_JSON = json.dumps({"voice": L.DEFAULT_VOICE, "decisions": [], "glossary": {}, "characters": {}, "last_scene": ""}, ensure_ascii=False)
 
 
 def to_json(memory: Column) -> Column:
@@ -91,7 +91,7 @@ def based(versions: DataFrame, books: DataFrame, book: str = "book_id") -> DataF
     latest = versions.groupBy(book).agg(F.max_by("memory", "version").alias("memory"), F.max("version").alias("version"))
     good = latest.where(of_json(F.col("memory")).isNotNull()).select(book)
     bare = books.select(book).distinct().join(good, book, "left_anti").join(latest.select(book, "version"), book, "left")
-    seeds = bare.select(book, F.lit(json.dumps(_BASE, ensure_ascii=False)).alias("memory"), (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"))
+    seeds = bare.select(book, F.lit(BASE_JSON).alias("memory"), (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"))
     return versions.select(book, "memory", F.col("version").cast("int").alias("version")).unionByName(seeds)
 
 

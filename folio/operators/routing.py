@@ -45,17 +45,16 @@ def gate(chunks: DataFrame, book: str, order: str, speaks, forced, every: int) -
     return rows.withColumn("extract", F.col("loud") | (quiet % every == 0)).drop("loud", "island")
 
 
-def first_available(tries: list[tuple[str, object]]):
-    """Driver-side failover for one call: a content error is raised, others go on to the next model."""
-    errors = []
-    for name, call in tries:
-        try:
-            return name, call()
-        except ValueError:
-            raise
-        except Exception as e:  # noqa: BLE001  any other failure means that the model can't be had now
-            errors.append((name, e))
-    raise RuntimeError(f"all models are used up: {errors}") if errors else RuntimeError("no model")
-
-
-__all__ = ["usable", "plan", "pause_points", "gate", "first_available"]
+def adapters(configs: DataFrame, makers: list[str]) -> DataFrame:
+    """Settings (name, priority, api_key, seq) of models that there is an adapter for and that have a key, in order of priority."""
+    known = F.broadcast(configs.sparkSession.createDataFrame([(m,) for m in makers], "name string"))  # as many as adapters
+    rows = configs.join(known, "name").where(F.coalesce("api_key", F.lit("")) != "")
+    return rows.withColumn("place", F.row_number().over(W.orderBy("priority", "seq")))  # a row per model
+
+
+def available(models: DataFrame, events: DataFrame, now, cooldown: int = 300) -> DataFrame:
+    """models (name, daily_token_limit) with available: not failed within the cooldown, and under the day's limit. events: (name, ts, tokens, failed)."""
+    today = F.when(F.to_date("ts") == F.to_date(now), F.col("tokens"))
+    state = events.groupBy("name").agg(F.sum(today).alias("used"), F.max(F.when(F.col("failed"), F.col("ts"))).alias("at"))
+    cool = F.col("at").isNull() | (now >= F.col("at") + F.make_dt_interval(secs=F.lit(cooldown)))
+    return models.join(state, "name", "left").withColumn("available", (F.coalesce("used", F.lit(0)) < F.col("daily_token_limit")) & cool).drop("at")

@@ -16,6 +16,7 @@ from folio import lexicons as L
 from folio.functions import prompts, reply
 from folio.functions import text as T
 from folio.operators import assemble, memory, mentions, pack, routing, segment, state
+from folio.plans import pipeline, run
 from folio.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,13 +469,17 @@ def q_align_targets(spark, sf_dir):
     return assemble.targets(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"), F.lit(1000)).select("conv_id", "turn", "target")
 
 
-@query(r"""WITH RECURSIVE c AS (SELECT conv_id, coalesce(list(greatest(length(text), 1) ORDER BY turn) FILTER (WHERE role = 'user'), []) AS sizes, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS draft FROM conversations GROUP BY conv_id),
+ALIGN_SQL = r"""c AS (SELECT conv_id, coalesce(list(greatest(length(text), 1) ORDER BY turn) FILTER (WHERE role = 'user'), []) AS sizes, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS draft FROM conversations GROUP BY conv_id),
 t AS (SELECT conv_id, draft, length(draft) AS n, [CAST(round_even(list_sum(sizes[1:k]) / list_sum(sizes)::DOUBLE * length(draft), 0) AS BIGINT) FOR k IN range(1, len(sizes))] AS goals FROM c WHERE len(sizes) > 0),
 a AS (SELECT conv_id, draft, n, goals, 0 AS k, 0::BIGINT AS start, 0::BIGINT AS before FROM t UNION ALL
       SELECT conv_id, draft, n, goals, k + 1, CASE WHEN k = len(goals) OR start >= n OR start + 1 > n - 1 THEN n ELSE
         coalesce((list_min([{'far': abs(i - goal), 'pos': i} FOR i IN range(greatest(start + 1, goal - 120), least(n - 1, goal + 120) + 1) IF substr(draft, i, 1) = chr(10) OR (substr(draft, i, 1) IN ('.', '?', '!', ';', ':') AND regexp_matches(substr(draft, i + 1, 1), '\s'))])).pos, goal) END, start
       FROM (SELECT *, greatest(start + 1, least(goals[k + 1], n - 1)) AS goal FROM a WHERE k <= len(goals)))
-SELECT conv_id, CAST(k - 1 AS INTEGER) AS chunk_index, regexp_replace(substr(draft, before + 1, start - before), '^\s+|\s+$', '', 'g') AS piece FROM a WHERE k > 0""")
+"""
+_PIECE = r"regexp_replace(substr(draft, before + 1, start - before), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"WITH RECURSIVE {ALIGN_SQL} SELECT conv_id, CAST(k - 1 AS INTEGER) AS chunk_index, {_PIECE} AS piece FROM a WHERE k > 0")
 def q_align_split(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     by = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
@@ -580,3 +585,94 @@ def q_draft_join(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     draft = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("draft"))
     return rows.where("role = 'user'").join(draft, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("draft", F.lit("")).alias("draft"))
+
+
+@query(f"""WITH RECURSIVE {ALIGN_SQL}, s AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user')
+SELECT a.conv_id AS book_id, CAST(a.k - 1 AS INTEGER) AS book_index, {_PIECE} AS original, s.text AS source FROM a JOIN s USING (conv_id, k)""")
+def q_fix_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "book_id")
+    index = (F.row_number().over(W.partitionBy("book_id").orderBy("turn")) - 1).alias("book_index")
+    source = rows.where("role = 'user'").select("book_id", index, F.col("text").alias("original"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text")))), lambda x: x["text"])
+    return run.fix_chunks(source, rows.groupBy("book_id").agg(parts.alias("sections"))).select("book_id", "book_index", "original", "source")
+
+
+@query("SELECT conv_id, turn, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn)) * 100.0::DOUBLE / count(*) OVER (PARTITION BY conv_id)) AS INTEGER) AS percent FROM conversations")
+def q_progress(spark, sf_dir):
+    w = W.partitionBy("conv_id")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", run.progress(F.row_number().over(w.orderBy("turn")), F.count("*").over(w)).alias("percent"))
+
+
+@query(f"""SELECT n_nationkey, n_nationkey % 5 <> 0 AS readable, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 1 THEN '{L.DEFAULT_VOICE}' ELSE lower(n_name) END AS voice,
+CASE WHEN n_nationkey % 5 >= 2 THEN [n_name, 'keep'] WHEN n_nationkey % 5 = 1 THEN [] END AS decisions, CASE WHEN n_nationkey % 5 >= 2 THEN n_regionkey::VARCHAR END AS entry FROM nation""")
+def q_memory_json(spark, sf_dir):
+    name, kind = F.col("n_name"), F.col("n_nationkey") % 5
+    none = F.create_map().cast("map<string,string>")
+    whole = F.struct(F.lower(name).alias("voice"), F.array(name, F.lit("keep")).alias("decisions"), F.create_map(name, F.col("n_regionkey").cast("string")).alias("glossary"), none.alias("characters"), F.lit("").alias("last_scene"))
+    raw = F.when(kind == 0, F.lit("{bad")).when(kind == 1, F.lit('{"last_scene": "x"}')).otherwise(memory.to_json(whole))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", memory.of_json(raw).alias("m"))
+    return rows.select("n_nationkey", F.col("m").isNotNull().alias("readable"), "m.voice", "m.decisions", F.try_element_at("m.glossary", F.col("n_name")).alias("entry"))
+
+
+@query(f"""WITH v AS (SELECT n_nationkey AS book_id, CASE WHEN n_nationkey % 3 = 0 THEN '{{"voice": "v"}}' ELSE '{{bad' END AS memory, (n_nationkey % 3) + 1 AS version FROM nation WHERE n_nationkey % 3 < 2)
+SELECT book_id, memory, version::INTEGER AS version FROM v UNION ALL
+SELECT n_nationkey, '{memory.BASE_JSON}', CASE WHEN n_nationkey % 3 = 1 THEN 3 ELSE 1 END FROM nation WHERE n_nationkey % 3 <> 0""")
+def q_base_memory(spark, sf_dir):
+    kind = F.col("n_nationkey") % 3
+    books = table(spark, sf_dir, "nation").withColumn("book_id", F.col("n_nationkey"))
+    versions = books.where(kind < 2).select("book_id", F.when(kind == 0, F.lit('{"voice": "v"}')).otherwise(F.lit("{bad")).alias("memory"), (kind + 1).alias("version"))
+    return memory.based(versions, books)
+
+
+@query(f"""WITH c AS (SELECT DISTINCT source, lang || doc_id % 7 AS name FROM documents WHERE doc_id % 2 = 0),
+k AS (SELECT source, lang || doc_id % 7 AS name, max(CASE WHEN doc_id % 6 = 0 THEN '{L.GENERIC}' ELSE 'a known one' END) AS what FROM documents WHERE doc_id % 3 = 0 GROUP BY 1, 2)
+SELECT source, bool_or(what IS NULL OR what = '{L.GENERIC}') AS force FROM c LEFT JOIN k USING (source, name) GROUP BY source""")
+def q_forced_extraction(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("name", F.concat("lang", (F.col("doc_id") % 7).cast("string")))
+    known = docs.where("doc_id % 3 = 0").groupBy("source", "name").agg(F.max(F.when(F.col("doc_id") % 6 == 0, F.lit(L.GENERIC)).otherwise(F.lit("a known one"))).alias("what"))
+    return memory.unenriched(docs.where("doc_id % 2 = 0").select("source", "name").distinct(), known, "source")
+
+
+@query(f"""WITH v AS ({ORACLES["q_voice"]}), s AS (SELECT *, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN '{L.DEFAULT_VOICE}' ELSE 'rich' END AS so_far FROM v)
+SELECT conv_id, turn, CASE WHEN so_far <> 'rich' THEN voice END AS voice FROM s""")
+def q_local_update(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("said", F.concat("text", F.lit(" y yo me fui; él dijo que su casa está aquí y nos miró.")))
+    so_far = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.lit(L.DEFAULT_VOICE)).otherwise(F.lit("rich"))
+    return rows.select("conv_id", "turn", memory.local_voice(T.voice(F.col("said"), so_far), so_far).alias("voice"))
+
+
+@query("SELECT n_nationkey, coalesce(avg(length(s_name || s_suppkey)), 0.0)::DOUBLE AS avg_chars, coalesce(max(length(s_name || s_suppkey)), 0)::INTEGER AS max_chars FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey % 4 <> 1) ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+def q_prompt_sizes(spark, sf_dir):
+    prompts_ = table(spark, sf_dir, "supplier").where("s_nationkey % 4 <> 1").select(F.col("s_nationkey").alias("n_nationkey"), F.concat("s_name", F.col("s_suppkey").cast("string")).alias("prompt"))
+    return assemble.prompt_sizes(prompts_, table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
+
+
+@query("""WITH p AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)
+SELECT a.conv_id, CAST(a.k AS INTEGER) AS page, a.text AS original, b.text AS translation FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.k = b.k AND a.role = 'user' AND b.role = 'assistant'""")
+def q_page_translations(spark, sf_dir):
+    side = lambda role: table(spark, sf_dir, "conversations").where(F.col("role") == role).select("conv_id", "turn", "text")
+    return assemble.paged(side("user"), side("assistant"), "conv_id", "turn")
+
+
+@query("""SELECT n_name AS name, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS INTEGER) AS place FROM nation WHERE n_name IN ('NATION_1', 'NATION_2', 'NATION_7', 'NATION_11') AND n_nationkey % 2 = 1""")
+def q_model_adapters(spark, sf_dir):
+    configs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("priority"), F.col("n_nationkey").alias("seq"), F.when(F.col("n_nationkey") % 2 == 1, "key").alias("api_key"))
+    return routing.adapters(configs, ["NATION_1", "NATION_2", "NATION_7", "NATION_11"]).select("name", "place")
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), u AS (SELECT event_type AS model, sum(CASE WHEN CAST(ts AS DATE) = CAST(now AS DATE) THEN CAST(floor(value) AS BIGINT) END) AS used, max(CASE WHEN value > 100 THEN ts END) AS failed, any_value(now) AS now FROM events, n GROUP BY event_type)
+SELECT model AS name, coalesce(used, 0) < 600 AND (failed IS NULL OR now >= failed + INTERVAL 300 SECOND) AS available FROM u""")
+def q_available_models(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "ts", F.floor("value").cast("long").alias("tokens"), (F.col("value") > 100).alias("failed"))
+    now = F.lit(events.agg(F.max("ts")).first()[0])  # one value
+    models = events.select("name").distinct().withColumn("daily_token_limit", F.lit(600))
+    return routing.available(models, events, now).select("name", "available")
+
+
+@query()
+def q_offline_run(spark, sf_dir):
+    """A run with the offline model, which says what it is given; rows only, as decisions are compared by similarity."""
+    index = (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).alias("book_index")
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), index, F.col("text").alias("original"))
+    out = run.run(chunks, run.Settings(pipeline.offline_models))
+    return out.select("book_id", "book_index", "status", "model_used", "confidence", "prompt_chars", "version", F.md5("memory").alias("memory_md5"))
