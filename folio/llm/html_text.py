@@ -1,18 +1,25 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams a page's events. A line is the text between
-two block boundaries; it knows its number of characters and tags and the elements
-it stands in. Elements that never hold an article's text (by name, role, or the
-words of class and id) are left out as they stream by. Of the remaining lines,
-ratios of characters to tags are smoothed by a Gaussian over the neighbours and
-cut at a share of their deviation into two clusters. Kept are all lines of the
-smallest element around the upper cluster, and of each outermost article or main
-element that holds one of its lines. Of the lines outside only lists of links are
-dropped: lines that are links for the most part, in an element with nothing else.
-So headings and sections of short paragraphs are not lost.
+two block boundaries; it knows its number of characters and tags and the element
+it stands in. The lines' ratios of characters to tags are smoothed by a Gaussian
+over the neighbours, and a threshold between the means of two clusters of their
+logarithms parts content lines from the others.
+
+What the clusters decide: elements of a page's frame (by name or role) go with their
+lines; one that looks like it by the words of class and id, or is a form, goes unless
+it holds most of the page's content. So neither a page within a form nor an article
+whose class happens to be such a word is lost. Of the lines left, ratios are clustered again: all lines of
+the smallest element around the content, and of each outermost article or main
+element that holds some, are the region. Of the lines outside only lists of links
+are dropped: lines that are links for the most part, in an element with nothing
+else. So headings and sections of short paragraphs are not lost.
+
+Elements are numbered and known by their parent, so work and memory grow with the
+page, however deep it is.
 
 Defined results: null and empty pages give an empty text; unclosed and stray tags
-are borne as browsers do; rows map one to one.
+are borne as browsers do, unknown declarations are comments; rows map one to one.
 """
 
 from __future__ import annotations
@@ -32,17 +39,22 @@ from folio.llm.common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements in a line of text; all others part lines.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that hold no part of an article.
-LEFT_OUT = frozenset("head script style noscript template nav header footer aside form button select textarea input label fieldset iframe object svg canvas video audio dialog menu title".split())
+#: Elements that are never rendered as text of a page.
+NEVER = frozenset("head script style noscript template title iframe object svg canvas video audio button select textarea input datalist".split())
+#: Elements and roles of a page's frame, elements that may hold an article as well, and words of class and id.
+FRAMES = frozenset("nav header footer aside dialog menu".split())
+FORMS = frozenset("form fieldset label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form note toolbar".split())
-#: Words of class and id.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs"
     " footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login"
     " share sharing social comment comments reply replies disqus related recommended widget toolbar pagination pager copyright disclaimer".split()
 )
-#: Elements of the page's frame, and those that say that an article is inside: their class is no hint.
-FRAME = frozenset("html body main article".split())
+#: Words of a class beside a hint that say nothing about what the element holds.
+NEUTRAL = frozenset("area bar block body box button buttons bottom col column container content form group head icon icons inner item items left link links list main outer page panel post row right section site slot text title top unit wrap wrapper".split())
+#: Elements whose class is no hint: the page's own, and those that say that an article is inside.
+OWN = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes: the element of that name nearest above, within the named bounds.
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt", {"dl"}), "dd": ("dd", {"dl"}), "tr": ("tr", {"table"}), "td": ("td", {"tr", "table"}), "th": ("th", {"tr", "table"}), "option": ("option", {"select"})}
 #: Opening one of these closes an open paragraph.
@@ -52,39 +64,44 @@ _P_BOUNDS = frozenset("button td th caption table html body article section div
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _left_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in LEFT_OUT:
-        return True
-    if not attrs or tag in FRAME:
-        return False
-    for name, value in attrs:
-        if name == "role" and (value or "").strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and value and not HINTS.isdisjoint(_SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", value).lower())):
-            return True
-    return False
+def _hinted(name: str) -> bool:
+    """Whether one class or id is made of words of a page's frame and neutral ones: "cookie-banner", "page-footer", but not "share-story"."""
+    words = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()) if w and not w.isdigit()]
+    return not HINTS.isdisjoint(words) and all(w in HINTS or w in NEUTRAL for w in words)
+
+
+def _framed(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """2: part of a frame; 1: looks like it, by its class or as a form; 0."""
+    if tag in FRAMES:
+        return 2
+    if tag in OWN:
+        return 0
+    if any(name == "role" and (value or "").strip().lower() in ROLES for name, value in attrs):
+        return 2
+    return int(tag in FORMS or any(name in ("class", "id") and value is not None and any(map(_hinted, value.split())) for name, value in attrs))
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines: (text, tags, elements around it)."""
+    """Collects a page's lines: (pieces of (element, text), tags, block element), and by element its parent and kind. Element 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # name and number of each open element
-        self.count, self.out_from = 0, None  # depth of the element that is left out
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.text: list[str] = []
-        self.tags, self.path = 0, ()
-        self.articles, self.anchors = set(), set()  # numbers of article and main elements, and of links
-        self.linked, self.links = 0, []  # characters in links: of the line so far, of each line
+        self.out_from = None  # depth of the element that is never rendered
+        self.name, self.parent, self.framed, self.link = [""], [0], [0], [False]
+        self.lines: list[tuple[list[tuple[int, str]], int, int]] = []
+        self.pieces: list[tuple[int, str]] = []
+        self.tags, self.block = 0, 0
 
     def _flush(self) -> None:
-        line = " ".join("".join(self.text).split())
-        if line:
-            self.lines.append((line, self.tags, self.path))
-            self.links.append(self.linked)
+        if any(not t.isspace() for _, t in self.pieces):
+            self.lines.append((self.pieces, self.tags, self.block))
             self.tags = 0
-        self.text, self.linked = [], 0
+        self.pieces = []
+
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` is no part of HTML: a comment up to the next ``>``."""
+        return self.parse_bogus_comment(i)
 
     def _pop(self, depth: int) -> None:
         if any(name not in INLINE for name, _ in self.stack[depth:]):
@@ -113,14 +130,14 @@ class Lines(HTMLParser):
         self.tags += self.out_from is None
         if tag in VOID:
             return
-        self.count += 1
-        self.stack.append((tag, self.count))
-        if tag in ("article", "main"):
-            self.articles.add(self.count)
-        elif tag == "a" and any(n == "href" for n, _ in attrs):
-            self.anchors.add(self.count)
-        if self.out_from is None and _left_out(tag, attrs):
-            self.out_from = len(self.stack) - 1
+        if self.out_from is None:
+            self.parent.append(self.stack[-1][1] if self.stack else 0)
+            self.name.append(tag)
+            self.framed.append(_framed(tag, attrs))
+            self.link.append(tag == "a" and any(n == "href" for n, _ in attrs))
+            if tag in NEVER or any(n == "hidden" or n == "aria-hidden" and v == "true" for n, v in attrs):
+                self.out_from = len(self.stack)
+        self.stack.append((tag, len(self.parent) - 1))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -138,60 +155,115 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if self.out_from is None:
-            if not self.text:
-                self.path = tuple(n for name, n in self.stack if name not in INLINE)
-            self.text.append(data)
-            if self._in_link():
-                self.linked += len(" ".join(data.split()))
-
-    def _in_link(self) -> bool:
-        """Whether a link is open in the line's own element."""
-        for name, number in reversed(self.stack):
-            if name not in INLINE:
-                return False
-            if number in self.anchors:
-                return True
-        return False
+            if not self.pieces:
+                self.block = next((n for name, n in reversed(self.stack) if name not in INLINE), 0)
+            self.pieces.append((self.stack[-1][1] if self.stack else 0, data))
 
     def close(self):
         super().close()
         self._flush()
 
+    def up(self, values: list) -> list:
+        """Sums by element, of itself and all in it."""
+        for k in range(len(self.parent) - 1, 0, -1):
+            values[self.parent[k]] += values[k]
+        return values
+
+    def down(self, own: list[bool]) -> list[bool]:
+        """Whether something holds of an element or of one around it."""
+        for k in range(1, len(self.parent)):
+            own[k] = own[k] or own[self.parent[k]]
+        return own
+
 
-def ratios(lines: list[tuple[str, int, tuple[int, ...]]], sigma: float = 1.0) -> np.ndarray:
+def ratios(chars: list[int], tags: list[int], sigma: float = 1.0) -> np.ndarray:
     """Characters for each tag of a line, smoothed over neighbouring lines."""
-    raw = np.array([len(t) / max(1, tags) for t, tags, _ in lines], float)
+    raw = np.array(chars, float) / np.maximum(1, tags)
     reach = int(3 * sigma)
     weight = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     inside = np.convolve(np.ones(len(raw)), weight, "full")[reach : reach + len(raw)]
     return np.convolve(raw, weight, "full")[reach : reach + len(raw)] / inside
 
 
-def extract(html: str, share: float = 1.0) -> str:
+def dense(chars: list[int], tags: list[int]) -> np.ndarray:
+    """The lines of the upper of two clusters: the threshold lies halfway between the clusters' means of the logarithms; all lines if they don't differ."""
+    value = np.log1p(ratios(chars, tags))
+    cut = value.mean()
+    for _ in range(32):
+        high = value >= cut
+        if high.all():
+            break
+        new = (value[high].mean() + value[~high].mean()) / 2
+        if abs(new - cut) < 1e-9:
+            break
+        cut = new
+    return value >= cut
+
+
+def _one_line(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _without_frames(page: Lines, clusters) -> list[tuple[str, int, int, int]]:
+    """(text, tags, block element, characters in links) of the lines without frames that don't hold most of the content."""
+    weight = [0] * len(page.parent)
+    sizes = [len(_one_line("".join(t for _, t in pieces))) for pieces, _, _ in page.lines]
+    for (pieces, _, _), content in zip(page.lines, clusters(sizes, [tags for _, tags, _ in page.lines])):
+        if content:
+            for k, t in pieces:
+                weight[k] += len(t)
+    weight = page.up(weight)
+    # what only looks like a frame stays if it holds most of the content, and no article or main element stands elsewhere
+    named = [name in ("article", "main") for name in page.name]
+    article, text = page.down(list(named)), [0] * len(page.parent)
+    for pieces, _, _ in page.lines:
+        for k, _ in pieces:
+            text[k] += 1
+    stands = [int(n and t > 0) for n, t in zip(named, page.up(text))]
+    apart = sum(stands)
+    stands = page.up(stands)
+    gone = [framed == 2 or framed == 1 and (2 * w <= weight[0] or not article[k] and n < apart) for k, (framed, w, n) in enumerate(zip(page.framed, weight, stands))]
+    # headings of an article's own header stay
+    own = [name == "header" and article[k] for k, name in enumerate(page.name)]
+    always, heading = page.down([g and not o for g, o in zip(gone, own)]), page.down([name in HEADINGS for name in page.name])
+    out = page.down(gone)
+    linked, left = list(page.link), []
+    for k in range(1, len(linked)):
+        linked[k] = linked[k] or page.name[k] in INLINE and linked[page.parent[k]]
+    for pieces, tags, block in page.lines:
+        kept = [(k, t) for k, t in pieces if not out[k] or heading[k] and not always[k]]
+        if text := _one_line("".join(t for _, t in kept)):
+            left.append((text, tags, block, sum(len(_one_line(t)) for k, t in kept if linked[k])))
+    return left
+
+
+def extract(html: str, clusters=dense) -> str:
+    """The main text. clusters: which lines are content, by their characters and tags."""
     page = Lines()
     page.feed(html)
     page.close()
-    lines = page.lines
+    lines = _without_frames(page, clusters) if page.lines else []
     if not lines:
         return ""
-    ratio = ratios(lines)
-    content = ratio >= min(share * ratio.std(), ratio.max())
-    paths = [p for (_, _, p), c in zip(lines, content) if c]
-    region = 0
-    while all(len(p) > region for p in paths) and len({p[region] for p in paths}) == 1:
-        region += 1
-    around = paths[0][:region]
-    # a region of one line: its neighbours in the same element belong to it
-    if len(paths) == 1 and region:
-        around = around[:-1]
-    whole = {next((n for n in p if n in page.articles), None) for p in paths} - {None}
-    inside = [p[: len(around)] == around or not whole.isdisjoint(p) for _, _, p in lines]
-    links = [2 * linked > len(t) for (t, _, _), linked in zip(lines, page.links)]
-    mixed = {n for (_, _, p), link in zip(lines, links) if not link for n in (0, *p)}  # 0: the page
-    own = Counter((0, *p)[-1:] for _, _, p in lines)
+    content = clusters([len(t) for t, _, _, _ in lines], [tags for _, tags, _, _ in lines])
+    blocks = [b for (_, _, b, _), c in zip(lines, content) if c]
+    # the smallest element around all content; one line's neighbours in the same element belong to it
+    count = [0] * len(page.parent)
+    for b in blocks:
+        count[b] += 1
+    around = max(k for k, n in enumerate(page.up(count)) if n == len(blocks))
+    if len(blocks) == 1:
+        around = page.parent[around]
+    outer = [name in ("article", "main") and n > 0 for name, n in zip(page.name, count)]
+    inside = page.down([k == around or o for k, o in enumerate(outer)])
+    links = [2 * linked > len(t) for t, _, _, linked in lines]
+    texts, own = [0] * len(page.parent), Counter(b for _, _, b, _ in lines)
+    for (_, _, b, _), link in zip(lines, links):
+        texts[b] += not link
+    texts = page.up(texts)
     # the element around a line and its neighbours: its own if that has several lines, else the one around it
-    listed = [link and mixed.isdisjoint((0, *p)[-1:] if own[(0, *p)[-1:]] > 1 else (0, *p)[-2:-1] or (0,)) for (_, _, p), link in zip(lines, links)]
-    return " ".join(t for (t, _, p), i, x in zip(lines, inside, listed) if i or not x)
+    near = [b if own[b] > 1 else page.parent[b] for _, _, b, _ in lines]
+    return " ".join(t for (t, _, b, _), n, link in zip(lines, near, links) if inside[b] or not link or texts[n])
 
 
 def extract_all(pages: pa.Array) -> pa.Array:
