@@ -2,7 +2,8 @@
 
 Words are found in the UTF-8 bytes of whole Arrow columns with numpy: no Python
 object is made for a word or a text. A word is known by a 64-bit hash of its
-bytes; where equality must be certain at any scale, two such families give 128 bits.
+bytes, eight at a time; where equality must be certain at any scale, a second hash
+of the same bytes makes 128 bits.
 """
 
 from __future__ import annotations
@@ -121,25 +122,28 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-_POWERS: list[np.ndarray] = []
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept up to 2 Mi of them."""
-    if _POWERS and len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        a = np.full(n, b, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    if n <= 1 << 21:
-        _POWERS[:] = out
-    return out[0], out[1]
+def named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run of bytes, from eight bytes at a time."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    a, b = size.astype(np.uint64) * np.uint64(_BASE), size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
+    some, k = slice(None), 0
+    while True:
+        w = eight[start[some] + k] & _MASK[np.minimum(size[some] - k, 8)]
+        a[some], b[some] = mixed(a[some] ^ w), mixed((b[some] + w) * np.uint64(_BASE2))
+        k += 8
+        some = np.flatnonzero(size > k)
+        if not len(some):
+            return a, b
 
 
 class Words:
-    """The words of some neighbouring texts: hash, first byte and end of each; text i has words ``at[i]`` to ``at[i + 1]``."""
+    """The words of some neighbouring texts: two hashes, first byte and end of each; text i has words ``at[i]`` to ``at[i + 1]``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, step: int = 1 << 20):
         parts, n, pos = [], len(data), 0
@@ -150,12 +154,13 @@ class Words:
                 end = end + int(ahead[0]) if len(ahead) else min(end + 4096, n)
             parts.append(self._scan(table[data[pos:end]], offsets, pos))
             pos = end
-        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = [np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64)]
+        self.hash, self.hash2, self.start, self.end = (np.concatenate(x) for x in zip(*parts)) if parts else none
         self.data, self.offsets = data, offsets
         self.at = np.searchsorted(self.start, offsets)
 
     @staticmethod
-    def _scan(v: np.ndarray, offsets: np.ndarray, pos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _scan(v: np.ndarray, offsets: np.ndarray, pos: int) -> tuple[np.ndarray, ...]:
         n = len(v)
         inside = v != 0
         goes_on = np.zeros(n + 1, bool)
@@ -164,10 +169,7 @@ class Words:
         goes_on[breaks] = False
         start = np.flatnonzero(inside & ~goes_on[:n])
         end = np.flatnonzero(inside & ~goes_on[1:]) + 1
-        up, back = _powers(max(n + 1, 1 << 20))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(v * up[:n], out=sums[1:])
-        return mixed((sums[end] - sums[start]) * back[start]), start + pos, end + pos
+        return *named(v, start, end), start + pos, end + pos
 
 
 def runs(column: pa.Array, table: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
@@ -220,9 +222,9 @@ class Spans:
         return mixed((self.sums[k:] - self.sums[:n]) * self.back[:n])
 
 
-def both(words: np.ndarray) -> tuple[Spans, Spans]:
-    """Two independent hash families, for 128 bits together."""
-    return Spans(words), Spans(mixed(words + np.uint64(_BASE2)), _BASE2)
+def both(w: Words) -> tuple[Spans, Spans]:
+    """Two hash families over two hashes of each word, for 128 bits together."""
+    return Spans(w.hash), Spans(w.hash2, _BASE2)
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:

@@ -19,7 +19,8 @@ No step gathers a group: each is a pre-aggregated count or a join on a key whose
 hot values AQE can split, and document text is joined only to its own spans.
 
 Defined results: null text has no words; rows are kept one to one, whatever
-repeats in them; equal rows count as two documents; ids may be null or repeat.
+repeats in them; equal rows count as two documents, whose spans are kept once; ids
+may be null or repeat.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from folio.llm.common import PLAIN, Words, both, keyed, runs, same_row, signed,
 
 def _owned(w: Words, seed: int, length: int):
     """Seed occurrences with their windows: seed hash, text, first and last window, and both span families."""
-    one, two = both(w.hash)
+    one, two = both(w)
     seeds = one.every(seed)
     place = sliding_argmin(seeds, length - seed + 1)
     first = np.arange(len(place))
@@ -82,7 +83,7 @@ def _windows(length: int):
         for batch in batches:
             spans, sizes = batch.column("spans"), batch.column("sizes")
             for i, j, w in runs(batch.column("_text"), PLAIN):
-                one, two = both(w.hash)
+                one, two = both(w)
                 part, count = spans.slice(i, j - i), sizes.slice(i, j - i)
                 span, size = part.flatten().to_numpy(), count.flatten().to_numpy()
                 text = np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
@@ -134,6 +135,8 @@ def _cut(length: int):
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, seed: int = 12) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (kept words joined by one space)."""
+    if not 0 < seed <= length <= seed + 254:
+        raise ValueError("seed: 1 to length, and length at most 254 more")  # a span holds its number of windows in eight bits
     docs = keyed(df, id_col, text_col)
     key = docs.schema["_id"].dataType.simpleString()
     seeds = docs.select("_text").mapInArrow(_seeds(seed, length), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
@@ -150,7 +153,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = windows.groupBy("c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("c1", "c2")
     edges = windows.where("n = 1").join(repeated, ["c1", "c2"], "left_semi").select("_id", "_key", "span")
     whole = found.join(classes.where("n > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("_id", "_key", "span")
-    spans = whole.unionAll(edges).groupBy("_id", "_key").agg(F.collect_list("span").alias("spans"))
+    spans = whole.unionAll(edges).groupBy("_id", "_key").agg(F.collect_set("span").alias("spans"))
     spans = written(spans, "spans")
     marked = docs.join(spans, same_row(docs, spans), "left").select(docs["_id"], "_text", "spans")
     out = marked.mapInArrow(_cut(length), f"_id {key}, n_words long, n_removed long, kept_text string")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from folio.llm.common import mixed, new_dir, small_batches, strings, written
+from folio.llm.common import named, new_dir, small_batches, strings, written
 
 MAGIC = b"FOLIOTK1"
 
@@ -53,7 +53,6 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
-_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 class Encoder:
@@ -113,23 +112,6 @@ class Encoder:
         start = np.flatnonzero(cut)
         return start, np.append(start[1:], n)
 
-    @staticmethod
-    def _names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """128 bits of each part, from eight bytes at a time."""
-        padded = np.zeros(len(data) + 8, np.uint8)
-        padded[: len(data)] = data
-        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-        size = end - start
-        a, b = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
-        some, k = slice(None), 0
-        while True:
-            w = eight[start[some] + k] & _MASK[np.minimum(size[some] - k, 8)]
-            a[some], b[some] = mixed(a[some] ^ w), mixed((b[some] + w) * np.uint64(0xC2B2AE3D27D4EB4F))
-            k += 8
-            some = np.flatnonzero(size > k)
-            if not len(some):
-                return np.stack([a, b])
-
     def _find(self, names: np.ndarray) -> np.ndarray:
         """Numbers of known parts, -1 of new ones."""
         out, left, probe = np.full(names.shape[1], -1, np.int64), np.arange(names.shape[1]), 0
@@ -198,7 +180,7 @@ class Encoder:
         if self.known > self.most or self.at[self.known] > 8 * self.most:
             self._clear()
         starts, ends = self._parts(data, offsets)
-        names = self._names(data, starts, ends)
+        names = np.stack(named(data, starts, ends))
         number = self._find(names)
         new = np.flatnonzero(number < 0)
         if len(new):
