@@ -140,10 +140,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = keyed(df, id_col, text_col)
     key = docs.schema["_id"].dataType.simpleString()
     seeds = docs.select("_text").mapInArrow(_seeds(seed, length), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
+    seeds = written(seeds, "repeated-seeds")  # apart from the join, so that a hot seed's occurrences can be dealt to several tasks
     found = docs.mapInArrow(_occurrences(seed, length), f"a long, c1 long, c2 long, _id {key}, _key long, span long").join(seeds, "a", "left_semi")
     found = written(found, "seeds")
     classes = written(found.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_key", "span")).alias("r")), "classes")
-    mixed = classes.groupBy("a").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("a")
+    mixed = written(classes.groupBy("a").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("a"), "mixed-seeds")
     listed = classes.join(mixed, "a", "left_semi").groupBy("r._id", "r._key").agg(F.collect_list(F.struct("r.span", "n")).alias("x"))
     listed = listed.select("_id", "_key", F.col("x.span").alias("spans"), F.col("x.n").alias("sizes"))
     # of rows with equal id and text one stands for all: their runs are in classes of two or more
