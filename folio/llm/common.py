@@ -9,6 +9,7 @@ of the same bytes makes 128 bits.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,12 +39,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set to a local one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and all run on this machine."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
 
@@ -132,14 +134,22 @@ def named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     size = end - start
     a, b = size.astype(np.uint64) * np.uint64(_BASE), size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
-    some, k = slice(None), 0
-    while True:
+    some = slice(None)
+    for k in (0, 8, 16):
         w = eight[start[some] + k] & _MASK[np.minimum(size[some] - k, 8)]
         a[some], b[some] = mixed(a[some] ^ w), mixed((b[some] + w) * np.uint64(_BASE2))
-        k += 8
-        some = np.flatnonzero(size > k)
+        some = np.flatnonzero(size > k + 8)
         if not len(some):
             return a, b
+    # what is longer: sums of its other bytes, eight at a time, each mixed with its place
+    n = (size[some] - 17) // 8
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    w = eight[np.repeat(start[some] + 24, n) + 8 * place] & _MASK[np.minimum(np.repeat(size[some] - 24, n) - 8 * place, 8)]
+    salt = mixed(place.astype(np.uint64) + np.uint64(1))
+    a[some] = mixed(a[some] + np.add.reduceat(mixed(w ^ salt), first))
+    b[some] = mixed(b[some] + np.add.reduceat(mixed(w * np.uint64(_BASE2) + salt), first))
+    return a, b
 
 
 class Words:
