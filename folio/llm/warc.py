@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from folio.llm.common import new_dir, written
+from folio.llm.common import new_dir, small_batches, written
 
 MANIFEST = "manifest.json"
 SCHEMA = (
@@ -124,7 +124,7 @@ class WarcReader(DataSourceReader):
                 skip()
                 rows.append(values)
                 held += len(values["payload"] or b"") + 500
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
                     rows, held = [], 0
             if rows:
@@ -132,7 +132,7 @@ class WarcReader(DataSourceReader):
 
 
 def _records(file, packed: bool, end: int | None):
-    """(offset, headers, take, skip) of each record; take(n) reads on in its block, skip() passes over the rest of it."""
+    """(offset, headers, take, skip) of each record; take(n) reads on in its block, or a line of it; skip() passes over the rest of it."""
     stream = io.BufferedReader(_Raw(file), 1 << 16)
     if packed:
         stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
@@ -150,12 +150,12 @@ def _records(file, packed: bool, end: int | None):
         headers, size = _headers(stream)
         left = [int(headers.get("content-length", 0))]
 
-        def take(n: int, left=left) -> bytes:
+        def take(n: int, line: bool = False, left=left) -> bytes:
             n = min(n, left[0])
-            data = stream.read(n)
-            if len(data) < n:
+            data = stream.readline(n) if line else stream.read(n)
+            if len(data) < (n > 0 if line else n):
                 raise ValueError("archive ends inside a record")
-            left[0] -= n
+            left[0] -= len(data)
             return data
 
         def skip(left=left) -> None:
@@ -191,20 +191,17 @@ def _headers(stream) -> tuple[dict[str, str], int]:
 
 
 def _http(take, length: int) -> tuple[dict[str, str], int]:
-    """The HTTP headers at a block's beginning and their size, read byte run by byte run up to the blank line."""
-    out, at, line = {}, 0, b""
+    """The HTTP headers at a block's beginning and their size, read line by line up to the blank one."""
+    out, at = {}, 0
     while at < length:
-        byte = take(1)
-        at += 1
-        line += byte
-        if byte == b"\n":
-            text = line.decode("utf-8", "replace").strip()
-            if not text:
-                break
-            name, colon, value = text.partition(":")
-            if colon and not text.startswith("HTTP/"):
-                out[name.strip().lower()] = value.strip()
-            line = b""
+        line = take(length - at, line=True)
+        at += len(line)
+        text = line.decode("utf-8", "replace").strip()
+        if not text:
+            break
+        name, colon, value = text.partition(":")
+        if colon and not text.startswith("HTTP/"):
+            out[name.strip().lower()] = value.strip()
     return out, at
 
 
@@ -277,14 +274,16 @@ def _write(folder: str, split: int, date: str, packed: bool):
 def write_warc(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, split: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", packed: bool = False) -> str:
     """Writes a record per row and returns the folder. Of equal payloads of ``least`` bytes or more the smallest id is the response.
 
-    Null payloads are empty, null URLs have no header; rows with equal ids get a record each.
+    Null payloads are empty, null URLs have no header; rows with equal ids get a record
+    each (rows with the smallest id and an equal payload are all responses).
     """
     spark = df.sparkSession
+    small_batches(spark)
     folder = folder or new_dir(spark, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("length"))
     firsts = written(rows.where(F.col("length") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    # only rows of repeated payloads are looked up; the rest need no shuffle of their payload
+    # few repeated payloads are broadcast (by Spark's own bound on the table's size); with many each payload is dealt out once
     first = F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("first")
     joined = rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", "length", first)
     files = joined.mapInArrow(_write(folder, split, date, packed), "name string, splits array<long>").collect()  # a row per file
