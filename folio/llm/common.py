@@ -155,7 +155,7 @@ def named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 class Words:
     """The words of some neighbouring texts: two hashes, first byte and end of each; text i has words ``at[i]`` to ``at[i + 1]``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, step: int = 1 << 20):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, step: int = 1 << 18):
         parts, n, pos = [], len(data), 0
         while pos < n:
             end = min(pos + step, n)
@@ -182,7 +182,7 @@ class Words:
         return *named(v, start, end), start + pos, end + pos
 
 
-def runs(column: pa.Array, table: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def runs(column: pa.Array, table: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     """Words of a column by runs of texts of about ``limit`` bytes (one text at least): (first, end, words)."""
     data, offsets = strings(column)
     n, i = len(offsets) - 1, 0
