@@ -141,13 +141,3 @@ def fix_key(source_hash: Column, draft_hash: Column) -> Column:
 
 def polish_key(target_lang: str, draft_hash: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit("fix_style"), F.lit(target_lang.lower()), draft_hash), 256)
-
-
-def register(spark) -> None:
-    """The functions by name, for SQL."""
-    body = {
-        "est_tokens": "cast(floor(size(filter(split(coalesce(t, ''), '(?U)\\\\s+'), w -> w <> '')) * 1.3D) as int)",
-        "collapse": "regexp_replace(regexp_replace(coalesce(t, ''), '(?U)\\\\s+', ' '), '^ | $', '')",
-    }
-    for name, text in body.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURN {text}")

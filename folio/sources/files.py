@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import posixpath
 import re
@@ -120,6 +121,17 @@ def models(rows: list[dict]) -> list[dict]:
     return sorted(out, key=lambda r: r["priority"])
 
 
+def read_models(path: str) -> list[dict]:
+    """Model settings of a file with a list ``models``, as YAML where its library is there, else as JSON."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:
+        return models(json.loads(text).get("models") or [])
+    return models(yaml.safe_load(text).get("models") or [])
+
+
 def check_arguments(path: str, source: str, target: str) -> None:
     """What a command line must hold before work begins."""
     if not os.path.isfile(path):
