@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.alignment import align
 from folio.llm.common import read
 from folio.llm.decontamination import find_contamination
 from folio.llm.html_text import html_text
 from folio.llm.line_dedup import line_dedup
 from folio.llm.mixing import mix
 from folio.llm.ngram_jaccard import ngram_jaccard
+from folio.llm.prefix_counts import prefix_counts
 from folio.llm.quality_rules import quality_rules
+from folio.llm.snapshot_diff import snapshot_diff
 from folio.llm.substring_dedup import substring_dedup
 from folio.llm.token_ids import read_token_ids, write_token_ids
 from folio.llm.toxicity import bounded_labels, score, train
@@ -90,10 +93,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.c, 0) AS B
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +143,60 @@ o AS (SELECT k.*, e.n, e.target, e.epochs, e.rest, sum(size) OVER (PARTITION BY
 SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN size > 0 THEN (epochs + CASE WHEN 2 * run - size <= 2 * rest THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken FROM o
 """
 
+
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """Documents as a later snapshot has them; a document without an id stays."""
+    change = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 16, F.lit(15))
+    rows = docs.where(change != 0).withColumn("again", F.explode(F.when(change == 5, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    new_key = change.isin(3, 4) | F.col("again")
+    return rows.select(
+        F.when(new_key, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(change == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(change == 2, F.col("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(change == 2, F.col("lang")).when(change != 4, F.col("source")).alias("source"),
+    )
+
+
+def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return snapshot_diff(docs, later_snapshot(docs), "doc_id", ["text", "lang", "source"])
+
+
+OP12_SQL = r"""
+WITH poly AS (SELECT [list_reduce([n::BIGINT, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) FOR n IN range(256)] AS t),
+d AS (SELECT doc_id AS k, text, lang, source,
+             coalesce(xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 16, 15) AS m
+      FROM documents, poly),
+later AS (SELECT CASE WHEN m IN (3, 4) THEN -1 - k ELSE k END AS k, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+                 CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source FROM d WHERE m <> 0
+          UNION ALL SELECT -1 - k, text, lang, source FROM d WHERE m = 5),
+e AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY k ORDER BY sha256(text) NULLS FIRST, sha256(lang) NULLS FIRST, sha256(source) NULLS FIRST) AS i FROM d),
+l AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY k ORDER BY sha256(text) NULLS FIRST, sha256(lang) NULLS FIRST, sha256(source) NULLS FIRST) AS i FROM later),
+p AS (SELECT e.r AS er, l.r AS lr FROM e JOIN l ON e.k IS NOT DISTINCT FROM l.k AND e.i = l.i),
+ee AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY k NULLS FIRST, sha256(lang) NULLS FIRST, sha256(source) NULLS FIRST) AS j FROM e WHERE r NOT IN (SELECT er FROM p)),
+ll AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY k NULLS FIRST, sha256(lang) NULLS FIRST, sha256(source) NULLS FIRST) AS j FROM l WHERE r NOT IN (SELECT lr FROM p)),
+q AS (SELECT ee.r AS er, ll.r AS lr FROM ee FULL JOIN ll ON ee.text IS NOT DISTINCT FROM ll.text AND ee.j = ll.j),
+u AS (SELECT er, lr, true AS met FROM p UNION ALL SELECT er, lr, false FROM q),
+x AS (SELECT u.*, e.k AS ek, l.k AS lk, l.text AS lt, l.lang AS ll, l.source AS ls,
+             CASE WHEN er IS NULL OR lr IS NULL THEN '' ELSE concat_ws(',', CASE WHEN e.text IS DISTINCT FROM l.text THEN 'text' END, CASE WHEN e.lang IS DISTINCT FROM l.lang THEN 'lang' END, CASE WHEN e.source IS DISTINCT FROM l.source THEN 'source' END) END AS changed
+      FROM u LEFT JOIN e ON e.r = u.er LEFT JOIN l ON l.r = u.lr)
+SELECT CASE WHEN lr IS NULL THEN ek ELSE lk END AS key, ek AS old_key,
+       CASE WHEN er IS NULL THEN 'insert' WHEN lr IS NULL THEN 'delete' WHEN NOT met THEN 'rekey' WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed,
+       CASE WHEN lr IS NOT NULL THEN sha256(coalesce(lt, '~') || chr(10) || coalesce(ll, '~') || chr(10) || coalesce(ls, '~')) END AS row_sha256 FROM x
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = 4096
+    out = prefix_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), budgets=(limit,), table=False)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col(f"chars_in_{limit}").alias("n_chars_within"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -151,6 +208,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_snapshot_diff": op12_snapshot_diff,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {
@@ -158,4 +218,5 @@ ORACLES = {
     "op4_source_mixing": OP4_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op12_snapshot_diff": OP12_SQL,
 }
