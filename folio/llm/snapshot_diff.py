@@ -8,8 +8,8 @@ column: buckets by a hash of the content, sorted by key (the direction of each s
 is a parameter), numbered by ``cumcount`` and merged on content and number.
 
 A bucket holds a bounded number of rows, whatever repeats: groups of one key or one
-content with more than ``most`` rows are ranked over all partitions (a sort by
-range, with counts before each range) and cut into slices of ``most`` ranks, and
+content with more than ``slice_rows`` rows are ranked over all partitions (a sort by
+range, with counts before each range) and cut into slices of so many ranks, and
 each slice is dealt like a group of its own. The i-th of a slice meets the i-th of
 the same slice, so pairs are the same as without slices.
 
@@ -108,7 +108,7 @@ def _paired(rows: DataFrame, by: list[str], order: list[str], ascending: tuple[b
     return side(0).cogroup(side(1)).applyInPandas(_merger(by, order, ascending, columns), schema)
 
 
-def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[str], descending: bool = False, most: int = 5_000) -> DataFrame:
+def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[str], descending: bool = False, bucket_rows: int = 5_000, slice_rows: int = 300) -> DataFrame:
     """(key, old_key, op, changed, row_sha256) for each pair of rows and each row without a partner.
 
     ``op``: same or update (equal keys), rekey (equal ``columns[0]``), insert, delete. ``changed``: a pair's differing
@@ -120,9 +120,9 @@ def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[
     carried = ["key", "no_key", *cs, "digest"]
     key_type = earlier.schema[key].dataType.simpleString()
     both = _kept(_named(earlier, key, columns, 0).unionByName(_named(later, key, columns, 1)), tables)
-    n = max(int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // most))
+    n = max(int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // bucket_rows))
 
-    rows = _dealt(both, _group("key", "no_key"), [F.col(c) for c in cs], most, tables)
+    rows = _dealt(both, _group("key", "no_key"), [F.col(c) for c in cs], slice_rows, tables)
     met = _kept(_paired(rows, ["key", "no_key"], cs, (True, True), carried, n), tables)
     left = lambda s, other, k: met.where(~F.col(f"in_{other}")).select(F.lit(k).alias("side"), *[F.col(f"{c}_{s}").alias(c) for c in carried])
 
@@ -131,9 +131,9 @@ def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[
     down = [F.col("no_key").asc(), F.col("key").desc(), *[F.col(c).desc() for c in cs[1:]]]
     sides = [left("e", "l", 0), left("l", "e", 1)]
     if descending:
-        rows = _dealt(sides[0], _group("c0"), up, most, tables).unionByName(_dealt(sides[1], _group("c0"), down, most, tables))
+        rows = _dealt(sides[0], _group("c0"), up, slice_rows, tables).unionByName(_dealt(sides[1], _group("c0"), down, slice_rows, tables))
     else:
-        rows = _dealt(sides[0].unionByName(sides[1]), _group("c0"), up, most, tables)
+        rows = _dealt(sides[0].unionByName(sides[1]), _group("c0"), up, slice_rows, tables)
     rows = rows.withColumn("has_key", ~F.col("no_key"))
     again = _paired(rows, ["c0"], ["has_key", "key", *cs[1:]], (True, not descending), carried, n)
 

@@ -136,7 +136,7 @@ def brute_diff(earlier, later, descending):
         a, b = (sorted((x for x in side if x[0] == k), key=values) for side in (earlier, later))
         out += [(x, y, True) for x, y in zip(a, b)]
         left, right = left + a[len(b) :], right + b[len(a) :]
-    key = lambda x: (x[0] is not None, x[0] or type(x[0] or 0)(), *map(digest, x[2:]))
+    key = lambda x: (x[0] is not None, 0 if x[0] is None else x[0], *map(digest, x[2:]))
     for t in {x[1] for x in left + right}:
         a, b = sorted((x for x in left if x[1] == t), key=key), sorted((x for x in right if x[1] == t), key=key, reverse=descending)
         out += [(x, y, False) for x, y in zip(a, b)] + [(x, None, False) for x in a[len(b) :]] + [(None, y, False) for y in b[len(a) :]]
@@ -158,7 +158,7 @@ def test_snapshot_diff(spark, most, descending, keys):
     earlier, later = [row() for _ in range(70)], [row() for _ in range(80)]
     kind = "long" if 1 in keys else "string"
     frame = lambda rows: spark.createDataFrame([(*r, 9, 9) for r in rows], f"doc_id {kind}, text string, lang string, source string, bucket int, c0 int")
-    got = snapshot_diff(frame(earlier), frame(later), "doc_id", ["text", "lang", "source"], descending, most)
+    got = snapshot_diff(frame(earlier), frame(later), "doc_id", ["text", "lang", "source"], descending, slice_rows=most)
     assert sorted(map(tuple, got.collect()), key=str) == brute_diff(earlier, later, descending)
 
 
