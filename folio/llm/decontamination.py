@@ -12,7 +12,8 @@ The benchmark goes to the executors in blocks of a bounded number of phrases;
 the documents' text is never shuffled.
 
 Defined results: null and empty texts have no words and no spans; items without
-words are never found; item ids are compared as strings; rows map one to one.
+words are never found; item ids are compared as strings; items without an id are
+found like others and stand as one null in the list; rows map one to one.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ class Phrases:
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
         every = [w for _, w in items]
         self.words = np.unique(np.concatenate(every))
-        by_length: dict[int, dict[bytes, set[str]]] = {}
+        by_length: dict[int, dict[bytes, set[str | None]]] = {}
         for name, words in items:
             codes = np.searchsorted(self.words, words) + 1
             k = min(window, len(codes))
             for s in range(len(codes) - k + 1):
                 by_length.setdefault(k, {}).setdefault(codes[s : s + k].astype(np.int64).tobytes(), set()).add(name)
-        self.patterns = {k: (np.frombuffer(b"".join(d), np.int64).reshape(-1, k), list(map(sorted, d.values()))) for k, d in by_length.items()}
+        self.patterns = {k: (np.frombuffer(b"".join(d), np.int64).reshape(-1, k), [_sorted(names) for names in d.values()]) for k, d in by_length.items()}
         self.shortest = min(by_length)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.words >> np.uint64(48)] = True
@@ -58,7 +59,7 @@ class Phrases:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block: int) -> Iterator[Phrases]:
     items, count = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
         data, offsets = strings(pa.array([row.t]))
         w = Words(data, offsets, ALNUM).hash
         if len(w):
@@ -100,7 +101,7 @@ def _search(shared, shard: int):
         spans, items = [], []
         for r in range(len(n_words)):
             spans.append(_merged(sorted(zip(begin[r], end[r]))) if r in begin else [])
-            items.append(sorted(names[r]) if r in names else [])
+            items.append(_sorted(names[r]) if r in names else [])
         yield pa.RecordBatch.from_arrays(
             [ids, keys, pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
             ["_id", "_key", "n_words", "spans", "items"],
@@ -133,6 +134,11 @@ def _search(shared, shard: int):
     return of
 
 
+def _sorted(names: set) -> list:
+    """Item ids in order; those of items without an id are one null at the end, which a list of ids leaves out."""
+    return [*sorted(names - {None}), *([None] if None in names else [])]
+
+
 def _merged(spans: list) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in spans:
@@ -147,7 +153,7 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans and items that several blocks have found in the same documents."""
     for batch in batches:
         spans = [[{"start": a, "end": b} for a, b in _merged(sorted((x["start"], x["end"]) for y in s for x in y))] for s in batch.column("spans").to_pylist()]
-        items = [sorted({x for y in s for x in y}) for s in batch.column("items").to_pylist()]
+        items = [_sorted({x for y in s for x in y}) for s in batch.column("items").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], ["_id", "_key", "spans", "items"])
 
 

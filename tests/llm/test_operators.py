@@ -356,8 +356,7 @@ def test_decontamination(spark, docs, none, rows, block):
     for i, t in items:
         w = tokens(t)
         for s in range(max(len(w) - 12, 1) if w else 0):
-            if i is not None:
-                phrases[tuple(w[s : s + 13])].add(str(i))
+            phrases[tuple(w[s : s + 13])].add(None if i is None else str(i))
     got = find_contamination(docs, bench, window=13, shard=200, block=block).collect()
     assert len(got) == len(rows)
     exp = collections.Counter()
@@ -368,8 +367,11 @@ def test_decontamination(spark, docs, none, rows, block):
                 if tuple(w[s : s + k]) in phrases:
                     hit |= set(range(s, s + k))
                     names |= phrases[tuple(w[s : s + k])]
-        exp[i, len(w), len(hit), ",".join(sorted(names)), bool(hit) and 20 * len(hit) >= len(w)] += 1
-    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got) == exp
+        exp[i, len(w), len(hit), len(names), ",".join(sorted(names - {None})), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"]), ",".join(x for x in r["items"] if x is not None), r.contaminated) for r in got) == exp
+    unnamed = spark.createDataFrame([(None, "alpha beta gamma")], "item_id long, text string")
+    r = find_contamination(spark.createDataFrame([(1, "x alpha beta gamma y")], "doc_id long, text string"), unnamed).first()
+    assert (r.n_hit, r["items"], r.contaminated) == (3, [None], True)
     assert find_contamination(none, bench).count() == 0 and find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 

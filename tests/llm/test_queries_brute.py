@@ -201,6 +201,20 @@ def test_stages_bear_nulls_repeated_rows_and_no_rows(spark, name, stage):
         assert len(got) == 6
 
 
+CLASHING = ["text_key", "copy", "copies", "again_id", "again_key", "taken_id", "taken_key", "gone_id", "gone_key", "_q", "_c", "_cut", "_id", "_key", "row", "size", "key", "target"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_columns_of_any_name(spark, name, stage):
+    plain = spark.createDataFrame(STAGE_ROWS + [(9, " ".join(f"word{k}" for k in range(60)), "en", "s")], "doc_id long, text string, lang string, source string")
+    more = plain.select("*", *[F.lit(7).alias(c) for c in CLASHING])
+    got = stage(spark, more, SF)
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert sorted(map(str, (tuple(r)[:4] for r in rows))) == sorted(map(str, (tuple(r) for r in stage(spark, plain, SF).collect())))
+    assert all(set(tuple(r)[4:]) == {7} for r in rows) and rows
+
+
 def test_toxic_model_by_plain_counts(spark):
     texts = [("a b a c", 1), ("a b d", 1), ("a b", 1), ("c d e a b", 0), ("e e c d", 0), ("e c d f", 0), ("c d", 0)]
     rows = spark.createDataFrame([(t, y, False) for t, y in texts] + [("a b", 1, True), ("c d", 0, True)], "text string, toxic int, own boolean")
