@@ -40,29 +40,13 @@ def prompt(task: str, source: str, target: str, voice: Column, decisions: Column
     )
 
 
-def rendered(task: str, source: str, target: str, voice: str, decisions: list[str], glossary: dict, characters: dict, last_scene: str) -> str:
-    """The same prompt of plain values, for a run's loop."""
-    rows = lambda items: "\n".join(f"- {x}" for x in items) or "none"
-    table = lambda d: rows(f"{k}: {v}" for k, v in sorted(d.items()))
-    return "\n\n".join([
-        _TASKS[task].format(source=source, target=target), f"Voice: {voice or 'not settled yet'}", f"Decisions:\n{rows(decisions)}", f"Glossary:\n{table(glossary)}",
-        f"Characters:\n{table(characters)}", f"Last scene: {last_scene or 'this is the beginning'}", _ANSWER,
-    ])
-
-
-def extraction(original: str, translation: str, notes: str, names: list[str]) -> str:
+def extraction(original: Column, translation: Column, notes: Column, names: Column) -> Column:
     """The request for an update of the memory."""
-    listed_ = "Candidates to confirm or reject:\n" + "\n".join(f"- {n}" for n in names) if names else ""
     ask = 'Answer with a JSON object: {"voice": text, "glossary": {term: value}, "characters": {name: description}, "decisions": [text], "last_scene": text, "rejected": [name]}.'
-    return "\n\n".join(x for x in (f"Original:\n{original}", f"Translation:\n{translation}", f"Notes: {notes or L.NO_NOTES}", listed_, ask) if x)
-
-
-def polish_payload(draft: str | None, target: str) -> str:
-    return f"TRADUCCIÓN EXISTENTE ({target}):\n<traduccion_existente>\n{(draft or '').strip() or L.EMPTY}\n</traduccion_existente>"
-
-
-def fix_payload(source: str | None, draft: str | None, source_lang: str, target: str) -> str:
-    return f"TEXTO ORIGINAL ({source_lang}):\n<original>\n{(source or '').strip() or L.EMPTY}\n</original>\n\n{polish_payload(draft, target)}"
+    return F.concat_ws(
+        "\n\n", F.concat(F.lit("Original:\n"), original), F.concat(F.lit("Translation:\n"), translation), F.concat(F.lit("Notes: "), F.coalesce(F.nullif(notes, F.lit("")), F.lit(L.NO_NOTES))),
+        F.nullif(candidates(names), F.lit("")), F.lit(ask),
+    )
 
 
 def candidates(names: Column) -> Column:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from folio import lexicons as L
 from folio.functions import text as T
+from folio.operators import similar
+from folio.session import kept
 
 
 def chosen_text(translated: Column, status: Column, original: Column) -> Column:
@@ -130,17 +128,26 @@ def exact_metrics(gold: Column, pred: Column) -> list[Column]:
     return [tp.alias("tp"), F.size(pred).alias("pred"), F.size(gold).alias("gold"), p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1")]
 
 
-@F.pandas_udf(IntegerType())
-def fuzzy_hits(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    """Predicted names, in order, that find a best gold name not taken yet of similarity 0.84 or more."""
-
-    def one(gold_names, names) -> int:
-        left, hits = sorted(set(gold_names)), 0
-        for name in sorted(set(names)):
-            score, best = max(((SequenceMatcher(None, name.lower(), g.lower()).ratio(), g) for g in left), key=lambda x: x[0], default=(0.0, None))
-            if best is not None and score >= L.SIMILAR:
-                hits += 1
-                left.remove(best)
-        return hits
+def fuzzy_hits(sets: DataFrame, group: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """(group, tp): predicted names, in order, that find a best gold name not taken yet of similarity 0.84 or more.
 
-    return pd.Series([one(g, p) for g, p in zip(gold, pred)])
+    sets: (group, gold, pred), both arrays of names. Similar spellings are found once for all groups.
+    """
+    names = lambda c: sets.select(group, F.explode(F.array_distinct(c)).alias(c)).where(F.col(c).isNotNull()).withColumn("low", F.lower(c))
+    p, g = names(pred), names(gold)
+    pairs = kept(similar.similar_pairs(p.select(F.col("low").alias("a")), g.select(F.col("low").alias("b"))))
+    edges = p.withColumnRenamed("low", "a").join(pairs, "a").join(g.withColumnRenamed("low", "b"), [group, "b"])
+    empty = p.where("low = ''").select(group, pred).join(g.where("low = ''").select(group, gold), group).withColumn("score", F.lit(1.0))
+    edges = edges.select(group, pred, gold, "score").unionByName(empty).withColumnsRenamed({pred: "pred", gold: "gold"})
+    hits = similar.one_to_one(edges, group, kept).groupBy(group).agg(F.count("*").alias("tp"))
+    return sets.select(group).join(hits, group, "left").select(group, F.coalesce("tp", F.lit(0)).cast("int").alias("tp"))
+
+
+def fix_chunks(source_chunks: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Source chunks (book_id, book_index, original, ...) with drafts (book_id, sections): each draft cut in proportion to its source's chunks. original becomes the draft's piece, source the reference."""
+    size = F.struct("book_index", F.length("original").alias("n"))
+    whole = source_chunks.groupBy("book_id").agg(F.array_sort(F.collect_list(size)).alias("s"))
+    draft = F.array_join(F.coalesce("sections", F.array().cast("array<string>")), "\n\n")
+    pieces = whole.join(drafts, "book_id").select("book_id", F.col("s.book_index").alias("at"), aligned(draft, F.col("s.n")).alias("p"))
+    pieces = pieces.select("book_id", F.explode(F.arrays_zip("at", "p")).alias("x")).select("book_id", F.col("x.at").alias("book_index"), F.col("x.p").alias("draft"))
+    return source_chunks.join(pieces, ["book_id", "book_index"]).withColumn("source", F.col("original")).withColumn("original", F.col("draft")).drop("draft")

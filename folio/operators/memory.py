@@ -1,25 +1,22 @@
 """The memory of a book: glossary, characters, decisions, voice and last scene.
 
-What does not depend on order beyond a first or last value is a window or an
-aggregate; the whole rule set is a fold over a book's chunks in order, a group of
-its own for each book.
+Each part is told apart from the others: voice and scene are the last value given,
+the glossary the first, a character's entries are intervals between writes and
+rejections of its name, and decisions pass a bounded buffer of the last ones.
 """
 
 from __future__ import annotations
 
 import json
-from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
-from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio import lexicons as L
-from folio.functions import plain
 from folio.functions import text as T
+from folio.operators import similar
 
 SCHEMA = "voice string, decisions array<string>, glossary map<string,string>, characters map<string,string>, last_scene string"
 
@@ -52,15 +49,21 @@ def relevant_terms(chunks: DataFrame, terms: DataFrame, text_col: str = "text",
 
 
 def _finder(terms: list[str]):
+    made: list = []  # once a task, not for every batch
+
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
+        from ahocorasick import Automaton
+
         always = [t for t in terms if t == ""]
-        automaton = Automaton()
-        for t in terms:
-            if t:
-                automaton.add_word(t, t)
-        if len(automaton):
-            automaton.make_automaton()
+        if not made:
+            made.append(Automaton())
+            for t in terms:
+                if t:
+                    made[0].add_word(t, t)
+            if len(made[0]):
+                made[0].make_automaton()
+        automaton = made[0]
         of = lambda x: always + (list(dict.fromkeys(t for _, t in automaton.iter(x))) if len(automaton) else [])
         return pa.array([None if x is None else of(x) for x in texts.to_pylist()], pa.list_(pa.string()))
 
@@ -126,12 +129,12 @@ def is_empty(memory: Column) -> Column:
     return (F.size(memory["glossary"]) == 0) & (F.size(memory["characters"]) == 0) & (F.size(memory["decisions"]) == 0)
 
 
-def first_written(entries: DataFrame, book: str, order: list[str], key: str = "term", value: str = "value", most: int = L.MOST_GLOSSARY) -> DataFrame:
+def first_written(entries: DataFrame, book: str, order: list[str], key: str = "term", value: str = "value", most: int = L.MOST_GLOSSARY, with_first: bool = False) -> DataFrame:
     """Glossary: the first value of each key stays; keys beyond ``most`` are not taken."""
     at = F.struct(*order)
     firsts = entries.groupBy(book, key).agg(F.min_by(value, at).alias(value), F.min(at).alias("first"))
     place = F.row_number().over(W.partitionBy(book).orderBy("first", key))
-    return firsts.withColumn("place", place).where(F.col("place") <= most).select(book, key, value, "place")
+    return firsts.withColumn("place", place).where(F.col("place") <= most).select(book, key, value, "place", *(["first"] if with_first else []))
 
 
 def last_so_far(df: DataFrame, book: str, order: str, value: Column, name: str) -> DataFrame:
@@ -152,95 +155,128 @@ def merged_update(local: Column, extracted: Column) -> Column:
     return F.when(extracted.isNull(), F.struct(*[local[c].alias(c) for c in ("voice", "glossary", "characters", "decisions", "last_scene")], F.array().cast("array<string>").alias("rejected"))).otherwise(both)
 
 
-def alike(a: str, b: str) -> bool:
-    return a == b or SequenceMatcher(None, a, b).ratio() >= L.SIMILAR
-
-
-class Memory:
-    """The rules in order. Updates hold cleaned values: names carry ``valid``, decisions their key."""
-
-    def __init__(self, voice=L.DEFAULT_VOICE, decisions=(), glossary=(), characters=(), last_scene=""):
-        self.voice, self.decisions, self.last_scene = voice, list(decisions), last_scene
-        self.glossary, self.characters = dict(glossary), dict(characters)
-
-    def apply(self, u) -> None:
-        if u["voice"] and u["voice"].strip():
-            self.voice = u["voice"].strip()
-        for name in _items(u["rejected"]):
-            self.characters.pop(name, None)
-        for term, value in _pairs(u["glossary"]):
-            if len(self.glossary) < L.MOST_GLOSSARY:
-                self.glossary.setdefault(term, value)
-        for name, what in _pairs(u["names"]):
-            known = self.characters.get(name)
-            if known is None:
-                if len(self.characters) < L.MOST_CHARACTERS:
-                    self.characters[name] = what
-            elif known == L.GENERIC and (what or "").strip():
-                self.characters[name] = what
-        for text, key in _pairs(u["decisions"]):
-            if text and key and not any(alike(key, k) for _, k in self.decisions):
-                self.decisions.append((text, key))
-        del self.decisions[: -L.MOST_DECISIONS]
-        if u["last_scene"]:
-            self.last_scene = u["last_scene"]
-
-    def apply_update(self, u: dict) -> None:
-        """The same with an update as it comes: names are checked, decisions and scene shortened."""
-        pairs = lambda d: [{"k": k, "v": v} for k, v in d.items()]
-        clean = [plain.cleaned_decision(d) for d in u["decisions"]]
-        self.apply({
-            "voice": u["voice"], "rejected": u["rejected"], "glossary": pairs(u["glossary"]), "names": [p for p in pairs(u["characters"]) if plain.valid_name(p["k"])],
-            "decisions": [{"k": d, "v": plain.decision_key(d)} for d in clean], "last_scene": plain.truncated(u["last_scene"], L.MOST_SCENE_CHARS) if u["last_scene"] else None,
-        })
-
-    def compressed(self, text: str) -> dict:
-        """What a prompt for this text needs."""
-        low = text.lower()
-        named = lambda table: {k: v for k, v in table.items() if k.lower() in low}
-        recent = [t for t, _ in self.decisions[-L.PROMPT_DECISIONS :]]
-        return {"voice": self.voice, "decisions": recent, "glossary": named(self.glossary), "characters": named(self.characters), "last_scene": plain.truncated(self.last_scene, L.PROMPT_SCENE_CHARS)}
-
-    def to_json(self) -> str:
-        return json.dumps({"voice": self.voice, "decisions": [t for t, _ in self.decisions], "glossary": self.glossary, "characters": self.characters, "last_scene": self.last_scene}, ensure_ascii=False, indent=2)
-
-    @classmethod
-    def of_json(cls, raw: str | None) -> Memory | None:
-        """None if there is none, or it can't be read. Missing parts are those of the base memory."""
-        try:
-            d = json.loads(raw)
-            decisions = [(t, plain.decision_key(t)) for t in d.get("decisions", [])]
-            return cls(d.get("voice", L.DEFAULT_VOICE), decisions, d.get("glossary", {}), d.get("characters", {}), d.get("last_scene", ""))
-        except (TypeError, ValueError, AttributeError):
-            return None
-
-
-def _items(x) -> list:
-    return [] if x is None else list(x)
-
-
-def _pairs(x) -> list[tuple]:
-    return [(r["k"], r["v"]) for r in _items(x)]
+_ENTRY = "struct<k:string,v:string>"
 
 
-def fold(updates: DataFrame, book: str, order: str) -> DataFrame:
-    """updates: one row per chunk with voice, glossary, characters, decisions, last_scene, rejected.
+def _entries(table: Column) -> Column:
+    """A table's entries in their order; none of a null one."""
+    return F.coalesce(F.transform(F.map_entries(table), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))), F.array().cast(f"array<{_ENTRY}>"))
+
 
-    Returns (book, order, the memory after it). Cleaning is done in columns before; only what depends on order is Python.
+def accepted_decisions(updates: DataFrame, book: str, order: str) -> DataFrame:
+    """(book, order, text, place): the decisions that are new, numbered from 1 within their book.
+
+    A decision is new if it is not like one of the last 18 before its chunk nor one accepted in its chunk. A book's
+    decisions are gone through in order, in one aggregate whose buffer is bounded; only their keys are held.
     """
-    entries = lambda c: F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-    clean = F.transform("decisions", lambda d: F.struct(T.cleaned_decision(d).alias("k"), T.decision_key(T.cleaned_decision(d)).alias("v")))
-    rows = updates.select(
-        book, order, "voice", "rejected", entries(F.col("glossary")).alias("glossary"), F.filter(entries(F.col("characters")), lambda e: T.valid_name(e["k"])).alias("names"), clean.alias("decisions"),
-        F.when(F.coalesce("last_scene", F.lit("")) != "", T.truncated(F.col("last_scene"), L.MOST_SCENE_CHARS)).alias("last_scene"),
-    )
-    kinds = {f.name: f.dataType.simpleString() for f in updates.schema if f.name in (book, order)}
+    said = updates.select(book, order, F.posexplode(F.transform(F.coalesce("decisions", F.array().cast("array<string>")), T.cleaned_decision)).alias("_said_pos", "_text"))
+    said = said.withColumn("_key", T.decision_key(F.col("_text"))).where("_text <> '' and _key <> ''")
+    kind = updates.schema[order].dataType.simpleString()
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_said_pos").alias("pos"), F.col("_key").alias("key"))))
+    begin = F.struct(F.lit(None).cast(kind).alias("at"), F.array().cast("array<string>").alias("last"), F.array().cast(f"array<struct<at:{kind},pos:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        held = F.when(s["at"].eqNullSafe(x["at"]), s["last"]).otherwise(recent(s["last"], L.MOST_DECISIONS))
+        return T.bound(held, lambda last: F.when(F.exists(last, lambda k: similar.alike(x["key"], k)), F.struct(x["at"].alias("at"), last.alias("last"), s["out"].alias("out"))).otherwise(
+            F.struct(x["at"].alias("at"), F.concat(last, F.array(x["key"])).alias("last"), F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), x["pos"].alias("pos")))).alias("out"))))
+
+    new = said.groupBy(book).agg(F.aggregate(in_order, begin, step, lambda s: s["out"]).alias("out"))
+    new = new.select(F.col(book).alias("_book"), F.posexplode("out").alias("_n", "o")).select("_book", F.col("o.at").alias("_at"), F.col("o.pos").alias("_pos"), (F.col("_n") + 1).alias("_place"))
+    on = F.col(book).eqNullSafe(F.col("_book")) & (F.col(order) == F.col("_at")) & (F.col("_said_pos") == F.col("_pos"))
+    return said.join(new, on).select(book, order, F.col("_text").alias("text"), F.col("_place").alias("place"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        memory, out = Memory(), []
-        for u in pdf.sort_values(order).to_dict("records"):
-            memory.apply(u)
-            out.append({book: u[book], order: u[order], "voice": memory.voice, "decisions": [t for t, _ in memory.decisions], "glossary": dict(memory.glossary), "characters": dict(memory.characters), "last_scene": memory.last_scene})
-        return pd.DataFrame(out)
 
-    return rows.groupBy(book).applyInPandas(run, f"{book} {kinds[book]}, {order} {kinds[order]}, {SCHEMA}")
+def character_changes(updates: DataFrame, book: str, order: str, most: int = L.MOST_CHARACTERS) -> DataFrame:
+    """(book, name, what, since, until, pos): what the memory says of a name from the chunk ``since`` to before the chunk ``until`` (null: to the end).
+
+    A name's rejections cut its life into islands. In an island the first write counts, and if it is the general
+    description, the first rich one after it. That is all for books that never hold more than ``most`` names at once;
+    in others a write may find the memory full, so their events are gone through in order, with the names held.
+    """
+    writes = updates.select(book, order, F.posexplode(F.filter(_entries(F.col("characters")), lambda e: T.valid_name(e["k"]))).alias("pos", "e"))
+    writes = writes.select(book, order, F.lit(1).alias("kind"), "pos", F.col("e.k").alias("name"), F.col("e.v").alias("what"))
+    gone = updates.select(book, order, F.explode(F.coalesce("rejected", F.array().cast("array<string>"))).alias("name")).distinct()
+    events = writes.unionByName(gone.select(book, order, F.lit(0).alias("kind"), F.lit(-1).alias("pos"), "name", F.lit(None).cast("string").alias("what")))
+
+    by_name = W.partitionBy(book, "name").orderBy(order, "kind", "pos").rowsBetween(W.unboundedPreceding, 0)
+    events = events.withColumn("island", F.sum(1 - F.col("kind")).over(by_name))
+    rich = (F.trim(F.coalesce("what", F.lit(""))) != "") & (F.col("what") != L.GENERIC)
+    at = F.struct(F.col(order).alias("at"), F.col("pos").alias("pos"), F.col("what").alias("what"))
+    islands = events.groupBy(book, "name", "island").agg(
+        F.min(F.when(F.col("kind") == 1, at)).alias("first"), F.min(F.when((F.col("kind") == 1) & rich, at)).alias("rich"), F.min(F.when(F.col("kind") == 0, F.col(order))).alias("cut")
+    )
+    until = F.lead("cut").over(W.partitionBy(book, "name").orderBy("island"))
+    islands = islands.withColumn("until", until).where("first is not null")
+    part = lambda x, end: F.struct(x["what"].alias("what"), x["at"].alias("since"), end.alias("until"), x["pos"].alias("pos"))
+    first, better = F.col("first"), F.col("rich")
+    upgraded = (first["what"] == L.GENERIC) & better.isNotNull()
+    free = islands.select(book, "name", F.explode(F.when(upgraded, F.array(part(first, better["at"]), part(better, F.col("until")))).otherwise(F.array(part(first, F.col("until"))))).alias("p"))
+    free = free.select(book, "name", "p.*")
+
+    # how many names a book would hold: one more at each island's begin, one less at its end, removals of a chunk first
+    moves = islands.select(book, F.col("first.at").alias("at"), F.lit(1).alias("kind"), F.col("first.pos").alias("pos"), F.lit(1).alias("d"))
+    moves = moves.unionByName(islands.where("until is not null").select(book, F.col("until").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("pos"), F.lit(-1).alias("d")))
+    held = F.sum("d").over(W.partitionBy(book).orderBy("at", "kind", "pos").rowsBetween(W.unboundedPreceding, 0))
+    full = moves.groupBy(book).agg(F.sum("d").alias("net"), F.count_if(F.col("d") == 1).alias("begun")).where(F.col("begun") > most).select(book)
+    crowded = moves.join(full, book, "left_semi").withColumn("held", held).where(F.col("held") > most).select(book).distinct()
+    return free.join(crowded, book, "left_anti").unionByName(_crowded(events.join(crowded, book, "left_semi"), book, order, most))
+
+
+def _crowded(events: DataFrame, book: str, order: str, most: int) -> DataFrame:
+    """The same for books that fill the memory: an aggregate over a book's events that holds at most ``most`` names and gives out what changes."""
+    kind = events.schema[order].dataType.simpleString()
+    change = f"struct<name:string,what:string,since:{kind},pos:int,stays:boolean>"
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "kind", "pos", "name", "what")))
+    begin = F.struct(F.create_map().cast("map<string,string>").alias("held"), F.array().cast(f"array<{change}>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        known = F.map_contains_key(s["held"], x["name"])
+        without = F.map_filter(s["held"], lambda k, v: k != x["name"])
+        told = lambda stays: F.concat(s["out"], F.array(F.struct(x["name"].alias("name"), x["what"].alias("what"), x["at"].alias("since"), x["pos"].alias("pos"), F.lit(stays).alias("stays"))))
+        state = lambda held, out: F.struct(held.alias("held"), out.alias("out"))
+        better = (s["held"][x["name"]] == L.GENERIC) & (F.trim(F.coalesce(x["what"], F.lit(""))) != "") & (x["what"] != L.GENERIC)
+        enters = (x["kind"] == 1) & ((~known & (F.size(s["held"]) < most)) | (known & F.coalesce(better, F.lit(False))))
+        return F.when((x["kind"] == 0) & known, state(without, told(False))).when(enters, state(F.map_concat(without, F.create_map(x["name"], x["what"])), told(True))).otherwise(s)
+
+    out = events.groupBy(book).agg(F.aggregate(in_order, begin, step, lambda s: s["out"]).alias("o")).select(book, F.posexplode("o").alias("i", "o")).select(book, "i", "o.*")
+    until = F.lead("since").over(W.partitionBy(book, "name").orderBy("i"))
+    return out.withColumn("until", until).where("stays").select(book, "name", "what", "since", "until", "pos")
+
+
+def _alive(rows: DataFrame, changes: DataFrame, book: str, order: str, name: str, size: int = 64) -> DataFrame:
+    """rows with the table of what holds at each: intervals are dealt to the slices of ``size`` chunks that they reach into, so a slice holds the bounded memory and what changes within it."""
+    slot = lambda c: F.floor(c / size).cast("long")
+    ends = rows.groupBy(book).agg(F.max(order).alias("end"))
+    reach = changes.join(ends, book).where((F.col("since") <= F.col("end")) & (F.col("until").isNull() | (F.col("until") > F.col("since"))))
+    reach = reach.withColumn("slice", F.explode(F.sequence(slot(F.col("since")), slot(F.coalesce(F.col("until") - 1, F.col("end"))))))
+    held = reach.groupBy(book, "slice").agg(F.array_sort(F.collect_list(F.struct("since", "pos", "name", "what", "until"))).alias("held"))
+    out = rows.withColumn("slice", slot(F.col(order))).join(held, [book, "slice"], "left").drop("slice")
+    now = F.filter("held", lambda h: (h["since"] <= F.col(order)) & (h["until"].isNull() | (h["until"] > F.col(order))))
+    table = F.map_from_entries(F.transform(now, lambda h: F.struct(h["name"], h["what"])))
+    return out.withColumn(name, F.coalesce(table, F.create_map().cast("map<string,string>"))).drop("held")
+
+
+def fold(updates: DataFrame, book: str, order: str) -> DataFrame:
+    """updates: one row per chunk with voice, glossary, characters, decisions, last_scene, rejected; the order is a chunk's whole number, one row each.
+
+    Returns (book, order, the memory after it). Null books are left out: a memory belongs to a book.
+    """
+    updates = updates.where(F.col(book).isNotNull())
+    rows = updates.select(book, order, "voice", F.when(F.coalesce("last_scene", F.lit("")) != "", T.truncated(F.col("last_scene"), L.MOST_SCENE_CHARS)).alias("last_scene"))
+    so_far = W.partitionBy(book).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "voice": F.coalesce(F.last(F.nullif(T.strip(F.col("voice")), F.lit("")), ignorenulls=True).over(so_far), F.lit(L.DEFAULT_VOICE)),
+        "last_scene": F.coalesce(F.last("last_scene", ignorenulls=True).over(so_far), F.lit("")),
+    })
+    terms = updates.select(book, order, F.posexplode(_entries(F.col("glossary"))).alias("pos", "e")).select(book, order, "pos", F.col("e.k").alias("term"), F.col("e.v").alias("value"))
+    terms = first_written(terms, book, [order, "pos"], with_first=True).select(book, "term", "value", "place", F.col(f"first.{order}").alias("since"))
+    glossary = terms.select(book, F.col("term").alias("name"), F.col("value").alias("what"), "since", F.lit(None).cast(updates.schema[order].dataType).alias("until"), F.col("place").alias("pos"))
+    rows = _alive(_alive(rows, glossary, book, order, "glossary"), character_changes(updates, book, order), book, order, "characters")
+
+    # the last 18 accepted decisions after each chunk that brings one, then the latest such list
+    new = accepted_decisions(updates, book, order)
+    last = F.collect_list("text").over(W.partitionBy(book).orderBy("place").rowsBetween(1 - L.MOST_DECISIONS, 0))
+    lists = new.withColumn("last", last).groupBy(book, order).agg(F.max_by("last", "place").alias("decisions"))
+    rows = rows.join(lists, [book, order], "left")
+    rows = rows.withColumn("decisions", F.coalesce(F.last("decisions", ignorenulls=True).over(so_far), F.array().cast("array<string>")))
+    return rows.select(book, order, "voice", "decisions", "glossary", "characters", "last_scene")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.operators import scan
+
 
 def usable(calls: DataFrame, model: str, day: str, order: str, tokens: str, limit) -> DataFrame:
-    """A call goes through if what its model has used that day before it is under the limit; it may overshoot."""
-    before = F.coalesce(F.sum(tokens).over(W.partitionBy(model, day).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return calls.withColumn("used_before", before).withColumn("usable", before < limit)
+    """A call goes through if what its model has used that day before it is under the limit; it may overshoot. A day of calls of one model is summed in slices."""
+    before = scan.sum_before(calls, [model, day], order, F.col(tokens), "used_before")
+    return before.withColumn("usable", F.col("used_before") < limit)
 
 
 def plan(chunks: DataFrame, models: list[tuple[str, int, int]], book: str, order: str, tokens: str) -> DataFrame:
@@ -33,16 +35,22 @@ def pause_points(planned: DataFrame, book: str, order: str) -> DataFrame:
     return planned.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col(order) < F.col("stop"))).drop("stop")
 
 
-def gate(chunks: DataFrame, book: str, order: str, speaks, forced, every: int) -> DataFrame:
+def gate(chunks: DataFrame, book: str, order: str, speaks, forced, every: int, succeeds=None) -> DataFrame:
     """Whether to extract: the first chunk, a forced one, one whose notes speak of news, or each ``every``-th quiet one in a row.
 
-    Supposes that extraction succeeds, so that each resets the count of quiet chunks.
+    ``succeeds``: whether an extraction at this chunk, if there is one, goes well (default: always). Only then is the
+    count of quiet chunks begun anew; after a failure the next quiet chunk is tried at once. The count never matters
+    beyond ``every``, so a chunk is a table of transitions over ``every`` states, and tables compose.
     """
-    w = W.partitionBy(book).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    ok = F.lit(True) if succeeds is None else succeeds
     loud = (F.col(order) == 0) | forced | speaks
-    rows = chunks.withColumn("loud", loud).withColumn("island", F.sum(F.col("loud").cast("int")).over(w))
-    quiet = F.sum((~F.col("loud")).cast("int")).over(W.partitionBy(book, "island").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("extract", F.col("loud") | (quiet % every == 0)).drop("loud", "island")
+    rows = chunks.withColumns({"loud": F.coalesce(loud, F.lit(False)), "ok": F.coalesce(ok, F.lit(False))})
+    full = every - 1  # the next quiet chunk is one to extract at
+    after_loud = lambda s: F.when(F.col("ok"), 0).otherwise(s)
+    after_quiet = lambda s: F.when(s < full, s + 1).when(F.col("ok"), 0).otherwise(full)
+    step = F.transform(F.sequence(F.lit(0), F.lit(full)), lambda s: F.when(F.col("loud"), after_loud(s)).otherwise(after_quiet(s)))
+    rows = scan.states_before(rows, [book], order, step, every, "quiet")
+    return rows.withColumn("extract", F.col("loud") | (F.col("quiet") == full)).drop("loud", "ok", "quiet")
 
 
 def adapters(configs: DataFrame, makers: list[str]) -> DataFrame:

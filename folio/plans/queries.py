@@ -16,7 +16,7 @@ from folio import lexicons as L
 from folio.functions import prompts, reply
 from folio.functions import text as T
 from folio.operators import assemble, memory, mentions, pack, routing, segment, state
-from folio.plans import pipeline, run
+from folio.plans import pipeline
 from folio.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +402,27 @@ def q_extraction_gate(spark, sf_dir):
     return routing.gate(rows, "conv_id", "turn", T.speaks_of_news(F.col("text")), F.lit(False), 3).select("conv_id", "turn", "extract")
 
 
+@query(f"""WITH RECURSIVE g AS (SELECT conv_id, turn, turn = 0 OR len(list_filter([{quoted(L.GATE_KEYWORDS)}], lambda k: contains(lower(text), k))) > 0 AS loud, length(text) % 3 <> 0 AS ok, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r AS (SELECT conv_id, turn, k, loud AS extract, CASE WHEN loud AND ok THEN 0 WHEN loud THEN 0 ELSE 1 END AS quiet FROM g WHERE k = 1
+      UNION ALL SELECT g.conv_id, g.turn, g.k, g.loud OR r.quiet + 1 >= 3, CASE WHEN g.loud THEN CASE WHEN ok THEN 0 ELSE r.quiet END WHEN r.quiet + 1 >= 3 AND ok THEN 0 ELSE r.quiet + 1 END FROM r JOIN g ON g.conv_id = r.conv_id AND g.k = r.k + 1)
+SELECT conv_id, turn, extract FROM r""")
+def q_extraction_gate_failures(spark, sf_dir):
+    """An extraction fails where the text's length is a multiple of 3: the count of quiet chunks then goes on."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return routing.gate(rows, "conv_id", "turn", T.speaks_of_news(F.col("text")), F.lit(False), 3, F.length("text") % 3 != 0).select("conv_id", "turn", "extract")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT client_id, click_id, coalesce(kind, '') IN ('buy', 'purchase', 'signup') AS loud, coalesce(value, 0) < 50 AS ok, row_number() OVER (PARTITION BY client_id ORDER BY click_id) AS k FROM (SELECT click_id, client_id, min(kind) AS kind, min(value) AS value FROM clicks WHERE client_id IS NOT NULL AND click_id IS NOT NULL GROUP BY ALL)),
+r AS (SELECT client_id, click_id, k, loud OR click_id = 0 AS extract, CASE WHEN loud OR click_id = 0 THEN 0 ELSE 1 END AS quiet FROM e WHERE k = 1
+      UNION ALL SELECT e.client_id, e.click_id, e.k, e.loud OR r.quiet + 1 >= 5, CASE WHEN e.loud THEN CASE WHEN ok THEN 0 ELSE r.quiet END WHEN r.quiet + 1 >= 5 AND ok THEN 0 ELSE r.quiet + 1 END FROM r JOIN e ON e.client_id = r.client_id AND e.k = r.k + 1)
+SELECT client_id, click_id, extract FROM r""")
+def q_gate_skewed(spark, sf_dir):
+    """The same automaton over a log of clicks, where one client may have a third of all rows."""
+    rows = table(spark, sf_dir, "clicks").where("client_id is not null and click_id is not null").groupBy("client_id", "click_id").agg(F.min("kind").alias("kind"), F.min("value").alias("value"))
+    loud = F.coalesce("kind", F.lit("")).isin("buy", "purchase", "signup")
+    return routing.gate(rows, "client_id", "click_id", loud, F.lit(False), 5, F.coalesce("value", F.lit(0)) < 50).select("client_id", "click_id", "extract")
+
+
 @query("""WITH f AS (SELECT l_partkey, l_returnflag, arg_min(l_shipdate::DATE, l_orderkey * 10 + l_linenumber) AS value, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY first, l_partkey) AS place FROM f) SELECT l_returnflag AS book, l_partkey AS term, value, CAST(place AS INTEGER) AS place FROM p WHERE place <= 600""")
 def q_first_writer_glossary(spark, sf_dir):
@@ -523,9 +544,42 @@ def q_extra_missing(spark, sf_dir):
     return name_sets(spark, sf_dir).select("source", F.array_sort(F.array_except("pred", "gold")).alias("extra"), F.array_sort(F.array_except("gold", "pred")).alias("missing"))
 
 
-@query()
+# Similarity of the texts a and b of pairs: common blocks, the longest first, then on both sides of it.
+_BLOCK = "list_max([{{'n': len(list_filter(range(1, length({x}) - i + 1), lambda k: contains({y}, {x}[i + 1:i + k]))), 'i': -i}} FOR i IN range(length({x}))])"
+SIMILAR_SQL = f"""
+w AS (SELECT a, b, a AS x, b AS y, {_BLOCK.format(x="a", y="b")} AS m FROM pairs WHERE a <> '' AND b <> ''
+      UNION ALL
+      SELECT a, b, c.x, c.y, {_BLOCK.format(x="c.x", y="c.y")} FROM (
+        SELECT a, b, unnest([{{'x': x[:-m.i], 'y': y[:instr(y, x[1 - m.i:m.n - m.i]) - 1]}}, {{'x': x[1 - m.i + m.n:], 'y': y[instr(y, x[1 - m.i:m.n - m.i]) + m.n:]}}]) AS c FROM w WHERE m.n > 0) WHERE c.x <> '' AND c.y <> ''),
+scored AS (SELECT a, b, 2.0::DOUBLE * sum(m.n) / (length(a) + length(b)) AS score FROM w GROUP BY a, b)
+"""
+# Each predicted name in order takes its best gold name that is left.
+GREEDY_SQL = f"""
+edges AS (SELECT source, p, list(g ORDER BY score DESC, g) AS golds FROM candidates JOIN scored ON a = lower(p) AND b = lower(g) WHERE score >= {L.SIMILAR} GROUP BY source, p),
+steps AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p) AS k FROM edges),
+taking AS (SELECT source, 0::BIGINT AS k, []::VARCHAR[] AS taken FROM (SELECT DISTINCT source FROM documents)
+           UNION ALL SELECT t.source, s.k, CASE WHEN len(list_filter(golds, lambda g: NOT list_contains(taken, g))) > 0 THEN list_append(taken, list_filter(golds, lambda g: NOT list_contains(taken, g))[1]) ELSE taken END
+           FROM taking t JOIN steps s ON s.source IS NOT DISTINCT FROM t.source AND s.k = t.k + 1)
+SELECT source, CAST(max(len(taken)) AS INTEGER) AS tp FROM taking GROUP BY source
+"""
+
+
+@query(f"""WITH RECURSIVE {_SETS}, candidates AS (SELECT source, p, unnest(gold) AS g FROM (SELECT source, unnest(pred) AS p, gold FROM s)),
+pairs AS (SELECT DISTINCT lower(p) AS a, lower(g) AS b FROM candidates), {SIMILAR_SQL}, {GREEDY_SQL}""")
 def q_eval_fuzzy(spark, sf_dir):
-    return name_sets(spark, sf_dir).select("source", assemble.fuzzy_hits("gold", "pred").alias("tp"))
+    return assemble.fuzzy_hits(name_sets(spark, sf_dir), "source")
+
+
+_WORDS = "s AS (SELECT source, list(DISTINCT w) FILTER (WHERE doc_id % 2 = 0 AND w <> '') AS gold, list(DISTINCT w) FILTER (WHERE doc_id % 2 = 1 AND w <> '') AS pred FROM (SELECT source, doc_id, left(regexp_extract(text, '[\\pL]{6,}'), 12) AS w FROM documents) GROUP BY source)"
+
+
+@query(f"""WITH RECURSIVE {_WORDS}, candidates AS (SELECT source, p, unnest(gold) AS g FROM (SELECT source, unnest(pred) AS p, gold FROM s)),
+pairs AS (SELECT DISTINCT lower(p) AS a, lower(g) AS b FROM candidates WHERE 2.0 * least(length(p), length(g)) >= {L.SIMILAR} * (length(p) + length(g))), {SIMILAR_SQL}, {GREEDY_SQL}""")
+def q_eval_fuzzy_words(spark, sf_dir):
+    """The first long word of each text, of every second text as gold names and of the others as predicted ones."""
+    word = F.nullif(F.left(F.regexp_extract("text", r"[\p{L}]{6,}", 0), F.lit(12)), F.lit(""))
+    pick = lambda n: F.collect_set(F.when(F.col("doc_id") % 2 == n, F.col("w")))
+    return assemble.fuzzy_hits(table(spark, sf_dir, "documents").select("source", "doc_id", word.alias("w")).groupBy("source").agg(pick(0).alias("gold"), pick(1).alias("pred")), "source")
 
 
 @query("""WITH r AS (SELECT doc_id, quality, source FROM labels JOIN documents USING (doc_id))
@@ -552,15 +606,52 @@ def q_prompt_render(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", p.alias("prompt"))
 
 
-@query()
+_CLEAN = "CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(left({t}, {n} - 1)) || '…' END"
+_SPACED = r"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
+_DECIDED = lambda t: f"{{{{'t': {_CLEAN.format(t=_SPACED.format(t=t), n=220)}}}}}".replace("{{", "{").replace("}}", "}")
+_KEYED = r"regexp_replace(regexp_replace(lower(trim({t})), '\s+', ' ', 'g'), '[^\pL\pN_ ]+', '', 'g')"
+_NEW = "CASE WHEN d{i}.k <> '' AND len(list_filter({held}, lambda e: e.k = d{i}.k OR list_contains(sim, d{i}.k || chr(1) || e.k))) = 0 THEN list_append({held}, d{i}) ELSE {held} END"
+FOLD_MEMORY_SQL = f"""
+v AS ({ORACLES["q_voice"]}),
+n0 AS (SELECT conv_id, turn, role, text, regexp_extract(text, '[\\pL]{{4,}}') AS w FROM conversations),
+n1 AS (SELECT *, upper(w[1]) || lower(w[2:]) AS name, {_CLEAN.format(t=_SPACED.format(t="'Mantener el tono de ' || role"), n=220)} AS t1, {_CLEAN.format(t=_SPACED.format(t="'Adaptar ' || left(text, 40)"), n=220)} AS t2 FROM n0),
+n2 AS (SELECT *, first_value(name) OVER (PARTITION BY conv_id ORDER BY turn) AS opening, {{'t': t1, 'k': {_KEYED.format(t="t1")}}} AS d1, {{'t': t2, 'k': {_KEYED.format(t="t2")}}} AS d2, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+        CASE WHEN turn % 2 = 0 THEN '{L.GENERIC}' ELSE 'papel ' || role END AS what, length(name) BETWEEN 2 AND 80 AND regexp_full_match(name, '[A-Za-zÁÉÍÓÚÑáéíóúñ'' -]+') AND {FOLDED_SQL.format('name')} NOT IN ({quoted(L.NO_CHARACTER)}) AND regexp_matches(name, '^\\p{{Lu}}') AS valid FROM n1),
+keys AS (SELECT conv_id, d1.k AS x FROM n2 UNION SELECT conv_id, d2.k FROM n2),
+pairs AS (SELECT DISTINCT p.x AS a, q.x AS b FROM keys p JOIN keys q ON p.conv_id = q.conv_id AND p.x <> q.x AND 2.0 * least(length(p.x), length(q.x)) >= {L.SIMILAR} * (length(p.x) + length(q.x))),
+{SIMILAR_SQL},
+near AS (SELECT coalesce(list(a || chr(1) || b), []) AS sim FROM scored WHERE score >= {L.SIMILAR}),
+rows_ AS (SELECT n2.*, v.voice AS said, sim FROM n2 JOIN v USING (conv_id, turn), near),
+st AS (SELECT conv_id, 0::BIGINT AS k, -1::BIGINT AS turn, '{L.DEFAULT_VOICE}' AS voice, []::STRUCT(t VARCHAR, k VARCHAR)[] AS decs, []::STRUCT(name VARCHAR, what VARCHAR)[] AS chars, []::STRUCT(name VARCHAR, what VARCHAR)[] AS terms, '' AS scene FROM (SELECT DISTINCT conv_id FROM conversations)
+       UNION ALL
+       SELECT conv_id, k, turn, voice, decs2[-18:] AS decs,
+              CASE WHEN NOT valid THEN left_ WHEN len(list_filter(left_, lambda c: c.name = nm)) = 0 THEN list_append(left_, {{'name': nm, 'what': what}}) ELSE list_transform(left_, lambda c: CASE WHEN c.name = nm AND c.what = '{L.GENERIC}' AND what <> '{L.GENERIC}' THEN {{'name': nm, 'what': what}} ELSE c END) END,
+              CASE WHEN w = '' OR len(list_filter(terms, lambda c: c.name = nm)) > 0 THEN terms ELSE list_append(terms, {{'name': nm, 'what': role}}) END, scene
+       FROM (SELECT *, {_NEW.format(i=2, held="decs1")} AS decs2 FROM (
+         SELECT r.conv_id, r.k, r.turn, r.name AS nm, r.what, r.w, r.role, r.valid AND r.w <> '' AS valid, r.d2, r.sim, s.terms, CASE WHEN trim(r.said) <> '' THEN trim(r.said) ELSE s.voice END AS voice,
+                CASE WHEN r.turn % 3 = 2 THEN list_filter(s.chars, lambda c: c.name <> r.opening) ELSE s.chars END AS left_, {_NEW.format(i=1, held="s.decs").replace("d1.", "r.d1.").replace(", d1)", ", r.d1)").replace("(sim,", "(r.sim,")} AS decs1,
+                CASE WHEN r.text <> '' THEN {_CLEAN.format(t=_SPACED.format(t="r.text"), n=420)} ELSE s.scene END AS scene
+         FROM st s JOIN rows_ r ON r.conv_id = s.conv_id AND r.k = s.k + 1)))
+SELECT conv_id, turn, voice, [d.t FOR d IN decs] AS decisions, list_sort([c.name || '=' || c.what FOR c IN chars]) AS characters, list_sort([c.name || '=' || c.what FOR c IN terms]) AS glossary, scene AS last_scene FROM st WHERE k > 0
+"""
+
+
+@query("WITH RECURSIVE " + FOLD_MEMORY_SQL)
 def q_memory_fold(spark, sf_dir):
+    """Each turn names its first long word, decides two things, and each third turn rejects the conversation's first name."""
     rows = table(spark, sf_dir, "conversations")
-    none = F.create_map().cast("map<string,string>")
     name = F.initcap(F.regexp_extract("text", r"[\p{L}]{4,}", 0))
-    updates = rows.select("conv_id", "turn", T.voice(F.col("text")).alias("voice"), none.alias("glossary"), F.when(name != "", F.create_map(name, F.lit(L.GENERIC))).otherwise(none).alias("characters"),
-                          T.style_decisions(F.concat(F.lit("Mantener el tono de "), F.col("role"))).alias("decisions"), T.scene_digest(F.col("text")).alias("last_scene"), F.array().cast("array<string>").alias("rejected"))
-    out = memory.fold(updates, "conv_id", "turn")
-    return out.select("conv_id", "turn", "voice", "decisions", F.array_sort(F.map_keys("characters")).alias("characters"), "last_scene")
+    rows = rows.withColumn("name", name).withColumn("opening", F.first("name").over(W.partitionBy("conv_id").orderBy("turn")))
+    none = F.create_map().cast("map<string,string>")
+    some = lambda what: F.when(F.col("name") != "", F.create_map(F.col("name"), what)).otherwise(none)
+    said = F.concat("text", F.lit(" y yo me fui; él dijo que su casa está aquí y nos miró."))
+    updates = rows.select(
+        "conv_id", F.col("turn"), T.voice(said, F.lit("")).alias("voice"), some(F.col("role")).alias("glossary"), some(F.when(F.col("turn") % 2 == 0, F.lit(L.GENERIC)).otherwise(F.concat(F.lit("papel "), "role"))).alias("characters"),
+        F.array(F.concat(F.lit("Mantener el tono de "), "role"), F.concat(F.lit("Adaptar "), F.left("text", F.lit(40)))).alias("decisions"), F.col("text").alias("last_scene"),
+        F.when(F.col("turn") % 3 == 2, F.array("opening")).otherwise(F.array().cast("array<string>")).alias("rejected"),
+    )
+    told = lambda c: F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias(c)
+    return memory.fold(updates, "conv_id", "turn").select("conv_id", "turn", "voice", "decisions", told("characters"), told("glossary"), "last_scene")
 
 
 @query("""SELECT n_nationkey, lower(n_name) AS folded, regexp_replace(regexp_replace(lower(trim(n_name)), '[^\\w\\s-]', '', 'g'), '\\s+', '_', 'g') AS slug FROM nation""".replace("\\\\", "\\"))
@@ -594,13 +685,13 @@ def q_fix_pairs(spark, sf_dir):
     index = (F.row_number().over(W.partitionBy("book_id").orderBy("turn")) - 1).alias("book_index")
     source = rows.where("role = 'user'").select("book_id", index, F.col("text").alias("original"))
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text")))), lambda x: x["text"])
-    return run.fix_chunks(source, rows.groupBy("book_id").agg(parts.alias("sections"))).select("book_id", "book_index", "original", "source")
+    return assemble.fix_chunks(source, rows.groupBy("book_id").agg(parts.alias("sections"))).select("book_id", "book_index", "original", "source")
 
 
 @query("SELECT conv_id, turn, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn)) * 100.0::DOUBLE / count(*) OVER (PARTITION BY conv_id)) AS INTEGER) AS percent FROM conversations")
 def q_progress(spark, sf_dir):
     w = W.partitionBy("conv_id")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", run.progress(F.row_number().over(w.orderBy("turn")), F.count("*").over(w)).alias("percent"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", state.progress(F.row_number().over(w.orderBy("turn")), F.count("*").over(w)).alias("percent"))
 
 
 @query(f"""SELECT n_nationkey, n_nationkey % 5 <> 0 AS readable, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 1 THEN '{L.DEFAULT_VOICE}' ELSE lower(n_name) END AS voice,
@@ -669,10 +760,9 @@ def q_available_models(spark, sf_dir):
     return routing.available(models, events, now).select("name", "available")
 
 
-@query()
+@query("""SELECT conv_id AS book_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS book_index, 'done' AS status, 0.9::DOUBLE AS confidence, trim(coalesce(text, ''), ' ' || chr(10) || chr(9)) AS translated FROM conversations""")
 def q_offline_run(spark, sf_dir):
-    """A run with the offline model, which says what it is given; rows only, as decisions are compared by similarity."""
+    """One wave of a run with the offline model, which answers with what it is given."""
     index = (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).alias("book_index")
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), index, F.col("text").alias("original"))
-    out = run.run(chunks, run.Settings(pipeline.offline_models))
-    return out.select("book_id", "book_index", "status", "model_used", "confidence", "prompt_chars", "version", F.md5("memory").alias("memory_md5"))
+    return pipeline.answered(chunks, pipeline._latest(spark, None), pipeline.offline).select("book_id", "book_index", "status", "confidence", "translated")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Least and most tokens of a chunk, by preset; an unknown name means the first.
@@ -19,3 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def preset(name: str) -> tuple[int, int]:
     return PRESETS.get(name, PRESETS["standard"])
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder stands for it only where all runs in one JVM."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="folio-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

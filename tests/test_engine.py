@@ -11,7 +11,7 @@ from folio.cli import main
 from folio.functions import reply
 from folio.functions import text as T
 from folio.operators import assemble, memory, mentions, pack, routing, segment, state
-from folio.plans import pipeline, queries, run
+from folio.plans import pipeline, queries
 from folio.sources import files
 
 
@@ -159,13 +159,11 @@ def test_sources_and_pipeline(spark, tmp_path):
         files.read_book(spark, str(tmp_path / "none.txt"))
     assert main(["translate", str(tmp_path / "none.txt")]) == 1
 
-    def model(text, prompt):
-        if "Fin" in text:
-            raise ValueError("no")
-        return pipeline.offline(text, prompt)
+    def model(payload, prompt):
+        return F.when(~F.contains(payload, F.lit("Fin")), pipeline.offline(payload, prompt))
 
     books = files.read_book(spark, str(book)).withColumn("book_id", F.lit(1).cast("long"))
-    done = run.run(pipeline.book_chunks(books), run.Settings(lambda: [run.Model("own", model)], extractor=None)).cache()
-    assert {(r.status, bool(r.flags)) for r in done.collect()} == {("done", False), ("flagged", True)}
+    done = pipeline.run(pipeline.book_chunks(books), model, str(tmp_path / "log")).cache()
+    assert sorted((r.status, r.translated is None) for r in done.collect()) == [("done", False), ("flagged", True)]
     assert pipeline.finished(done).first().text == "Chapter 1\nEl niño." + "\n" * 6 + L.REVIEW_MARKER + "Chapter 2\nFin."
     assert files.models([{"name": "a"}, {"name": "b", "priority": 1}])[0]["name"] == "b"

@@ -1,52 +1,153 @@
-"""The run with its memory, its plain rules against the columns, streams, and the command line."""
+"""The memory as windows, similarity, scans, streams, exactly-once intake, runs in waves and the command line."""
 
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from folio import lexicons as L
 from folio.cli import main
-from folio.functions import plain, prompts, reply
+from folio.functions import prompts, reply
 from folio.functions import text as T
+from folio.operators import assemble, mentions, routing, scan, segment, similar
 from folio.operators import memory as M
-from folio.operators import mentions, segment
-from folio.plans import run as R
-from folio.streaming.memory import memory_stream, resume
-
-TEXTS = [
-    "", "  ", "Entonces Diego dijo que no. El señor Duarte llegó. Fueron los ejércitos de Tempest.", "Sombra. Luego vino Ana y vio a Ana.", "yo me fui con mi casa", "él miró su casa y entró. ¡Sí! No.",
-    "Mantener el tono. Nada. VOZ clara, José", "a  b\n\tc " * 90, "x" * 500, "Rey Arturo. Gritó Marta. respondió Marta Marta", "de Roma. del Roma, Roma. Roma miró. Ana-María O'Hara", "El nuevo término ñandú.", "\n# Uno\nDos? Tres! Cuatro.",
-]
-REPLIES = [
-    '{"translation": " hola ", "confidence": 2, "notes": "n"}', '```json\n{"text": "x", "confidence": "0.4"}\n```', 'Sure: {"result": "y", "extra": {"a": 1}} done', "## Traducción\nHola.\n## Confianza\n0.8\n## Notas\nbien",
-    "# Head\n**bold** text", "", "{}", "[1]", '{"confidence": "x"}', "```\ncode\n```", "a\n\n\n\n\nb __c__",
-]
-UPDATES = ['{"voice": " v ", "glossary": {"a": "1", "": "x", "b": ""}, "characters": {"Ana": "c"}, "decisions": ["d", ""], "last_scene": "s", "rejected": ["R"]}', "no", "{}", 'x {"voice": ""} y']
-
-
-def test_plain_rules_are_the_columns_rules(spark):
-    rng = random.Random(3)
-    words = ["Ana", "ana", "dijo", "de", "Diego", "miró", "rey", ".", "señor", "¡No!", "Duarte", "el", "\n", "Tempest", ",", "su", "yo", "fue", "hay"]
-    texts = TEXTS + [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(300)]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    t = F.col("text")
-    got = df.select("id", T.truncated(t, 40).alias("a"), T.folded(t).alias("b"), T.est_tokens(t).alias("c"), T.valid_name(t).alias("d"), T.cleaned_decision(t).alias("e"), T.decision_key(t).alias("f"), T.scene_digest(t).alias("g"),
-                    T.voice(t, F.lit("?")).alias("h"), T.style_decisions(t).alias("i"), T.speaks_of_news(t).alias("j")).orderBy("id").collect()
-    for r, x in zip(got, texts):
-        assert tuple(r)[1:] == (plain.truncated(x, 40), plain.folded(x), plain.est_tokens(x), plain.valid_name(x), plain.cleaned_decision(x), plain.decision_key(x), plain.scene_digest(x), plain.voice(x, "?"), plain.style_decisions(x), plain.speaks_of_news(x)), x
-    known = [("TEMPEST", 0), ("ana", 1), ("ANA", 2)]
-    names = spark.createDataFrame([(i, n, p) for i in range(len(texts)) for n, p in known], "id int, name string, place int")
-    found = {i: [] for i in range(len(texts))}
-    for r in mentions.character_mentions(df.withColumn("text", T.strip(t)), "id", known=names).orderBy("id", "rank").collect():
-        found[r.id].append(r.name)
-    assert found == {i: plain.mentions(x, [n for n, _ in known]) for i, x in enumerate(texts)}
-    replies = spark.createDataFrame([(i, x) for i, x in enumerate(REPLIES + UPDATES)], "id int, raw string").select("id", reply.parsed(F.col("raw")).alias("r"), reply.update(F.col("raw")).alias("u")).orderBy("id").collect()
-    for r, x in zip(replies, REPLIES + UPDATES):
-        assert r.r.asDict() == plain.reply(x), x
-        if x in UPDATES:
-            assert r.u.asDict() == plain.update(x), x
+from folio.plans import pipeline
+from folio.session import kept
+from folio.streaming import memory as S
+
+UPDATE = "book int, n int, voice string, glossary map<string,string>, characters map<string,string>, decisions array<string>, last_scene string, rejected array<string>"
+
+
+def changed(rng, text):
+    out = list(text)
+    for _ in range(rng.randint(0, 3)):
+        k = rng.randint(0, max(0, len(out) - 1))
+        out[k : k + rng.randint(0, 1)] = rng.choice(["a", "é", " ", "", "xy"])
+    return "".join(out)
+
+
+def test_similarity_is_that_of_blocks(spark):
+    rng = random.Random(4)
+    short = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 22))) for _ in range(120)]
+    long = ["".join(rng.choice("abc ") + rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(96, 110))) for _ in range(12)]
+    pairs = [(x, changed(rng, x)) for x in short + long] + [("", ""), ("", "a"), ("ab", "ba"), ("a" * 210, "a" * 205), ("same", "same")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similar.ratio(F.col("a"), F.col("b")).alias("r"), similar.alike(F.col("a"), F.col("b")).alias("k")).collect()
+    for r in got:
+        score = SequenceMatcher(None, r.a, r.b).ratio()
+        assert abs(r.r - score) < 1e-12 and r.k == (r.a == r.b or score >= L.SIMILAR), (r.a, r.b)
+
+
+def test_similar_pairs_and_one_to_one(spark):
+    rng = random.Random(5)
+    gold = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    pred = [changed(rng, x) for x in gold[:40]]
+    frame = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    got = {(r.a, r.b): r.score for r in similar.similar_pairs(frame(pred, "a"), frame(gold, "b")).collect()}
+    exp = {(a, b): SequenceMatcher(None, a, b).ratio() for a in pred for b in gold if a and b}
+    assert got == pytest.approx({k: v for k, v in exp.items() if v >= L.SIMILAR})
+
+    def greedy(golds, preds):
+        left, hits = sorted(set(golds)), 0
+        for p in sorted(set(preds)):
+            score, best = max(((SequenceMatcher(None, p.lower(), g.lower()).ratio(), g) for g in left), key=lambda x: x[0], default=(0.0, None))
+            if best is not None and score >= L.SIMILAR:
+                hits += 1
+                left.remove(best)
+        return hits
+
+    sets = [(k, rng.sample(gold, 25), rng.sample(pred, 25)) for k in range(4)] + [(9, [], ["a"]), (10, [""], ["", "A"]), (11, None, None)]
+    out = {r.k: r.tp for r in assemble.fuzzy_hits(spark.createDataFrame(sets, "k int, gold array<string>, pred array<string>"), "k").collect()}
+    assert out == {k: greedy(g or [], p or []) for k, g, p in sets}
+
+
+def test_scans(spark):
+    rng, n = random.Random(6), 4
+    rows = [(g, i, rng.random() < 0.2, rng.random() < 0.5) for g in (1, 2, None) for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, i long, loud boolean, ok boolean")
+    got = {(r.g, r.i): r.extract for r in routing.gate(df, "g", "i", F.col("loud"), F.lit(False), n, F.col("ok")).collect()}
+    for g in (1, 2, None):
+        quiet = 0
+        for _, i, loud, ok in [r for r in rows if r[0] == g]:
+            wanted = i == 0 or loud
+            if not wanted:
+                quiet += 1
+                wanted = quiet >= n
+            if wanted and ok:
+                quiet = 0
+            assert got[g, i] == wanted, (g, i)
+    step = F.array(F.lit(1), F.lit(0))
+    small = {(r.g, r.i): r.s for r in scan.states_before(df, ["g"], "i", step, 2, "s", size=7).collect()}
+    assert len(small) == len(rows) and all(s == i % 2 for (_, i), s in small.items())
+    sums = {(r.g, r.i): r.s for r in scan.sum_before(df, ["g"], "i", F.col("i"), "s", size=7).collect()}
+    assert len(sums) == len(rows) and all(s == i * (i - 1) // 2 for (_, i), s in sums.items())
+
+
+def plain_fold(rows, names=L.MOST_CHARACTERS):
+    """The rules one update after the other."""
+    out, state = {}, {}
+    for book, n, voice, glossary, characters, decisions, scene, rejected in sorted(rows, key=lambda r: r[:2]):
+        m = state.setdefault(book, {"voice": L.DEFAULT_VOICE, "glossary": {}, "characters": {}, "decisions": [], "scene": ""})
+        m["voice"] = (voice or "").strip() or m["voice"]
+        for x in rejected or []:
+            m["characters"].pop(x, None)
+        for k, v in (glossary or {}).items():
+            m["glossary"].setdefault(k, v)
+        for k, v in (characters or {}).items():
+            if not k[0].isupper():
+                continue
+            if k not in m["characters"]:
+                if len(m["characters"]) < names:
+                    m["characters"][k] = v
+            elif m["characters"][k] == L.GENERIC and v != L.GENERIC and (v or "").strip():
+                m["characters"][k] = v
+        for d in decisions or []:
+            if d and not any(SequenceMatcher(None, d, e).ratio() >= L.SIMILAR for e in m["decisions"]):
+                m["decisions"].append(d)
+        m["decisions"] = m["decisions"][-L.MOST_DECISIONS :]
+        m["scene"] = scene or m["scene"]
+        out[book, n] = (m["voice"], dict(m["glossary"]), dict(m["characters"]), list(m["decisions"]), m["scene"])
+    return out
+
+
+def random_updates(seed, books=3, chunks=60):
+    rng = random.Random(seed)
+    names = ["Ana", "Bea", "Carlos", "Diego", "Eva", "bad"]
+    rows = []
+    for book in range(books):
+        for n in range(chunks):
+            some = lambda k: rng.sample(names, rng.randint(0, k))
+            rows.append((
+                book, n, rng.choice([None, "", " v%d " % n]), {x: str(n) for x in some(2)} or None, {x: rng.choice([L.GENERIC, L.GENERIC, "rich %d" % n, " "]) for x in some(3)},
+                ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(rng.randint(0, 2))] + rng.choice([[], ["regla fija"], ["regla fijas"], [""]]), rng.choice([None, "", "s%d" % n]), some(2) if rng.random() < 0.4 else rng.choice([None, []]),
+            ))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_is_that_of_one_update_after_the_other(spark, seed):
+    rows = random_updates(seed)
+    got = {(r.book, r.n): (r.voice, r.glossary, r.characters, r.decisions, r.last_scene) for r in M.fold(spark.createDataFrame(rows, UPDATE), "book", "n").collect()}
+    assert got == plain_fold(rows)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_names_of_a_full_memory(spark, most):
+    rows = random_updates(7)
+    # a dict's order is lost on its way to a map, and here it counts
+    listed = [(*r[:4], list(r[4].items()), *r[5:]) for r in rows]
+    df = spark.createDataFrame(listed, UPDATE.replace("characters map<string,string>", "characters array<struct<k:string,v:string>>")).withColumn("characters", F.map_from_entries("characters"))
+    spans = M.character_changes(df, "book", "n", most).collect()
+    for (book, n), m in plain_fold(rows, most).items():
+        assert {s.name: s.what for s in spans if s.book == book and s.since <= n and (s.until is None or s.until > n)} == m[2], (book, n)
+
+
+def test_fold_of_nothing_and_of_no_book(spark):
+    assert M.fold(spark.createDataFrame([], UPDATE), "book", "n").collect() == []
+    assert M.fold(spark.createDataFrame([(None, 0, "v", {}, {}, [], "", [])], UPDATE), "book", "n").collect() == []
+    r = M.fold(spark.createDataFrame([(1, 0, None, None, None, None, None, None)], UPDATE), "book", "n").first()
+    assert (r.voice, r.glossary, r.characters, r.decisions, r.last_scene) == (L.DEFAULT_VOICE, {}, {}, [], "")
 
 
 def test_repeated_and_null_ids_are_texts_of_their_own(spark):
@@ -56,156 +157,145 @@ def test_repeated_and_null_ids_are_texts_of_their_own(spark):
 
 
 def test_prompts(spark):
-    r = spark.range(1).select(prompts.prompt("fix", "en", "es", F.lit("v"), F.array(F.lit("d")), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), F.create_map().cast("map<string,string>"), F.lit("")).alias("p"),
-                              T.fix_payload(F.lit(" "), F.lit(" x\n"), "en", "es").alias("f")).first()
-    assert r.p == prompts.rendered("fix", "en", "es", "v", ["d"], {"b": "2", "a": "1"}, {}, "") and r.f == prompts.fix_payload(" ", " x\n", "en", "es")
-    assert "- Ana" in prompts.extraction("o", "t", "", ["Ana"]) and "Candidates" not in prompts.extraction("o", "t", "", [])
+    none = F.create_map().cast("map<string,string>")
+    r = spark.range(1).select(
+        prompts.prompt("fix", "en", "es", F.lit("v"), F.array(F.lit("d")), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), none, F.lit("")).alias("p"), T.fix_payload(F.lit(" "), F.lit(" x\n"), "en", "es").alias("f"),
+        prompts.extraction(F.lit("o"), F.lit("t"), F.lit(""), F.array(F.lit("Ana"))).alias("e"), prompts.extraction(F.lit("o"), F.lit("t"), F.lit("n"), F.array().cast("array<string>")).alias("b"),
+    ).first()
+    assert "- a: 1\n- b: 2" in r.p and "Characters:\nnone" in r.p and "this is the beginning" in r.p and f"<original>\n{L.EMPTY}\n" in r.f
+    assert "Candidates to confirm or reject:\n- Ana" in r.e and f"Notes: {L.NO_NOTES}" in r.e and "Candidates" not in r.b and "Notes: n" in r.b
 
 
 def test_memory_json(spark):
-    m = M.Memory("v", [("d", "d")], {"a": "1"}, {"Ana": "x"}, "s")
-    assert M.Memory.of_json(m.to_json()).to_json() == m.to_json() and M.Memory.of_json("{bad") is None and M.Memory.of_json(None) is None and M.Memory.of_json("[1]") is None
-    rows = spark.createDataFrame([(1, m.to_json()), (2, "{bad"), (3, None), (4, '{"voice": "w"}'), (5, "[1]")], "id int, raw string")
+    whole = json.dumps({"voice": "v", "decisions": ["d"], "glossary": {"a": "1"}, "characters": {"Ana": "x"}, "last_scene": "s"})
+    rows = spark.createDataFrame([(1, whole), (2, "{bad"), (3, None), (4, '{"voice": "w"}'), (5, "[1]")], "id int, raw string")
     got = {r.id: r.m for r in rows.select("id", M.of_json(F.col("raw")).alias("m")).collect()}
     assert got[1].characters == {"Ana": "x"} and got[2] is None and got[3] is None and got[5] is None and got[4].decisions == [] and got[4].voice == "w"
-    versions = spark.createDataFrame([(1, m.to_json(), 3), (2, m.to_json(), 1), (2, "{bad", 2)], "book_id int, memory string, version int")
+    versions = spark.createDataFrame([(1, whole, 3), (2, whole, 1), (2, "{bad", 2)], "book_id int, memory string, version int")
     out = {(r.book_id, r.version) for r in M.based(versions, spark.createDataFrame([(1,), (2,), (7,)], "book_id int")).collect()}
     assert out == {(1, 3), (2, 1), (2, 2), (2, 3), (7, 1)}
 
 
-def test_router():
-    now, calls = [0.0], []
+def test_patterns_of_a_genre(spark):
+    df = spark.createDataFrame([(1, "ESCENA 1\nA.\nActo 2\nB.")], "id int, text string")
+    own = {"chapter": [r"(?i)^acto\s+\d+"], "scene": [r"^ESCENA"], "pov": []}
+    assert [r.boundary_type for r in segment.segments(df, "id", patterns=own).orderBy("seg_no").collect()] == ["scene", "chapter"]
 
-    def flaky(text, prompt):
-        calls.append("a")
-        raise RuntimeError("rate")
 
-    def fine(text, prompt):
-        return '{"translation": "t", "confidence": 1}'
+def test_memory_stream_equals_the_batch(spark, tmp_path):
+    """Two micro-batches, the second by a query that goes on from the checkpoint, begun from memories of before."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "book_id long, chunk_index int, notes string, force boolean, update string"
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    first = {"voice": "before", "decisions": ["Mantener el tono"], "glossary": {"z": "0"}, "characters": {"Zoe": L.GENERIC, "Eva": "x"}, "last_scene": "old"}
+    memories = spark.createDataFrame([(3, json.dumps(first), 7)], "book_id long, memory string, version int")
+    said = [
+        (1, 0, "", False, {"glossary": {"a": "1"}, "characters": {"Ana": "x", "Bea": "y"}, "decisions": ["Mantener el tono"]}), (1, 1, "", False, {"voice": "never"}), (2, 0, "", False, None),
+        (3, 0, "", False, {"characters": {"Zoe": "rich"}, "decisions": ["Mantener el tono."], "rejected": ["Eva"]}),
+        (1, 2, "un nuevo nombre", None, {"rejected": ["Bea"], "glossary": {"a": "2", "b": "3"}, "last_scene": "s"}), (2, 1, "", True, "{bad"), (3, 1, "", True, {"glossary": {"z": "9", "y": "1"}}),
+    ]
+    rows = [(*r[:4], r[4] if r[4] is None or isinstance(r[4], str) else json.dumps(r[4])) for r in said]
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = S.memory_stream(spark.readStream.schema(schema).parquet(folder), memories)
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    got = {(r.book_id, r.chunk_index): r for r in spark.read.parquet(out).collect()}
+    assert [got[1, i].version for i in range(3)] == [1, 2, 3] and [got[1, i].extracted for i in range(3)] == [True, False, True] and got[2, 1].extracted and got[3, 1].version == 9
+    assert (got[3, 1].voice, got[3, 1].characters, got[3, 1].glossary, got[3, 1].decisions, got[3, 1].last_scene) == ("before", {"Zoe": "rich"}, {"z": "0", "y": "1"}, ["Mantener el tono"], "old")
+    # the same updates in one batch
+    taken = [(k, i, u) for k, i, _, _, u in rows if got[k, i].extracted or u is None]
+    taken += [(3, -1, json.dumps(first))] + [(k, i, None) for k, i, _, _, u in rows if not got[k, i].extracted and u is not None]
+    df = spark.createDataFrame(taken, "book_id long, chunk_index int, update string").select("book_id", "chunk_index", reply.update(F.col("update")).alias("u")).select("book_id", "chunk_index", "u.*")
+    for r in M.fold(kept(df), "book_id", "chunk_index").where("chunk_index >= 0").collect():
+        g = got[r.book_id, r.chunk_index]
+        assert (r.voice, r.glossary, r.characters, r.decisions, r.last_scene) == (g.voice, g.glossary, g.characters, g.decisions, g.last_scene), r
+
+
+def test_resume_takes_each_file_once(spark, tmp_path):
+    folder, target, check = (str(tmp_path / x) for x in ("in", "taken", "check"))
+    spark.range(5).write.parquet(folder)
+    for _ in range(2):
+        S.resume(spark, folder, "id long", target, check)
+        assert spark.read.parquet(target).count() == 5
+
+
+def test_intake_survives_a_crash_and_renamed_copies(spark, tmp_path):
+    folder, target, check = tmp_path / "in", str(tmp_path / "taken"), str(tmp_path / "check")
+    folder.mkdir()
+    stream = lambda: spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(folder)).select("path", "content")
+    (folder / "a.txt").write_text("one")
+    (folder / "b.txt").write_text("two")
+    (folder / "b again.txt").write_text("two")
+
+    def dies(rows, batch_id, *rest):
+        S.take_batch(rows, batch_id, *rest)
+        raise RuntimeError("killed after the write")
+
+    with pytest.raises(Exception, match="killed"):
+        S.intake(stream(), target, check, write=dies)
+    assert spark.read.parquet(target).count() == 2  # written, but not committed
+    S.intake(stream(), target, check)
+    (folder / "a renamed.txt").write_text("one")
+    (folder / "c.txt").write_text("three")
+    S.intake(stream(), target, check)
+    S.intake(stream(), target, check)
+    rows = spark.read.parquet(target).collect()
+    assert sorted(bytes(r.content) for r in rows) == [b"one", b"three", b"two"]
+
 
-    router = R.Router([R.Model("b", fine, 2, 3), R.Model("a", flaky, 1)], clock=lambda: now[0])
-    assert router.available() == ["a", "b"] and router.call("one two", "p")["model"] == "b" and router.available() == []  # a cools down, b is over its limit
-    assert router.usage[0][1] >= 3 and calls == ["a"]
-    with pytest.raises(R.UsedUp):
-        router.call("x", "")
-    now[0] = 300.0
-    assert router.available() == ["a"]
-    with pytest.raises(ValueError):
-        R.Router([])
-    with pytest.raises(ValueError):
-        R.Router([R.Model("c", lambda t, p: (_ for _ in ()).throw(ValueError("content")), 0), R.Model("b", fine)]).call("x", "")
-    made = R.models_of([{"name": "a", "api_key": "k", "priority": 1}, {"name": "b"}, {"name": "z", "api_key": "k"}], {"a": lambda c: fine, "b": lambda c: fine})
-    assert [m.name for m in made] == ["a"]
-    with pytest.raises(RuntimeError):
-        R.models_of([], {})
+@pytest.fixture
+def parrot():
+    """Answers with its prompt in the notes; null for a text that is at fault."""
 
+    def call(payload, prompt):
+        answer = F.to_json(F.struct(payload.alias("translation"), F.when(F.contains(payload, F.lit("unsure")), 0.5).otherwise(0.9).alias("confidence"), F.concat(F.lit("seen: "), prompt).alias("notes")))
+        return F.when(~F.contains(payload, F.lit("boom")), answer)
 
-def test_gate_counts_failures_as_quiet():
-    said = iter(["x", RuntimeError("no"), '{"voice": "v"}'])
+    return call
 
-    def ask(text, prompt):
-        x = next(said)
-        if isinstance(x, Exception):
-            raise x
-        return x
 
-    e = R.Extractor(ask, every=3)
-    got = [e.extract(i, "o", "t", "", [], False) for i in range(6)]
-    # the first chunk, then the third quiet one fails, so the next is tried at once
-    assert [g is not None for g in got] == [True, False, False, False, True, False] and got[4]["voice"] == "v"
+def test_run_in_waves(spark, tmp_path, parrot):
+    texts = ["Entonces Diego dijo que no. Diego miró.", "Diego unsure.", "boom", "El resto de Diego."]
+    rows = [(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "Algo."), (2, 1, "Nada.")]
+    chunks = spark.createDataFrame(rows, "book_id long, book_index int, original string").withColumn("source_section", F.lit(0))
+    log = str(tmp_path / "log")
+    out = {(r.book_id, r.book_index): r for r in pipeline.run(chunks, parrot, log, wave=1).collect()}
+    assert {k: r.status for k, r in out.items()} == {(1, 0): "done", (1, 1): "flagged", (1, 2): "flagged", (1, 3): "done", (2, 0): "done", (2, 1): "done"}
+    # what the first chunk has left is in the prompt of the second, and only what its text names
+    assert f"Diego: {L.GENERIC}" in out[1, 1].notes and "Diego" not in out[2, 1].notes and "Last scene: Algo." in out[2, 1].notes and out[1, 2].translated is None
 
+    def never(payload, prompt):
+        raise AssertionError("nothing is pending")
 
-@pytest.fixture
-def parrot():
-    """Answers with the prompt in its notes; extraction replies are JSON updates. Made here, as tasks can't import a test module."""
-
-    def call(text, prompt):
-        if prompt == "":
-            return json.dumps({"voice": "rich voice", "characters": {"Diego": "the captain"}, "rejected": ["Tempest"], "last_scene": "scene"})
-        if "boom" in text:
-            raise ValueError("content")
-        if "stop" in text:
-            raise RuntimeError("no network")
-        return json.dumps({"translation": text, "confidence": 0.5 if "unsure" in text else 0.9, "notes": "seen prompt: " + prompt})
-
-    return lambda: [R.Model("parrot", call)]
-
-
-def test_run_with_memory(spark, parrot):
-    texts = ["Entonces Diego dijo que no. Gritó Tempest. Tempest miró.", "Diego unsure.", "boom", "El resto de Diego."]
-    rows = [(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "Algo."), (2, 1, "stop"), (2, 2, "Nada."), (None, 0, "Uno.")]
-    chunks = spark.createDataFrame(rows, "book_id long, book_index int, original string")
-    out = {(r.book_id, r.book_index): r for r in R.run(chunks, R.Settings(parrot)).collect()}
-    assert len(out) == len(rows) and out[1, 0].status == "done" and out[1, 1].status == "flagged" and out[1, 1].translated == "Diego unsure."
-    assert out[1, 2].status == "flagged" and out[1, 2].flags == ["error: ValueError: content"] and out[1, 2].version == out[1, 1].version == 3
-    m = json.loads(out[1, 0].memory)
-    assert m["characters"] == {"Diego": "the captain"} and m["voice"] == "rich voice" and m["last_scene"] == "scene"
-    # the memory of the first chunk is in the prompt of the second, and only what its text names
-    assert "Diego: the captain" in out[1, 1].notes and "Voice: rich voice" in out[1, 1].notes and "Diego" not in out[2, 0].notes
-    assert [out[2, i].status for i in range(3)] == ["done", "pending", "pending"] and out[None, 0].version == 2
-    # going on from the versions written, without what is done
-    done = [r for r in out.values() if r.book_id == 2]
-    held = spark.createDataFrame([(r.book_id, r.memory, r.version) for r in done if r.version], "book_id long, memory string, version int")
-    rest = spark.createDataFrame([(2, 2, "Nada.")], "book_id long, book_index int, original string")
-    r = R.run(rest, R.Settings(parrot, extractor=None), held).first()
-    assert (r.version, json.loads(r.memory)["voice"], r.extracted) == (3, "rich voice", False)
-    broken = spark.createDataFrame([(2, "{bad", 7)], "book_id long, memory string, version int")
-    assert R.run(rest, R.Settings(parrot, extractor=None), broken).first().version == 9  # the base memory is version 8
+    assert pipeline.run(chunks, never, log, wave=1).count() == 6
+    counts = {r.book_id: r for r in pipeline.summary(spark.read.parquet(f"{log}/chunks"), pipeline.logged(spark, log)).collect()}
+    assert (counts[1].done, counts[1].flagged, counts[1].resumed) == (2, 2, True)
+    assert pipeline.finished(spark.read.parquet(f"{log}/chunks").where("book_id = 1")).first().text.count(L.REVIEW_MARKER) == 1
 
 
 def test_fix_and_polish(spark, parrot):
     source = spark.createDataFrame([(1, 0, "One two three."), (1, 1, "Four five six seven.")], "book_id long, book_index int, original string")
     drafts = spark.createDataFrame([(1, ["Uno dos tres.", "Cuatro cinco seis siete."])], "book_id long, sections array<string>")
-    pairs = R.fix_chunks(source, drafts).orderBy("book_index")
+    pairs = assemble.fix_chunks(source, drafts).orderBy("book_index")
     assert [(r.original, r.source) for r in pairs.collect()] == [("Uno dos tres.", "One two three."), ("Cuatro cinco seis siete.", "Four five six seven.")]
-    out = R.run(pairs, R.Settings(parrot, task="fix", extractor=None)).orderBy("book_index").collect()
-    assert out[0].translated == prompts.fix_payload("One two three.", "Uno dos tres.", "en", "es").strip() and "against the en original" in out[0].notes
-    out = R.run(source, R.Settings(parrot, task="polish", extractor=None, compress=lambda m, t: {"voice": "mine", "decisions": [], "glossary": {}, "characters": {}, "last_scene": ""})).orderBy("book_index").collect()
-    assert out[1].translated.startswith("TRADUCCIÓN EXISTENTE (es)") and "Voice: mine" in out[1].notes
-
-
-def test_local_update():
-    m = M.Memory()
-    assert R.local_update(m, "yo me fui con mi casa", "", ["Ana"])["voice"].startswith("narrador en primera")
-    m.voice = "rich"
-    assert R.local_update(m, "yo me fui con mi casa", "", [])["voice"] is None
-    assert R.has_news(["Ana"], {}) and R.has_news(["Ana"], {"Ana": L.GENERIC}) and not R.has_news(["Ana"], {"Ana": "x"}) and not R.has_news([], {})
-
-
-def test_patterns_of_a_genre(spark):
-    df = spark.createDataFrame([(1, "ESCENA 1\nA.\nActo 2\nB.")], "id int, text string")
-    own = {"chapter": [r"(?i)^acto\s+\d+"], "scene": [r"^ESCENA"], "pov": []}
-    assert [r.boundary_type for r in segment.segments(df, "id", patterns=own).orderBy("seg_no").collect()] == ["scene", "chapter"]
-
-
-def test_streams(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = "book_id long, chunk_index int, notes string, force boolean, update string"
-    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
-    batches = [
-        [(1, 0, "", False, '{"glossary": {"a": "1"}, "characters": {"Ana": "x", "Bea": "y"}, "decisions": ["Mantener el tono"]}'), (1, 1, "", False, '{"voice": "never"}'), (2, 0, "", False, None)],
-        [(1, 2, "un nuevo nombre", None, '{"rejected": ["Bea"], "glossary": {"a": "2", "b": "3"}}'), (2, 1, "", True, "{bad")],
-    ]
-    for rows in batches:  # the second query is a new one that goes on from the checkpoint
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-        q = memory_stream(spark.readStream.schema(schema).parquet(folder)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
-        q.awaitTermination()
-    got = {(r.book_id, r.chunk_index): r for r in spark.read.parquet(out).collect()}
-    assert len(got) == 5 and [got[1, i].version for i in range(3)] == [1, 2, 3] and [got[1, i].extracted for i in range(3)] == [True, False, True]
-    m = json.loads(got[1, 2].memory)
-    assert m["glossary"] == {"a": "1", "b": "3"} and m["characters"] == {"Ana": "x"} and m["decisions"] == ["Mantener el tono"] and m["voice"] == L.DEFAULT_VOICE
-    target, check = str(tmp_path / "taken"), str(tmp_path / "check")
-    for n in (5, 5):
-        resume(spark, folder, schema, target, check)
-        assert spark.read.parquet(target).count() == n
+    base = pipeline._latest(spark, None)
+    out = pipeline.answered(pairs, base, parrot, task="fix").orderBy("book_index").collect()
+    assert "<original>\nOne two three.\n</original>" in out[0].translated and "against the en original" in out[0].notes
+    out = pipeline.answered(source, base, parrot, task="polish").orderBy("book_index").collect()
+    assert out[1].translated.startswith("TRADUCCIÓN EXISTENTE (es)")
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     book, draft = tmp_path / "book.txt", tmp_path / "draft.txt"
     book.write_text("Chapter 1\nOne two three.\nChapter 2\nFour five.")
     draft.write_text("Capítulo 1\nUno dos tres.\nCapítulo 2\nCuatro cinco.")
-    assert main(["translate", str(book), "--out", str(tmp_path / "a")]) == 0
-    assert main(["fix", str(book), "--out", str(tmp_path / "b")]) == 1  # no draft
-    assert main(["fix", str(book), "--draft", str(draft), "--out", str(tmp_path / "b")]) == 0
-    assert main(["polish", str(draft), "--out", str(tmp_path / "c")]) == 0
+    out = lambda n: ["--out", str(tmp_path / n)]
+    assert main(["translate", str(book), *out("a")]) == 0
+    assert "resumed" not in capsys.readouterr().out
+    assert main(["translate", str(book), *out("a")]) == 0
+    said = capsys.readouterr().out
+    assert "done already" in said and "resumed" in said
+    assert main(["fix", str(book), *out("b")]) == 1  # no draft
+    assert main(["fix", str(book), "--draft", str(draft), *out("b")]) == 0
+    assert main(["polish", str(draft), *out("c")]) == 0
     assert spark.read.text(str(tmp_path / "a")).count() > 0 and spark.read.text(str(tmp_path / "b")).count() > 0
