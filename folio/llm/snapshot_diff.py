@@ -108,7 +108,7 @@ def _paired(rows: DataFrame, by: list[str], order: list[str], ascending: tuple[b
     return side(0).cogroup(side(1)).applyInPandas(_merger(by, order, ascending, columns), schema)
 
 
-def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[str], descending: bool = False, bucket_rows: int = 5_000, slice_rows: int = 300) -> DataFrame:
+def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[str], descending: bool = False, bucket_rows: int = 5_000, slice_rows: int = 100) -> DataFrame:
     """(key, old_key, op, changed, row_sha256) for each pair of rows and each row without a partner.
 
     ``op``: same or update (equal keys), rekey (equal ``columns[0]``), insert, delete. ``changed``: a pair's differing
@@ -120,7 +120,8 @@ def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str, columns: list[
     carried = ["key", "no_key", *cs, "digest"]
     key_type = earlier.schema[key].dataType.simpleString()
     both = _kept(_named(earlier, key, columns, 0).unionByName(_named(later, key, columns, 1)), tables)
-    n = max(int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // bucket_rows))
+    # several buckets for each shuffle partition, which get their buckets by chance
+    n = max(4 * int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // bucket_rows))
 
     rows = _dealt(both, _group("key", "no_key"), [F.col(c) for c in cs], slice_rows, tables)
     met = _kept(_paired(rows, ["key", "no_key"], cs, (True, True), carried, n), tables)
