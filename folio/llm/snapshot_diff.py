@@ -48,14 +48,13 @@ def _group(*columns: str) -> Column:
 
 def _sliced(rows: DataFrame, order: list[Column], most: int, tables: list[DataFrame]) -> DataFrame:
     """slice: the rank of each row in its (side, group), in units of ``most``. No group is sorted in one task."""
-    rows = _kept(rows, tables)
     parts = max(2, -(-rows.count() // most))
     ranged = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "side", "group", *order, "row").withColumn("part", F.spark_partition_id())
     ranged = _kept(ranged, tables)
     sizes = ranged.groupBy("side", "group", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("side", "group").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
     rank = F.row_number().over(W.partitionBy("side", "group", "part").orderBy(*order, "row")) - 1
-    out = ranged.withColumn("rank", rank).join(sizes.select("side", "group", "part", before.alias("before")), ["side", "group", "part"])
+    out = ranged.withColumn("rank", rank).join(sizes.select("side", "group", "part", before.alias("before")).hint("merge"), ["side", "group", "part"])
     return out.withColumn("slice", F.floor((F.col("rank") + F.col("before")) / most).cast("long")).drop("part", "rank", "before", "row")
 
 
@@ -68,12 +67,12 @@ def _dealt(rows: DataFrame, group: Column, order: list[Column], most: int, table
     """rows with group and slice; a group of one side and slice has at most ``most`` rows."""
     rows = rows.withColumn("group", group)
     large = _kept(rows.groupBy("side", "group").count().where(F.col("count") > most).select("group").distinct(), tables)
-    plain = rows.withColumn("slice", F.lit(0).cast("long"))
     if large.isEmpty():
-        return plain
-    # both joins deal rows by group; a large one is split by the adaptive skew join, as neither needs its rows together
-    hot = _sliced(rows.join(large.hint("merge"), "group", "left_semi"), order, most, tables)
-    return plain.join(large.hint("merge"), "group", "left_anti").unionByName(hot)
+        return rows.withColumn("slice", F.lit(0).cast("long"))
+    # one join deals rows by group; a large one is split by the adaptive skew join, which needs none of its rows together
+    told = _kept(rows.join(large.withColumn("large", F.lit(True)).hint("merge"), "group", "left"), tables)
+    hot = _sliced(told.where("large").drop("large"), order, most, tables)
+    return told.where("large is null").drop("large").withColumn("slice", F.lit(0).cast("long")).unionByName(hot)
 
 
 def _merger(by: list[str], order: list[str], ascending: tuple[bool, bool], columns: list[str]):
