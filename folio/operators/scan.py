@@ -34,14 +34,16 @@ def sum_before(rows: DataFrame, keys: list[str], order: str, value: Column, name
     return out.drop("_slice", "_value", "_own", "_before", *[f"{c}_" for c in (*keys, "_slice")])
 
 
-def states_before(rows: DataFrame, keys: list[str], order: str, step: Column, states: int, name: str, start: int = 0, size: int = 1 << 10) -> DataFrame:
+def states_before(rows: DataFrame, keys: list[str], order: str, step: Column, states: int, name: str, start: int = 0, size: int = 1 << 8) -> DataFrame:
     """rows with the state of a small automaton before each of them.
 
     ``step``: a row's transitions, an array with the next state for each of the ``states``. Transitions compose
     associatively: a slice's rows become one array, the slices of a group give the state at each slice's begin,
-    and each slice is gone through again from there. Equal orders are taken in the order of their transitions.
+    and each slice is gone through again from there. Slices are cut by rank, so however far apart the orders of a
+    group's rows are, they hold ``size`` rows each. Orders of a group differ.
     """
-    rows = rows.withColumns({"_slice": _slice(order, size), "_step": F.transform(step, lambda s: s.cast("int"))})
+    rows = sum_before(rows.withColumn("_step", F.transform(step, lambda s: s.cast("int"))), keys, order, F.lit(1), "_rank")
+    rows = rows.withColumn("_slice", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
     steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_step").alias("step"))))
     slices = rows.groupBy(*keys, "_slice").agg(steps.alias("steps"))
     none = F.array(*[F.lit(k) for k in range(states)])
