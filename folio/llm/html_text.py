@@ -2,21 +2,25 @@
 
 The standard library's parser streams a page's events. A line is the text between
 two block boundaries; it knows its number of characters and tags and the element
-it stands in. The lines' ratios of characters to tags are smoothed by a Gaussian
-over the neighbours, and a threshold between the means of two clusters of their
-logarithms parts content lines from the others.
-
-What the clusters decide: elements of a page's frame (by name or role) go with their
-lines; one that looks like it by the words of class and id, or is a form, goes unless
-it holds most of the page's content. So neither a page within a form nor an article
-whose class happens to be such a word is lost. Of the lines left, ratios are clustered again: all lines of
-the smallest element around the content, and of each outermost article or main
-element that holds some, are the region. Of the lines outside only lists of links
-are dropped: lines that are links for the most part, in an element with nothing
-else. So headings and sections of short paragraphs are not lost.
-
-Elements are numbered and known by their parent, so work and memory grow with the
-page, however deep it is.
+it stands in. Frames by tag or role (nav, footer, ...) and what is never rendered
+are left out. A line's ratio is its characters outside links for each tag; the ratios
+of a region, the lines of one parent, are smoothed by a Gaussian over neighbours, and
+a threshold between the means of two clusters of their logarithms parts content lines
+from the others. Where a line stands counts as markup: its tags weigh eight times in
+an element whose class or id is made of words of frames or that is a form, and
+again outside of the page's article and main elements, if it has such.
+
+The clusters choose the text. An element that looks like a frame, or is a form, goes
+unless its lines are content for at least half of their characters and, on a page without
+article and main elements, hold more than half of the content text. From the page down,
+the element that holds more than half of the content text is entered as long as there is
+one: all of that core is kept, so headings, lists and short paragraphs in it are not
+lost. Containers beside the way to the core are regions of their own and are kept if at
+least half of their text is content. Paragraphs and headings directly on the way are
+kept, unless they are links for the most part. A section is a part of what is around it.
+
+Elements are numbered and known by their parent, and open elements by name, so work and
+memory grow with the page, however deep it is and whatever end tags stray.
 
 Defined results: null and empty pages give an empty text; unclosed and stray tags
 are borne as browsers do, unknown declarations are comments; rows map one to one.
@@ -25,7 +29,7 @@ are borne as browsers do, unknown declarations are comments; rows map one to one
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -48,7 +52,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs"
     " footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login"
-    " share sharing social comment comments reply replies disqus related recommended widget toolbar pagination pager copyright disclaimer".split()
+    " share sharing social comment comments discussion reply replies disqus related recommended teaser teasers rail widget toolbar pagination pager copyright disclaimer".split()
 )
 #: Words of a class beside a hint that say nothing about what the element holds.
 NEUTRAL = frozenset("area bar block body box button buttons bottom col column container content form group head icon icons inner item items left link links list main outer page panel post row right section site slot text title top unit wrap wrapper".split())
@@ -57,6 +61,10 @@ OWN = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes: the element of that name nearest above, within the named bounds.
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt", {"dl"}), "dd": ("dd", {"dl"}), "tr": ("tr", {"table"}), "td": ("td", {"tr", "table"}), "th": ("th", {"tr", "table"}), "option": ("option", {"select"})}
+#: Elements that are parts of a text and no regions of their own.
+PARTS = HEADINGS | frozenset("p section ul ol li dl dt dd table tbody thead tfoot tr caption blockquote pre figure figcaption address hgroup details summary hr".split())
+#: How many times a line's tags weigh where it stands in what looks like a frame, and outside of article and main elements.
+WEIGHT = 8
 #: Opening one of these closes an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _P_BOUNDS = frozenset("button td th caption table html body article section div main li blockquote".split())
@@ -66,7 +74,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 def _hinted(name: str) -> bool:
     """Whether one class or id is made of words of a page's frame and neutral ones: "cookie-banner", "page-footer", but not "share-story"."""
-    words = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()) if w and not w.isdigit()]
+    words = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()) if w.isalpha()]
     return not HINTS.isdisjoint(words) and all(w in HINTS or w in NEUTRAL for w in words)
 
 
@@ -86,7 +94,8 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int]] = []  # name and number of each open element
+        self.stack: list[tuple[str, int, int]] = []  # name, number and block of each open element
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of a name
         self.out_from = None  # depth of the element that is never rendered
         self.name, self.parent, self.framed, self.link = [""], [0], [0], [False]
         self.lines: list[tuple[list[tuple[int, str]], int, int]] = []
@@ -103,27 +112,31 @@ class Lines(HTMLParser):
         """``<![...`` is no part of HTML: a comment up to the next ``>``."""
         return self.parse_bogus_comment(i)
 
+    def _last(self, name: str) -> int:
+        """Depth of the innermost open element of a name, or -1."""
+        depths = self.open.get(name)
+        return depths[-1] if depths else -1
+
     def _pop(self, depth: int) -> None:
-        if any(name not in INLINE for name, _ in self.stack[depth:]):
+        if any(name not in INLINE for name, _, _ in self.stack[depth:]):
             self._flush()
+        for name, _, _ in self.stack[depth:]:
+            self.open[name].pop()
         del self.stack[depth:]
         if self.out_from is not None and depth <= self.out_from:
             self.out_from = None
 
     def _close(self, name: str, bounds) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
-                return self._pop(k)
-            if self.stack[k][0] in bounds:
-                return None
-        return None
+        depth = self._last(name)
+        if depth >= 0 and all(self._last(b) < depth for b in bounds):
+            self._pop(depth)
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
             self._close("p", _P_BOUNDS)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        if tag == "body" and self.out_from is not None and any(n == "head" for n, _ in self.stack):
+        if tag == "body" and self.out_from is not None and self._last("head") >= 0:
             self._close("head", ())
         if tag not in INLINE:
             self._flush()
@@ -137,7 +150,9 @@ class Lines(HTMLParser):
             self.link.append(tag == "a" and any(n == "href" for n, _ in attrs))
             if tag in NEVER or any(n == "hidden" or n == "aria-hidden" and v == "true" for n, v in attrs):
                 self.out_from = len(self.stack)
-        self.stack.append((tag, len(self.parent) - 1))
+        number = len(self.parent) - 1
+        self.open[tag].append(len(self.stack))
+        self.stack.append((tag, number, number if tag not in INLINE else self.stack[-1][2] if self.stack else 0))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -146,17 +161,16 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += self.out_from is None
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                return self._pop(k)
-        if tag not in INLINE:
+        depth = self._last(tag)
+        if depth >= 0:
+            self._pop(depth)
+        elif tag not in INLINE:
             self._flush()
-        return None
 
     def handle_data(self, data):
         if self.out_from is None:
             if not self.pieces:
-                self.block = next((n for name, n in reversed(self.stack) if name not in INLINE), 0)
+                self.block = self.stack[-1][2] if self.stack else 0
             self.pieces.append((self.stack[-1][1] if self.stack else 0, data))
 
     def close(self):
@@ -176,57 +190,46 @@ class Lines(HTMLParser):
         return own
 
 
-def ratios(chars: list[int], tags: list[int], sigma: float = 1.0) -> np.ndarray:
-    """Characters for each tag of a line, smoothed over neighbouring lines."""
-    raw = np.array(chars, float) / np.maximum(1, tags)
+def smooth(raw: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Gaussian means over neighbouring lines."""
+    if len(raw) == 1:
+        return raw
     reach = int(3 * sigma)
     weight = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     inside = np.convolve(np.ones(len(raw)), weight, "full")[reach : reach + len(raw)]
     return np.convolve(raw, weight, "full")[reach : reach + len(raw)] / inside
 
 
-def dense(chars: list[int], tags: list[int]) -> np.ndarray:
-    """The lines of the upper of two clusters: the threshold lies halfway between the clusters' means of the logarithms; all lines if they don't differ."""
-    value = np.log1p(ratios(chars, tags))
-    cut = value.mean()
+def dense(ratios, sizes) -> np.ndarray:
+    """The lines of the upper of two clusters, by smoothed ratios and sizes.
+
+    The threshold lies halfway between the clusters' means of the logarithms, lines weighed by their sizes; the search starts in the middle of the range, so a few lines far off are a cluster however many the others are. All lines, if the means are less than a factor of 2 apart.
+    """
+    value, size = np.log1p(np.asarray(ratios, float)), np.maximum(1.0, np.asarray(sizes, float))
+    cut, apart = (value.min() + value.max()) / 2, 0.0
     for _ in range(32):
         high = value >= cut
-        if high.all():
+        if high.all() or not high.any():
             break
-        new = (value[high].mean() + value[~high].mean()) / 2
+        upper, lower = np.average(value[high], weights=size[high]), np.average(value[~high], weights=size[~high])
+        new, apart = (upper + lower) / 2, upper - lower
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return value >= cut
+    return value >= cut if apart >= np.log(2) else np.ones(len(value), bool)
 
 
 def _one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def _without_frames(page: Lines, clusters) -> list[tuple[str, int, int, int]]:
-    """(text, tags, block element, characters in links) of the lines without frames that don't hold most of the content."""
-    weight = [0] * len(page.parent)
-    sizes = [len(_one_line("".join(t for _, t in pieces))) for pieces, _, _ in page.lines]
-    for (pieces, _, _), content in zip(page.lines, clusters(sizes, [tags for _, tags, _ in page.lines])):
-        if content:
-            for k, t in pieces:
-                weight[k] += len(t)
-    weight = page.up(weight)
-    # what only looks like a frame stays if it holds most of the content, and no article or main element stands elsewhere
-    named = [name in ("article", "main") for name in page.name]
-    article, text = page.down(list(named)), [0] * len(page.parent)
-    for pieces, _, _ in page.lines:
-        for k, _ in pieces:
-            text[k] += 1
-    stands = [int(n and t > 0) for n, t in zip(named, page.up(text))]
-    apart = sum(stands)
-    stands = page.up(stands)
-    gone = [framed == 2 or framed == 1 and (2 * w <= weight[0] or not article[k] and n < apart) for k, (framed, w, n) in enumerate(zip(page.framed, weight, stands))]
-    # headings of an article's own header stay
-    own = [name == "header" and article[k] for k, name in enumerate(page.name)]
-    always, heading = page.down([g and not o for g, o in zip(gone, own)]), page.down([name in HEADINGS for name in page.name])
-    out = page.down(gone)
+def _rendered(page: Lines) -> list[tuple[str, int, int, int]]:
+    """(text, tags, block element, characters in links) of the lines outside of frames by tag or role; headings of an article's own header stay."""
+    article = page.down([name in ("article", "main") for name in page.name])
+    gone = [framed == 2 for framed in page.framed]
+    out = page.down(list(gone))
+    always = page.down([g and not (name == "header" and a) for g, name, a in zip(gone, page.name, article)])
+    heading = page.down([name in HEADINGS for name in page.name])
     linked, left = list(page.link), []
     for k in range(1, len(linked)):
         linked[k] = linked[k] or page.name[k] in INLINE and linked[page.parent[k]]
@@ -237,33 +240,77 @@ def _without_frames(page: Lines, clusters) -> list[tuple[str, int, int, int]]:
     return left
 
 
+def _ratios(page: Lines, lines: list[tuple[str, int, int, int]], looks: list[bool]) -> np.ndarray:
+    """Smoothed ratios of the lines, region by region."""
+    inside = page.down([name in ("article", "main") for name in page.name])
+    weighs, apart = page.down(list(looks)), any(inside[b] for _, _, b, _ in lines)
+    own = Counter(b for _, _, b, _ in lines)
+    raw, regions = np.empty(len(lines)), defaultdict(list)
+    for k, (text, tags, b, linked) in enumerate(lines):
+        raw[k] = max(0, len(text) - linked) / (max(1, tags) * (WEIGHT if weighs[b] else 1) * (WEIGHT if apart and not inside[b] else 1))
+        # what looks like a frame is smoothed by itself
+        regions[b if own[b] > 1 or looks[b] else page.parent[b]].append(k)
+    for at in regions.values():
+        raw[at] = smooth(raw[at])
+    return raw
+
+
+def _sums(page: Lines, lines, values) -> list[int]:
+    out = [0] * len(page.parent)
+    for (_, _, b, _), v in zip(lines, values):
+        out[b] += v
+    return page.up(out)
+
+
+def _core(page: Lines, dense_text: list[int], n_lines: list[int], own: Counter) -> int:
+    """The innermost element on the way down that holds more than half of the content's text; neither a part of a text nor a line by itself."""
+    heaviest: dict[int, int] = {}
+    for k in range(1, len(page.parent)):
+        up = page.parent[k]
+        if up not in heaviest or dense_text[k] > dense_text[heaviest[up]]:
+            heaviest[up] = k
+    core = 0
+    while (k := heaviest.get(core)) is not None and 2 * dense_text[k] > dense_text[0] and page.name[k] not in PARTS and (n_lines[k] > 1 or not own[k] or page.name[k] in OWN):
+        core = k
+    return core
+
+
 def extract(html: str, clusters=dense) -> str:
-    """The main text. clusters: which lines are content, by their characters and tags."""
+    """The main text. clusters: which lines are content, by their smoothed ratios and sizes."""
     page = Lines()
     page.feed(html)
     page.close()
-    lines = _without_frames(page, clusters) if page.lines else []
+    lines = _rendered(page)
     if not lines:
         return ""
-    content = clusters([len(t) for t, _, _, _ in lines], [tags for _, tags, _, _ in lines])
-    blocks = [b for (_, _, b, _), c in zip(lines, content) if c]
-    # the smallest element around all content; one line's neighbours in the same element belong to it
-    count = [0] * len(page.parent)
-    for b in blocks:
-        count[b] += 1
-    around = max(k for k, n in enumerate(page.up(count)) if n == len(blocks))
-    if len(blocks) == 1:
-        around = page.parent[around]
-    outer = [name in ("article", "main") and n > 0 for name, n in zip(page.name, count)]
-    inside = page.down([k == around or o for k, o in enumerate(outer)])
-    links = [2 * linked > len(t) for t, _, _, linked in lines]
-    texts, own = [0] * len(page.parent), Counter(b for _, _, b, _ in lines)
-    for (_, _, b, _), link in zip(lines, links):
-        texts[b] += not link
-    texts = page.up(texts)
-    # the element around a line and its neighbours: its own if that has several lines, else the one around it
-    near = [b if own[b] > 1 else page.parent[b] for _, _, b, _ in lines]
-    return " ".join(t for (t, _, b, _), n, link in zip(lines, near, links) if inside[b] or not link or texts[n])
+    looks = [framed == 1 for framed in page.framed]
+    sizes = [len(t) for t, _, _, _ in lines]
+    content = [bool(c) for c in clusters(_ratios(page, lines, looks), sizes)]
+    # what looks like a frame goes unless its text is content, and, with no article or main element to tell, most of the page's content
+    apart = any(name in ("article", "main") and n for name, n in zip(page.name, _sums(page, lines, sizes)))
+    text, dense_text = _sums(page, lines, sizes), _sums(page, lines, [n * c for n, c in zip(sizes, content)])
+    gone = page.down([f and (2 * d < n or not apart and 2 * d <= dense_text[0]) for f, d, n in zip(looks, dense_text, text)])
+    left = [(line, n, c) for line, n, c in zip(lines, sizes, content) if not gone[line[2]]]
+    lines = [line for line, _, _ in left]
+    text, dense_text = _sums(page, lines, [n for _, n, _ in left]), _sums(page, lines, [n * c for _, n, c in left])
+    own = Counter(b for _, _, b, _ in lines)
+    core = _core(page, dense_text, _sums(page, lines, [1] * len(lines)), own)
+    # the way from the page to the core: its own lines and parts stay, other elements beside it vote
+    way, k = {0}, core
+    while k:
+        way.add(k)
+        k = page.parent[k]
+    keeps, beside = [True] * len(page.parent), [False] * len(page.parent)
+    for k in range(1, len(page.parent)):
+        up = page.parent[k]
+        if k in way or up == core or up not in way and not beside[up]:
+            keeps[k] = keeps[up]
+        elif page.name[k] in PARTS or page.name[k] in INLINE:
+            keeps[k], beside[k] = keeps[up], up in way or beside[up]
+        else:
+            keeps[k] = keeps[up] and 2 * dense_text[k] >= text[k]
+    inside = page.down([k == core for k in range(len(page.parent))])
+    return " ".join(t for t, _, b, linked in lines if inside[b] or keeps[b] and 2 * linked <= len(t))
 
 
 def extract_all(pages: pa.Array) -> pa.Array:

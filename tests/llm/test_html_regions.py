@@ -53,3 +53,48 @@ def test_whole_articles_of_the_given_pages():
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
         if page and (m := re.search(r"(?s)<article>(.*?)</article>", page)):
             assert extract(page) == " ".join(html.unescape(re.sub(r"</?(?:p|br|h1)[^>]*>", " ", m[1]).replace("<b>", "").replace("</b>", "")).split())
+
+
+SHORT = "A line of a few words"
+BESIDE = {
+    "advert": f"<div>{SHORT}</div>",
+    "discussion": f"<div id='discussion'><p>{SHORT}</p><p>I agree</p></div>",
+    "rail": f"<div class='rail'><a href='/x'>Teaser</a> {SHORT}</div>",
+    "slot": f"<div class='ad-slot-42x'>{SHORT}</div>",
+}
+
+
+@pytest.mark.parametrize("name", BESIDE)
+@pytest.mark.parametrize("frame", ["main", "article", "div", "div><div"])
+def test_short_regions_beside_the_text_go(name, frame):
+    text = f"<h1>Head</h1><p>{LONG}</p><p>Short.</p><ul><li>one</li><li>two</li></ul><p>{LONG}</p>"
+    close = "</div></div>" if "><" in frame else f"</{frame}>"
+    for page in (f"<body><{frame}>{text}{close}{BESIDE[name]}</body>", f"<body>{BESIDE[name]}<{frame}>{text}{close}</body>"):
+        assert extract(page) == f"Head {LONG.strip()} Short. one two {LONG.strip()}"
+
+
+def given():
+    return [page for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if page]
+
+
+def test_other_clusters_give_other_texts():
+    random, pages = np.random.default_rng(7), given()
+    texts = [extract(page) for page in pages]
+    share = lambda clusters: sum(extract(p, clusters) != t for p, t in zip(pages, texts)) / len(pages)
+    assert share(ALL) > 0.9
+    assert share(lambda ratios, sizes: ~dense(ratios, sizes)) > 0.9
+    assert share(lambda ratios, sizes: random.random(len(ratios)) < 0.5) > 0.4
+
+
+def test_without_words_of_frames(monkeypatch):
+    pages = given()
+    texts = [extract(page) for page in pages]
+    monkeypatch.setattr("folio.llm.html_text.HINTS", frozenset())
+    assert sum(extract(p) != t for p, t in zip(pages, texts)) <= len(pages) / 10
+
+
+@pytest.mark.parametrize("page", ["<div></b>" * 20_000 + "</i>" * 20_000 + "x", "<b>" * 20_000 + "x<br>" * 20_000, "<p><button>" + "<b>" * 20_000 + "<hr>" * 20_000 + "x"])
+def test_stray_tags_are_linear(page):
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 4
