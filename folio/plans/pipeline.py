@@ -18,7 +18,7 @@ from folio import lexicons as L
 from folio.functions import prompts, reply
 from folio.functions import text as T
 from folio.operators import assemble, memory, mentions, pack, segment, state
-from folio.session import kept, preset
+from folio.session import kept, preset, whole
 
 Call = Callable[[Column, Column], Column]
 
@@ -100,10 +100,10 @@ def run(chunks: DataFrame, call: Call, log: str, task: str = "translate", source
     for k in range(0 if last is None else last // wave + 1):
         part = chunks.where(F.floor(F.col("book_index") / wave) == k)
         memories = _latest(spark, kept_updates)
-        if not _whole(spark, f"{log}/chunks/wave={k}"):
+        if not whole(spark, f"{log}/chunks/wave={k}"):
             answered(part, memories, call, task, source, target).write.mode("overwrite").parquet(f"{log}/chunks/wave={k}")
         done = spark.read.parquet(f"{log}/chunks/wave={k}")
-        if not _whole(spark, f"{log}/updates/wave={k}"):
+        if not whole(spark, f"{log}/updates/wave={k}"):
             updates_of(done, memories).write.mode("overwrite").parquet(f"{log}/updates/wave={k}")
         kept_updates = spark.read.parquet(f"{log}/updates")
     return spark.read.parquet(f"{log}/chunks").drop("wave") if last is not None else answered(chunks, _latest(spark, None), call, task, source, target)
@@ -112,17 +112,11 @@ def run(chunks: DataFrame, call: Call, log: str, task: str = "translate", source
 def logged(spark, log: str) -> DataFrame | None:
     """The chunks that earlier runs have left in a log, None without any."""
     waves = 0
-    while _whole(spark, f"{log}/chunks/wave={waves}"):
+    while whole(spark, f"{log}/chunks/wave={waves}"):
         waves += 1
     return kept(spark.read.parquet(f"{log}/chunks").where(F.col("wave") < waves)) if waves else None
 
 
-def _whole(spark, path: str) -> bool:
-    """Whether a wave's folder has been written to its end."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def _latest(spark, updates: DataFrame | None) -> DataFrame:
     if updates is None:
         return spark.createDataFrame([], "book_id long, voice string, decisions array<string>, glossary map<string,string>, characters map<string,string>, last_scene string")

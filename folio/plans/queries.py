@@ -7,6 +7,7 @@ book's item, conversations for a book's chunks, events for a log of model calls.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,8 +17,9 @@ from folio import lexicons as L
 from folio.functions import prompts, reply
 from folio.functions import text as T
 from folio.operators import assemble, memory, mentions, pack, routing, segment, state
+from folio.operators.snapshots import StateTable
 from folio.plans import pipeline
-from folio.session import table
+from folio.session import shared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,6 +455,47 @@ def q_latest_state(spark, sf_dir):
     return state.latest(rows, "o_custkey")
 
 
+def stored(rows: DataFrame, keys: tuple[str, ...], order: str, prune: str, batches: int = 3, parts: int = 64) -> StateTable:
+    """A state table of rows that came in batches, with a snapshot below the last batch."""
+    spark = rows.sparkSession
+    out = StateTable(spark, f"{shared(spark)}/state-{uuid4().hex}", rows.schema, keys, order, prune, parts)
+    for k in range(batches):
+        out.append(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(batches)) == k), k)
+    out.compact(batches - 2)
+    return out
+
+
+def changes(spark, sf_dir):
+    rows = table(spark, sf_dir, "client_changes").select("client_id", "seq", "op", "source", "segment", "city", "balance")
+    return stored(rows, ("client_id",), "seq", "client_id")
+
+
+CHANGES_SQL = "SELECT client_id, max(seq) AS seq, " + ", ".join(f"arg_max({c}, (seq, {c})) FILTER (seq IS NOT NULL AND {c} IS NOT NULL) AS {c}" for c in ("op", "source", "segment", "city", "balance")) + " FROM client_changes"
+
+
+@query(f"{CHANGES_SQL} GROUP BY client_id")
+def q_state_current(spark, sf_dir):
+    return changes(spark, sf_dir).current()
+
+
+@query(f"{CHANGES_SQL} WHERE client_id = 7 GROUP BY client_id")
+def q_state_lookup(spark, sf_dir):
+    return changes(spark, sf_dir).lookup(7)
+
+
+@query("SELECT sha256(text) AS file_hash, max(doc_id) AS doc_id, arg_max(source, (doc_id, source)) FILTER (source IS NOT NULL) AS source FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)) GROUP BY 1")
+def q_book_by_hash(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "doc_id", "source")
+    wanted = rows.agg(F.min_by("file_hash", "doc_id")).first()[0]  # one string
+    return stored(rows, ("file_hash",), "doc_id", "file_hash").lookup(wanted)
+
+
+@query(f"WITH {CALLS_SQL} SELECT model, day, coalesce(sum(tokens), 0)::BIGINT AS tokens_used FROM calls WHERE day = DATE '2024-01-10' GROUP BY model, day")
+def q_usage_of_day(spark, sf_dir):
+    rows = stored(calls(spark, sf_dir).withColumn("seq", F.col("event_id")), ("event_id", "day"), "seq", "day", parts=0)
+    return state.quota(rows.lookup("2024-01-10"), "model", "day", "tokens")
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_resume_pending(spark, sf_dir):
     return state.pending(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")

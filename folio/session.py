@@ -23,15 +23,27 @@ def preset(name: str) -> tuple[int, int]:
     return PRESETS.get(name, PRESETS["standard"])
 
 
+def shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder stands for it only where all runs in one JVM."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="folio-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder stands for it only where all runs in one JVM."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cuts the lineage with a reliable checkpoint."""
+    folder, context = shared(df.sparkSession), df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="folio-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has been written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
