@@ -42,5 +42,5 @@ def test_books_without_chunks_are_refused(spark, tmp_path):
 def test_last_decisions_and_emptiness(spark):
     r = spark.range(1).select(memory.recent(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda x: x.cast("string")), 3).alias("r"), memory.recent(F.array(F.lit("a")), 3).alias("s")).first()
     assert r.r == ["8", "9", "10"] and r.s == ["a"]
-    rows = spark.createDataFrame([(1, memory.BASE_JSON), (2, memory.Memory(glossary={"a": "b"}).to_json())], "id int, m string")
+    rows = spark.createDataFrame([(1, memory.BASE_JSON), (2, json.dumps(json.loads(memory.BASE_JSON) | {"glossary": {"a": "b"}}))], "id int, m string")
     assert [x.e for x in rows.select(memory.is_empty(memory.of_json(F.col("m"))).alias("e")).collect()] == [True, False]
