@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import fm_index, warc
+from folio.llm import fm_index, toxicity, warc
 from folio.llm.common import PLAIN, Words, components, sliding_argmin, strings
 from folio.llm.decontamination import find_contamination
 from folio.llm.html_text import extract, html_text
@@ -139,6 +139,26 @@ def test_toxic_counts_have_no_cap(spark):
     assert len(model.word) == 201
 
 
+def test_toxic_head_changes_no_score(spark, monkeypatch):
+    """Ratios that are joined, all or some, give what those at hand give; so do keys that many texts ask for."""
+    rng = random.Random(31)
+    texts = [(i, " ".join(rng.choice("abcdefghij") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randrange(0, 120))), int(i % 3 == 0)) for i in range(300)]
+    texts += [(900, None, 1), (901, "", 0), (902, "zz unknown words only", 0), (None, texts[0][1], None), (902, "zz again", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int").repartition(3)
+    rows = docs.where("doc_id < 200")
+    scores = lambda trained: sorted((str(r.doc_id), round(r.score, 6)) for r in score(docs, trained).collect())
+    whole = train(rows)
+    assert whole[0].bits is None and whole[0].rest.isEmpty()
+    exp = scores(whole)
+    assert len(exp) == len(texts) and len({s for _, s in exp}) > 100
+    for head in (40, 0):
+        some = train(rows, head=head)
+        assert len(some[0].word) <= head and some[0].bits is not None
+        assert scores(some) == exp
+    monkeypatch.setattr(toxicity, "_OFTEN", 20)
+    assert scores(some) == exp
+
+
 def test_warc(spark):
     long = "<p>" + "ä" * 120
     pages = [(1, "http://a/1", long), (2, "http://a/\n2", long), (3, None, None), (4, "u", "short"), (5, "v", "short"), (0, "w", long), (None, "n", "<b>x"), (6, "r", "WARC/1.1\r\n\r\n" * 20)]
