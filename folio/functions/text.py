@@ -37,7 +37,7 @@ def truncated(text: Column, most: int) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents (Latin letters), stripped."""
+    """Lower case without accents, as the compatibility decomposition gives it (all scripts below U+2000; a ligature stays one sign), stripped."""
     return F.trim(F.lower(F.translate(text, L.ACCENTED, L.PLAIN)))
 
 

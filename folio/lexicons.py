@@ -1,5 +1,7 @@
 """Word lists, patterns, limits and texts that results depend on."""
 
+import unicodedata
+
 # Line patterns of text files; two matching lines make a book of chapters.
 SECTION_MARKERS = [
     r"(?iu)^\s*(chapter|capítulo|chapitre|kapitel)\s+[\divxlc]+",
@@ -41,8 +43,21 @@ NO_CHARACTER = (
     "el la los las un una unos unas yo tu mi mis me nos nosotros nosotras ella ellas ello ellos eso esto esa ese esas esos aqui alli"
     " antes despues estaba estaban era eran fue fueron es son texto original chunk capitulo"
 ).split()
+
+
+def _unmarked() -> tuple[str, str]:
+    """Signs whose compatibility decomposition is one sign with combining marks, and that sign; then marks alone, which go."""
+    marked = {}
+    for sign in map(chr, range(0x80, 0x2000)):
+        left = [c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c)]
+        if len(left) == 1 and left[0] != sign:
+            marked[sign] = left[0]
+    marks = "".join(c for c in map(chr, range(0x300, 0x2000)) if unicodedata.combining(c))
+    return "".join(marked) + marks, "".join(marked.values())
+
+
 #: Accented letters and what they fold to.
-ACCENTED, PLAIN = "ÁÉÍÓÚÑÜáéíóúñüÀÈÌÒÙàèìòùÂÊÎÔÛâêîôûÄËÏÖäëïöÇçÃÕãõ", "AEIOUNUaeiounuAEIOUaeiouAEIOUaeiouAEIOaeioCcAOao"
+ACCENTED, PLAIN = _unmarked()
 
 GENERIC = "personaje mencionado en esta escena"
 DEFAULT_VOICE = "narrador en tercera persona, tiempo pasado"

@@ -95,7 +95,8 @@ def ranked(counted: DataFrame, *keys: str, known: DataFrame | None = None, most:
 
 
 def _plain(words: list[str]) -> list[str]:
-    return [w.translate(str.maketrans(L.ACCENTED, L.PLAIN)).lower() for w in words]
+    signs = dict.fromkeys(map(ord, L.ACCENTED)) | dict(zip(map(ord, L.ACCENTED), L.PLAIN))  # marks alone go
+    return [w.translate(signs).lower() for w in words]
 
 
 def character_mentions(df: DataFrame, *keys: str, text_col: str = "text", known: DataFrame | None = None, most: int = 6) -> DataFrame:

@@ -1,6 +1,7 @@
 """Literal rows through the engine's functions and operators."""
 
 import random
+import unicodedata
 import zipfile
 
 import pytest
@@ -167,3 +168,21 @@ def test_sources_and_pipeline(spark, tmp_path):
     assert sorted((r.status, r.translated is None) for r in done.collect()) == [("done", False), ("flagged", True)]
     assert pipeline.finished(done).first().text == "Chapter 1\nEl niño." + "\n" * 6 + L.REVIEW_MARKER + "Chapter 2\nFin."
     assert files.models([{"name": "a"}, {"name": "b", "priority": 1}])[0]["name"] == "b"
+
+
+def test_folding_beyond_latin_1(spark):
+    names = ["Éowyn", "Dvořák", "Nguyễn", "Ἀχιλλεύς", "Йорик", "Zoé", " ŽELJKO ", "Łukasz", "straße", "", None]
+    got = [r.f for r in spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").orderBy("k").select(T.folded(F.col("n")).alias("f")).collect()]
+
+    def plain(name):
+        return "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).lower().strip()
+
+    assert got == [None if n is None else plain(n) for n in names]
+    assert got[:6] == ["eowyn", "dvorak", "nguyen", "αχιλλευς", "иорик", "zoe"]
+
+
+def test_known_names_meet_by_folded_spelling(spark):
+    """A text's decomposed spelling and a known name with marks outside Latin-1 are one name."""
+    counted = spark.createDataFrame([(1, "dvorak", 1, 0, "Dvorak", 0, 0, 0, 0, 0)], "id int, norm string, occurrences long, first_index int, display string, sentence_start_hits long, speech_hits long, action_hits long, title_hits long, genitive_hits long")
+    known = spark.createDataFrame([(1, "Dvořák")], "id int, name string")
+    assert [tuple(r) for r in mentions.ranked(counted, "id", known=known).collect()] == [(1, 1, "Dvořák", 101, 1)]
