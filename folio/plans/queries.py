@@ -151,7 +151,7 @@ _TOK = "CAST(floor(n[{0}] * 1.3::DOUBLE) AS INTEGER)"
 @query(FOLD_SQL.format(parts=_BLOCKS, first=_TOK.format(1), group=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN g + 1 ELSE g END", count=f"CASE WHEN c + {_TOK.format('i + 1')} > 200 THEN {_TOK.format('i + 1')} ELSE c + {_TOK.format('i + 1')} END")
        + " SELECT doc_id, CAST(g AS INTEGER) AS piece, string_agg(l[i], chr(10) || chr(10) ORDER BY i) AS text FROM f GROUP BY doc_id, g")
 def q_pack_lines_200(spark, sf_dir):
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")  # a bare F.trim would take the index for its second argument
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pack.packed(lines, 200, "\n\n")).alias("piece", "text"))
 
 

@@ -53,6 +53,14 @@ def test_packing_keeps_words_and_limits(spark):
     assert [x.text for x in rows.select(pack.merged_small(F.col("s"), 100, 200).alias("m")).first().m] == ["a\n\nb", "c", "d"]
 
 
+def test_packed_lines_keep_digits_and_lose_blanks(spark, tmp_path):
+    """No line loses a sign that happens to be its number, and blanks at its ends go."""
+    texts = [(1, "0 zero\n1 one 1\n  two \n   \n44 four\n6"), (2, "007\n"), (3, None), (4, "  ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in queries.QUERIES["q_pack_lines_200"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(1, 0, "0 zero\n\n1 one 1\n\ntwo\n\n44 four\n\n6"), (2, 0, "007")]
+
+
 def test_mentions(spark):
     texts = [(1, "Entonces Diego dijo que no. El señor Duarte llegó. Fueron los ejércitos de Tempest."), (2, "Sombra. Luego vino Ana y vio a Ana."), (3, None)]
     got = mentions.character_mentions(spark.createDataFrame(texts, "id int, text string"), "id").collect()
