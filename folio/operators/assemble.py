@@ -136,11 +136,13 @@ def fuzzy_hits(sets: DataFrame, group: str, gold: str = "gold", pred: str = "pre
     names = lambda c: sets.select(group, F.explode(F.array_distinct(c)).alias(c)).where(F.col(c).isNotNull()).withColumn("low", F.lower(c))
     p, g = names(pred), names(gold)
     pairs = kept(similar.similar_pairs(p.select(F.col("low").alias("a")), g.select(F.col("low").alias("b"))))
-    edges = p.withColumnRenamed("low", "a").join(pairs, "a").join(g.withColumnRenamed("low", "b"), [group, "b"])
-    empty = p.where("low = ''").select(group, pred).join(g.where("low = ''").select(group, gold), group).withColumn("score", F.lit(1.0))
-    edges = edges.select(group, pred, gold, "score").unionByName(empty).withColumnsRenamed({pred: "pred", gold: "gold"})
-    hits = similar.one_to_one(edges, group, kept).groupBy(group).agg(F.count("*").alias("tp"))
-    return sets.select(group).join(hits, group, "left").select(group, F.coalesce("tp", F.lit(0)).cast("int").alias("tp"))
+    same = F.col(group).eqNullSafe(F.col("_group"))  # a null group is one too
+    of = g.withColumnsRenamed({group: "_group", "low": "b"})
+    edges = p.withColumnRenamed("low", "a").join(pairs, "a").join(of, same & (pairs["b"] == of["b"])).select(group, pred, gold, "score")
+    empty = p.where("low = ''").join(of.where("b = ''"), same).select(group, pred, gold, F.lit(1.0).alias("score"))
+    edges = edges.unionByName(empty).withColumnsRenamed({pred: "pred", gold: "gold"})
+    hits = similar.one_to_one(edges, group, kept).groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("tp"))
+    return sets.select(group).join(hits, same, "left").select(group, F.coalesce("tp", F.lit(0)).cast("int").alias("tp"))
 
 
 def fix_chunks(source_chunks: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ those that make up over a hundredth of it begin no block, they only widen one.
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise, product
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,22 +35,20 @@ def _frequent(b: Column) -> Column:
 
 
 def _longest(a: Column, b: Column, r: Column) -> Column:
-    """(i, j, n) of the longest block of two texts within a range, n 0 if there is none."""
-    inner_a, inner_b = _part(a, r["alo"], r["ahi"]), _part(b, r["blo"], r["bhi"])
-
-    given = F.struct(inner_a.alias("a"), inner_b.alias("b"))
+    """(i, j, n) of the longest block of two texts within a range, n 0 if there is none. Each start is only tried for more than the best before it."""
+    given = F.struct(_part(a, r["alo"], r["ahi"]).alias("a"), _part(b, r["blo"], r["bhi"]).alias("b"), (r["ahi"] - r["alo"]).alias("m"))
 
     def found(x: Column) -> Column:
-        starts = F.transform(
-            F.sequence(F.lit(0), F.length(x["a"]) - 1),
-            lambda i: F.struct(F.size(F.filter(F.sequence(F.lit(1), F.length(x["a"]) - i), lambda n: F.contains(x["b"], F.substring(x["a"], i + 1, n)))).alias("n"), (-i).alias("i")),
-        )
-        return bound(
-            F.array_max(starts),
-            lambda t: F.when(t["n"] == 0, F.struct(r["alo"].alias("i"), r["blo"].alias("j"), F.lit(0).alias("n"))).otherwise(
-                F.struct((r["alo"] - t["i"]).alias("i"), (r["blo"] + F.position(F.substring(x["a"], F.lit(1) - t["i"], t["n"]), x["b"]) - 1).alias("j"), t["n"].alias("n"))
-            ),
-        )
+        has = lambda i, n: F.contains(x["b"], F.substring(x["a"], i + 1, n))
+
+        def step(best: Column, i: Column) -> Column:
+            n = best["n"] + 1
+            more = F.when(n < x["m"] - i, F.size(F.filter(F.sequence(n + 1, x["m"] - i), lambda k: has(i, k)))).otherwise(0)
+            return F.when((i + n <= x["m"]) & has(i, n), F.struct((n + more).alias("n"), i.alias("i"))).otherwise(best)
+
+        best = F.aggregate(F.sequence(F.lit(0), x["m"] - 1), F.struct(F.lit(0).alias("n"), F.lit(0).alias("i")), step)
+        at = lambda t: F.position(F.substring(x["a"], t["i"] + 1, t["n"]), x["b"]) - 1
+        return bound(best, lambda t: F.struct((r["alo"] + t["i"]).alias("i"), (r["blo"] + F.when(t["n"] == 0, 0).otherwise(at(t))).alias("j"), t["n"].alias("n")))
 
     return bound(given, found)
 
@@ -120,16 +121,61 @@ def alike(a: Column, b: Column, least: float = L.SIMILAR) -> Column:
     return (a == b) | (possible & letters & (ratio(a, b) >= least))
 
 
+def _cuts(least: float, most: int = 500) -> tuple[int, list[tuple]]:
+    """(short, cuts): (n, m, kept): the ways to leave of n characters as many as a text of m characters has in common with them at least.
+
+    kept are the runs that stay, as (start, length). short: up to this length the cuts of each n are ``most`` at most.
+    """
+
+    def need(n: int, m: int) -> int | None:
+        return next((k for k in range(min(n, m) + 1) if 2.0 * k / (n + m) >= least), None)
+
+    short = 0
+    while sum(comb(short + 1, k) for m in range(1, short + 2) if (k := need(short + 1, m)) is not None) <= most:
+        short += 1
+    cuts = []
+    for n, m in product(range(1, short + 1), repeat=2):
+        if (k := need(n, m)) is not None:
+            for left_out in combinations(range(n), n - k):
+                ends = [-1, *left_out, n]
+                cuts.append((n, m, [(x + 1, y - x - 1) for x, y in pairwise(ends) if y > x + 1]))
+    return short, cuts
+
+
+def _common(a: DataFrame, b: DataFrame, least: float) -> tuple[int, DataFrame]:
+    """(short, pairs): of the texts a and b of at most ``short`` characters, the pairs with so many characters in common, in order, as the similarity needs; repeated.
+
+    Characters in common blocks are a common subsequence. Each text gives what is left when it loses as many characters
+    as a partner of a given length allows; partners have such a rest in common, so pairs are found by equality.
+    """
+    short, cuts = _cuts(least)
+    runs = max((len(c[2]) for c in cuts), default=0)
+    flat = [(n, m, *[x for run in [*kept, *[(0, 0)] * (runs - len(kept))] for x in run]) for n, m, kept in cuts]
+    fields = ", ".join(["n int, m int", *[f"s{k} int, l{k} int" for k in range(runs)]])
+    table = F.broadcast(a.sparkSession.createDataFrame(flat, fields))  # some thousand rows, the same for all inputs
+
+    def rests(df: DataFrame, c: str, lengths: tuple[str, str]) -> DataFrame:
+        rows = df.select(c, F.length(c).alias("n")).where(F.col("n") <= short).join(table, "n")
+        rest = F.concat(*[F.substring(F.col(c), F.col(f"s{k}") + 1, F.col(f"l{k}")) for k in range(runs)])
+        return rows.select(c, F.xxhash64(*lengths, rest).alias("rest"))  # equal hashes only propose a pair
+
+    return short, rests(a, "a", ("n", "m")).join(rests(b, "b", ("m", "n")), "rest").select("a", "b")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = L.SIMILAR) -> DataFrame:
     """left (a) and right (b), distinct texts of at least one character: the pairs (a, b, score) with score at least ``least``.
 
-    Two texts are as similar at most as their multisets of letters, so these are joined as sets by the usual prefix
+    Short texts (12 characters for 0.84) meet by what is left of them without some characters. With a longer one, two
+    texts are as similar at most as their multisets of letters, so these are joined as sets by the usual prefix
     filter: of a text with n letters all but ``least / (2 - least)`` * n, the rarest first, hold one of any partner's.
-    Each pair is compared once, whatever number of letters it shares.
+    Each pair is compared once, whatever it shares.
     """
     share = least / (2 - least)
-    told = lambda df, c: df.select(F.col(c)).where(F.length(c) > 0).distinct().withColumn("letters", _letters(F.col(c)))
+    told = lambda df, c: df.select(F.col(c)).where(F.length(c) > 0).distinct()
     a, b = told(left, "a"), told(right, "b")
+    short, tried = _common(a, b, least)
+    lettered = lambda df, c: df.where(F.length(c) >= share * (short + 1) - 1e-9).withColumn("letters", _letters(F.col(c)))
+    a, b = lettered(a, "a"), lettered(b, "b")
     letters = a.select(F.explode("letters").alias("letter")).unionAll(b.select(F.explode("letters").alias("letter")))
     often = letters.groupBy("letter").agg(F.count("*").alias("n"))
 
@@ -138,30 +184,32 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float = L.SIMILAR) -
         place = F.row_number().over(W.partitionBy(c).orderBy("n", "letter"))  # within one text
         return rows.withColumn("place", place).where(F.col("place") <= F.col(f"n{c}") - F.ceil(F.lit(share) * F.col(f"n{c}") - 1e-9) + 1).select(c, f"n{c}", "letter")
 
-    close = F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9
-    tried = prefixes(a, "a").join(prefixes(b, "b"), "letter").where(close).select("a", "b").distinct()
-    tried = tried.where(2.0 * F.size(F.array_intersect(_letters(F.col("a")), _letters(F.col("b")))) >= least * (F.length("a") + F.length("b")))
-    return tried.withColumn("score", ratio(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    close = (F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9) & (F.greatest("na", "nb") > short)
+    longer = prefixes(a, "a").join(prefixes(b, "b"), "letter").where(close).select("a", "b")
+    # a fixed number of partitions, as few bytes are much work; generated, the score is no condition that moves into the joins
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = tried.unionByName(longer).repartition(tasks, "a", "b").distinct()
+    shares = 2.0 * F.size(F.array_intersect(_letters(F.col("a")), _letters(F.col("b")))) >= least * (F.length("a") + F.length("b"))
+    score = F.when((F.greatest(F.length("a"), F.length("b")) <= short) | shares, ratio(F.col("a"), F.col("b")))
+    return pairs.select("a", "b", F.explode(F.array(score)).alias("score")).where(F.col("score") >= least)
 
 
-def one_to_one(edges: DataFrame, group: str, kept) -> DataFrame:
+def one_to_one(edges: DataFrame, group: str, kept, rounds: int = 4) -> DataFrame:
     """edges (group, pred, gold, score). Each pred in order takes its best gold that none before it has: rounds of mutual best pairs.
 
     A pair is taken when the gold is the pred's best left and the pred the gold's first left; the first pred of a group
-    always has such a pair, and pairs that are taken at once don't touch each other. ``kept`` cuts the lineage of a round.
+    always has such a pair, and pairs that are taken at once don't touch each other. What is taken stays as the only
+    edge of both, so some rounds go in one plan; ``kept`` cuts the lineage behind them.
     """
-    edges = kept(edges.select(group, "pred", "gold", "score"))
-    out = None
-    while not edges.isEmpty():
-        best = _best(edges, group)
-        first = edges.groupBy(group, "gold").agg(F.min("pred").alias("pred"))
-        pairs = kept(best.join(first, [group, "pred", "gold"]))
-        out = pairs if out is None else out.unionByName(pairs)
-        edges = kept(edges.join(pairs.select(group, "pred"), [group, "pred"], "left_anti").join(pairs.select(group, "gold"), [group, "gold"], "left_anti"))
-    return edges.select(group, "pred", "gold") if out is None else out
-
-
-def _best(edges: DataFrame, group: str) -> DataFrame:
-    """Of each pred the gold of the highest score, the first of equals."""
-    top = edges.groupBy(group, "pred").agg(F.max("score").alias("score"))
-    return edges.join(top, [group, "pred", "score"]).groupBy(group, "pred").agg(F.min("gold").alias("gold"))
+    by_pred, by_gold = W.partitionBy(group, "pred"), W.partitionBy(group, "gold")
+    left, out = kept(edges.select(group, "pred", "gold", "score")), None
+    while not left.isEmpty():
+        for _ in range(rounds):
+            top = F.row_number().over(by_pred.orderBy(F.desc("score"), "gold")) == 1
+            pair = F.col("top") & (F.col("pred") == F.min("pred").over(by_gold))
+            left = left.withColumn("top", top).withColumn("pair", pair).withColumn("gone", F.max("pair").over(by_gold))
+            left = left.withColumn("gone", F.col("gone") | F.max("pair").over(by_pred)).where(F.col("pair") | ~F.col("gone"))
+        left = kept(left.select(group, "pred", "gold", "score", "pair"))
+        pairs = left.where("pair").select(group, "pred", "gold")
+        out, left = pairs if out is None else out.unionByName(pairs), left.where("not pair").drop("pair")
+    return left.select(group, "pred", "gold") if out is None else out

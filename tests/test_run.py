@@ -62,6 +62,21 @@ def test_similar_pairs_and_one_to_one(spark):
     assert out == {k: greedy(g or [], p or []) for k, g, p in sets}
 
 
+def test_similar_pairs_of_short_and_long_texts(spark):
+    """Pairs on both sides of the length from which letters are joined, and few proposals where all words have the same letters."""
+    rng = random.Random(8)
+    words = list({"".join(rng.choice("abc") for _ in range(rng.choice([7, 8, 11, 12, 13, 14, 16]))) for _ in range(90)})
+    other = list({changed(rng, x) for x in words} - {""})
+    frame = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    exp = {(a, b) for a in words for b in other if SequenceMatcher(None, a, b).ratio() >= L.SIMILAR}
+    assert {(r.a, r.b) for r in similar.similar_pairs(frame(words, "a"), frame(other, "b")).collect()} == exp
+    mixed = list({"".join(rng.sample("abcdefghij", 10)) for _ in range(60)})
+    short, pairs = similar._common(frame(mixed, "a"), frame(mixed, "b"), L.SIMILAR)
+    assert short == 12 and pairs.distinct().count() < 2 * len(mixed)  # letters alone would propose all 3,600
+    sets = [(None, ["Marta"], ["Martas"]), (1, ["Marta"], ["Jose"])]
+    assert {r.k: r.tp for r in assemble.fuzzy_hits(spark.createDataFrame(sets, "k int, gold array<string>, pred array<string>"), "k").collect()} == {None: 1, 1: 0}
+
+
 def test_scans(spark):
     rng, n = random.Random(6), 4
     rows = [(g, i, rng.random() < 0.2, rng.random() < 0.5) for g in (1, 2, None) for i in range(90)]
