@@ -14,35 +14,52 @@ _LETTERS = "A-Za-zÁÉÍÓÚÑáéíóúñ"
 
 #: Characters of context that any rule looks at.
 _NEAR = 42
-_WHOLE = r"(?<![\p{L}\p{N}_])" + L.NAME + r"(?![\p{L}\p{N}_])"
+# a capital is looked for first, what stands before it after that
+_WHOLE = rf"{L.NAME[:L.NAME.index(']') + 1]}(?<![\p{{L}}\p{{N}}_].){L.NAME[L.NAME.index(']') + 1:]}(?![\p{{L}}\p{{N}}_])"
 
 
-def name_tokens(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
-    """(keys, name, start, before, after, sentence_start) of each run of letters and digits that is a name.
+def _cut(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+    """(keys, _row, _pos, _piece, name, before, after, sentence_start): a text is cut behind its names; _piece is the length of a name with the gap before it.
 
-    start counts characters from 0; before and after hold the 42 characters around
-    it. A text is cut at its names, so that what is dealt out is a row for each
-    name with the ends of the text between, never the text. Rows with equal or
-    null keys are texts of their own.
+    A name's context is its own and the next gap, or if one is short the pieces on that side: each has four characters
+    at least, so eleven hold the context. Nothing of this needs a shuffle.
     """
     text = F.col(text_col)
-    texts = df.select(*keys, F.monotonically_increasing_id().alias("_row"), text.alias("text"))
-    names, gaps = F.regexp_extract_all("text", F.lit(_WHOLE), F.lit(0)), F.split("text", _WHOLE, -1)
-    rows = texts.select(*keys, "_row", F.posexplode(F.arrays_zip(gaps.alias("gap"), names.alias("name"))).alias("_pos", "t")).select(*keys, "_row", "_pos", "t.gap", "t.name")
-    tail, n = F.right("gap", F.lit(_NEAR)), F.coalesce(F.length("name"), F.lit(0))
+    pieces, names = F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:{_WHOLE}|\z)"), F.lit(0)), F.regexp_extract_all(text, F.lit(_WHOLE), F.lit(0))
+    texts = df.select(*keys, F.monotonically_increasing_id().alias("_row"), pieces.alias("_pieces"), names.alias("_names"))
+    rows = texts.select(*keys, "_row", "_pieces", F.posexplode("_names").alias("_pos", "name"))
+    piece, following, at = F.get("_pieces", F.col("_pos")), F.get("_pieces", F.col("_pos") + 1), F.col("_pos")
+    rows = rows.select(*keys, "_row", "_pos", "_pieces", "name", F.length(piece).alias("_piece"), F.left(piece, F.length(piece) - F.length("name")).alias("gap"), following.alias("next"))
+    joined = lambda start, n: F.array_join(F.slice("_pieces", start, n), "")
+    before = F.when(F.length("gap") >= _NEAR, F.col("gap")).otherwise(F.concat(joined(F.greatest(at - 11, F.lit(0)) + 1, F.least(at, F.lit(11))), "gap"))
+    after = F.when(F.length("next") >= _NEAR, F.col("next")).otherwise(joined(at + 2, F.lit(11)))
     # the last sign before a name; a gap of white space leaves the name before it, or the text's beginning
     last = lambda c: F.regexp_extract(c, r"(?U)(\S)\s*$", 1)
-    sign = F.coalesce(F.nullif(last(tail), F.lit("")), F.when(F.length("gap") > _NEAR, last(F.col("gap"))), F.lit(""))
-    rows = rows.select(*keys, "_row", "_pos", "name", F.length("gap").alias("gap"), n.alias("n"), tail.alias("tail"), F.left("gap", F.lit(_NEAR)).alias("head"), sign.alias("sign"))
-    # each name with its gap has four characters at least, so eleven neighbours hold the context
-    order = W.partitionBy("_row").orderBy("_pos")
-    name = F.coalesce("name", F.lit(""))
-    so_far = F.sum(F.col("gap") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    back = F.array_join(F.collect_list(F.concat("tail", name)).over(order.rowsBetween(-11, -1)), "")
-    ahead = F.array_join(F.collect_list(F.concat("head", name)).over(order.rowsBetween(1, 11)), "")
-    rows = rows.withColumns({"start": so_far.cast("int"), "back": back, "ahead": ahead}).where("name IS NOT NULL")
-    starts = F.col("sign").isin(".", "!", "?") | ((F.col("sign") == "") & (F.col("_pos") == 0))
-    return rows.select(*keys, "name", "start", F.right(F.concat("back", "tail"), F.lit(_NEAR)).alias("before"), F.left("ahead", F.lit(_NEAR)).alias("after"), starts.alias("sentence_start"))
+    sign = F.coalesce(F.nullif(last(F.right("gap", F.lit(_NEAR))), F.lit("")), F.when(F.length("gap") > _NEAR, last(F.col("gap"))), F.lit(""))
+    end = F.right(F.rtrim("gap"), F.lit(1))
+    sign = F.when((end == "") | end.rlike(r"(?U)\s"), sign).otherwise(end)
+    starts = sign.isin(".", "!", "?") | ((sign == "") & (at == 0))
+    return rows.select(*keys, "_row", "_pos", "_piece", "name", F.right(before, F.lit(_NEAR)).alias("before"), F.left(after, F.lit(_NEAR)).alias("after"), starts.alias("sentence_start"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds start, by the sizes of the pieces so far."""
+    so_far = F.sum("_piece").over(W.partitionBy("_row").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("start", (so_far - F.length("name")).cast("int")).drop("_row", "_pos", "_piece")
+
+
+def name_tokens(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+    """(keys, name, start, before, after, sentence_start) of each run of letters and digits that is a name.
+
+    start counts characters from 0; before and after hold the 42 characters around it. Rows with equal or null keys
+    are texts of their own.
+    """
+    return _placed(_cut(df, *keys, text_col=text_col)).select(*keys, "name", "start", "before", "after", "sentence_start")
+
+
+def evidence(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+    """The names with their evidence, which is taken before they are shuffled for their places: no context is dealt out."""
+    return _placed(with_evidence(_cut(df, *keys, text_col=text_col)))
 
 
 def with_evidence(names: DataFrame) -> DataFrame:
@@ -50,15 +67,16 @@ def with_evidence(names: DataFrame) -> DataFrame:
     name = F.col("name")
     before = lambda n: F.right("before", F.lit(n))
     after = lambda n: F.left("after", F.lit(n))
-    word = lambda c: folded(F.regexp_extract(c, f"([{_LETTERS}]+)[^{_LETTERS}]*$", 1))
+    word = lambda c: folded(F.regexp_extract(c, f"(?<![{_LETTERS}])([{_LETTERS}]++)[^{_LETTERS}]*+$", 1))
     verbs = lambda v: "(?:" + "|".join(v) + ")"
     edge = r"(?![\p{L}\p{N}_])"
-    said = F.concat(F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){verbs(L.SPEECH)}\s+"), name, F.lit(edge))
+    spoken = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){verbs(L.SPEECH)}\s+"
+    said = F.concat(F.lit(spoken), name, F.lit(edge))  # a pattern for each name: only tried where there is a verb
     return names.select(
         *[c for c in names.columns if c not in ("before", "after", "sentence_start")],
         folded(name).alias("norm"),
         "sentence_start",
-        (F.regexp_like(before(42), said) | after(42).rlike(rf"(?iu)^\s+{verbs(L.SPEECH)}{edge}")).alias("speech"),
+        ((before(42).rlike(spoken) & F.regexp_like(before(42), said)) | after(42).rlike(rf"(?iu)^\s+{verbs(L.SPEECH)}{edge}")).alias("speech"),
         after(24).rlike(rf"(?iu)^\s+{verbs(L.ACTION)}{edge}").alias("action"),
         word(before(20)).isin(L.TITLES).alias("title"),
         word(before(25)).isin(L.GENITIVE).alias("genitive"),
@@ -100,4 +118,4 @@ def _plain(words: list[str]) -> list[str]:
 
 
 def character_mentions(df: DataFrame, *keys: str, text_col: str = "text", known: DataFrame | None = None, most: int = 6) -> DataFrame:
-    return ranked(stats(with_evidence(name_tokens(df, *keys, text_col=text_col)), *keys), *keys, known=known, most=most)
+    return ranked(stats(evidence(df, *keys, text_col=text_col), *keys), *keys, known=known, most=most)

@@ -263,7 +263,7 @@ def q_name_tokens(spark, sf_dir):
 
 @query(f"WITH {EVIDENCE_SQL} SELECT doc_id, norm, occurrences, first_index, display, sentence_start_hits, speech_hits, action_hits, title_hits, genitive_hits FROM st")
 def q_mention_evidence(spark, sf_dir):
-    return mentions.stats(mentions.with_evidence(mentions.name_tokens(staged(spark, sf_dir), "doc_id")), "doc_id")
+    return mentions.stats(mentions.evidence(staged(spark, sf_dir), "doc_id"), "doc_id")
 
 
 @query(f"WITH {EVIDENCE_SQL}, r AS (SELECT doc_id, display AS name, ({SCORE_SQL})::INTEGER AS score, occurrences, row_number() OVER (PARTITION BY doc_id ORDER BY {SCORE_SQL} DESC, occurrences DESC, first_index, display DESC) AS rank FROM st WHERE {FIT_SQL}) SELECT doc_id, CAST(rank AS INTEGER) AS rank, name, score, occurrences FROM r WHERE rank <= 6")

@@ -1,6 +1,7 @@
 """Literal rows through the engine's functions and operators."""
 
 import random
+import re
 import unicodedata
 import zipfile
 
@@ -189,6 +190,22 @@ def test_folding_beyond_latin_1(spark):
     assert got[:6] == ["eowyn", "dvorak", "nguyen", "αχιλλευς", "иорик", "zoe"]
 
 
+def test_contexts_are_taken_before_the_shuffle(spark):
+    """Contexts and ends of sentences at short, long and blank gaps; what is dealt out for the places has none of them."""
+    texts = ["Ana Ana Ana Eva. Ana", "", "x" * 90 + " Ana" + " " * 60 + "Eva!\u00a0\u2003Bob\nLeo dijo", "\u00a0 Ana", " ".join(["Ana"] * 40), "aAna Ana_ \u00d1and\u00fa?Ana"]
+    exp = []
+    for k, t in enumerate(texts):
+        for m in re.finditer(rf"(?<!\w){L.NAME}(?!\w)", t):
+            head = t[: m.start()].rstrip()
+            exp.append((k, m[0], m.start(), t[max(0, m.start() - 42) : m.start()], t[m.end() : m.end() + 42], head == "" or head[-1] in ".!?"))
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "id int, text string")
+    assert sorted(map(tuple, mentions.name_tokens(df, "id").collect())) == sorted(exp)
+    told = mentions.evidence(df, "id")
+    dealt = [x for x in told._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
+    assert len(dealt) == 1 and "collect_list" not in dealt[0]
+    assert {(r.name, r.start) for r in told.where("speech").collect()} == {("Leo", texts[2].index("Leo"))}
+
+
 def test_known_names_meet_by_folded_spelling(spark):
     """A text's decomposed spelling and a known name with marks outside Latin-1 are one name."""
     counted = spark.createDataFrame([(1, "dvorak", 1, 0, "Dvorak", 0, 0, 0, 0, 0)], "id int, norm string, occurrences long, first_index int, display string, sentence_start_hits long, speech_hits long, action_hits long, title_hits long, genitive_hits long")
