@@ -58,8 +58,8 @@ def name_tokens(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
 
 
 def evidence(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
-    """The names with their evidence, which is taken before they are shuffled for their places: no context is dealt out."""
-    return _placed(with_evidence(_cut(df, *keys, text_col=text_col)))
+    """The names with their evidence, which is taken behind the shuffle: an input of one file is cut by few tasks."""
+    return with_evidence(name_tokens(df, *keys, text_col=text_col))
 
 
 def with_evidence(names: DataFrame) -> DataFrame:

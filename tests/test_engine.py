@@ -191,7 +191,7 @@ def test_folding_beyond_latin_1(spark):
 
 
 def test_contexts_are_taken_before_the_shuffle(spark):
-    """Contexts and ends of sentences at short, long and blank gaps; what is dealt out for the places has none of them."""
+    """Contexts and ends of sentences at short, long and blank gaps; no window gathers lists of neighbours."""
     texts = ["Ana Ana Ana Eva. Ana", "", "x" * 90 + " Ana" + " " * 60 + "Eva!\u00a0\u2003Bob\nLeo dijo", "\u00a0 Ana", " ".join(["Ana"] * 40), "aAna Ana_ \u00d1and\u00fa?Ana"]
     exp = []
     for k, t in enumerate(texts):
