@@ -67,12 +67,16 @@ def scene_digest(text: Column, most: int = L.DIGEST_CHARS) -> Column:
 
 def voice(text: Column, fallback: Column | None = None) -> Column:
     """Person by distinct cue words, tense by occurrences of verbs."""
-    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    hits = lambda cues: sum((F.contains(low, F.lit(c)).cast("int") for c in cues), F.lit(0))
-    count = lambda verbs: F.regexp_count(low, F.lit(r"(?<![\p{L}\p{N}_])(" + "|".join(verbs) + r")(?![\p{L}\p{N}_])"))
-    person = F.when(hits(L.FIRST_PERSON) >= F.greatest(F.lit(2), hits(L.THIRD_PERSON) + 1), "primera persona").otherwise("tercera persona")
-    tense = F.when(count(L.PAST) >= count(L.PRESENT), "tiempo pasado").otherwise("tiempo presente")
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", fallback if fallback is not None else F.lit(None)).otherwise(F.concat(F.lit("narrador en "), person, F.lit(", "), tense))
+    given = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+
+    def told(low: Column) -> Column:
+        hits = lambda cues: sum((F.contains(low, F.lit(c)).cast("int") for c in cues), F.lit(0))
+        count = lambda verbs: F.regexp_count(low, F.lit(r"(?<![\p{L}\p{N}_])(" + "|".join(verbs) + r")(?![\p{L}\p{N}_])"))
+        person = F.when(hits(L.FIRST_PERSON) >= F.greatest(F.lit(2), hits(L.THIRD_PERSON) + 1), "primera persona").otherwise("tercera persona")
+        tense = F.when(count(L.PAST) >= count(L.PRESENT), "tiempo pasado").otherwise("tiempo presente")
+        return F.concat(F.lit("narrador en "), person, F.lit(", "), tense)
+
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", fallback if fallback is not None else F.lit(None)).otherwise(bound(given, told))
 
 
 def style_decisions(notes: Column, most: int = 5) -> Column:

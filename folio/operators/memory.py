@@ -163,11 +163,20 @@ def _entries(table: Column) -> Column:
     return F.coalesce(F.transform(F.map_entries(table), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))), F.array().cast(f"array<{_ENTRY}>"))
 
 
+def _told(rows: Column, begin: Column, step, size: int = 256) -> Column:
+    """What a state (a struct whose field ``out`` is an array) gives out over an array in order. Its ``out`` begins anew with each ``size`` rows, so that adding to it copies no more than these."""
+    slices = T.bound(rows, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / size).cast("int")), lambda k: F.slice(all_, k * size + 1, F.lit(size))))
+    more = lambda s, part: T.bound(F.aggregate(part, s["state"], step), lambda t: F.struct(t.withField("out", begin["out"]).alias("state"), F.concat(s["outs"], F.array(t["out"])).alias("outs")))
+    none = F.slice(F.array(begin["out"]), 1, 0)
+    return F.aggregate(slices, F.struct(begin.alias("state"), none.alias("outs")), more, lambda s: F.flatten(s["outs"]))
+
+
 def accepted_decisions(updates: DataFrame, book: str, order: str) -> DataFrame:
     """(book, order, text, place): the decisions that are new, numbered from 1 within their book.
 
     A decision is new if it is not like one of the last 18 before its chunk nor one accepted in its chunk. A book's
-    decisions are gone through in order, in one aggregate whose buffer is bounded; only their keys are held.
+    decisions are gone through in order, in one aggregate whose buffer is bounded; only their keys are held. Books go
+    to a fixed number of tasks, as few bytes are much work.
     """
     said = updates.select(book, order, F.posexplode(F.transform(F.coalesce("decisions", F.array().cast("array<string>")), T.cleaned_decision)).alias("_said_pos", "_text"))
     said = said.withColumn("_key", T.decision_key(F.col("_text"))).where("_text <> '' and _key <> ''")
@@ -177,10 +186,11 @@ def accepted_decisions(updates: DataFrame, book: str, order: str) -> DataFrame:
 
     def step(s: Column, x: Column) -> Column:
         held = F.when(s["at"].eqNullSafe(x["at"]), s["last"]).otherwise(recent(s["last"], L.MOST_DECISIONS))
-        return T.bound(held, lambda last: F.when(F.exists(last, lambda k: similar.alike(x["key"], k)), F.struct(x["at"].alias("at"), last.alias("last"), s["out"].alias("out"))).otherwise(
+        return T.bound(held, lambda last: F.when(F.array_contains(last, x["key"]) | F.exists(last, lambda k: similar.alike(x["key"], k)), F.struct(x["at"].alias("at"), last.alias("last"), s["out"].alias("out"))).otherwise(
             F.struct(x["at"].alias("at"), F.concat(last, F.array(x["key"])).alias("last"), F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), x["pos"].alias("pos")))).alias("out"))))
 
-    new = said.groupBy(book).agg(F.aggregate(in_order, begin, step, lambda s: s["out"]).alias("out"))
+    tasks = int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    new = said.select(book, order, "_said_pos", "_key").repartition(tasks, book).groupBy(book).agg(_told(in_order, begin, step).alias("out"))
     new = new.select(F.col(book).alias("_book"), F.posexplode("out").alias("_n", "o")).select("_book", F.col("o.at").alias("_at"), F.col("o.pos").alias("_pos"), (F.col("_n") + 1).alias("_place"))
     on = F.col(book).eqNullSafe(F.col("_book")) & (F.col(order) == F.col("_at")) & (F.col("_said_pos") == F.col("_pos"))
     return said.join(new, on).select(book, order, F.col("_text").alias("text"), F.col("_place").alias("place"))
@@ -238,7 +248,7 @@ def _crowded(events: DataFrame, book: str, order: str, most: int) -> DataFrame:
         enters = (x["kind"] == 1) & ((~known & (F.size(s["held"]) < most)) | (known & F.coalesce(better, F.lit(False))))
         return F.when((x["kind"] == 0) & known, state(without, told(False))).when(enters, state(F.map_concat(without, F.create_map(x["name"], x["what"])), told(True))).otherwise(s)
 
-    out = events.groupBy(book).agg(F.aggregate(in_order, begin, step, lambda s: s["out"]).alias("o")).select(book, F.posexplode("o").alias("i", "o")).select(book, "i", "o.*")
+    out = events.groupBy(book).agg(_told(in_order, begin, step).alias("o")).select(book, F.posexplode("o").alias("i", "o")).select(book, "i", "o.*")
     until = F.lead("since").over(W.partitionBy(book, "name").orderBy("i"))
     return out.withColumn("until", until).where("stays").select(book, "name", "what", "since", "until", "pos")
 

@@ -109,16 +109,20 @@ def ratio(a: Column, b: Column) -> Column:
 
 def _letters(text: Column) -> Column:
     """A text's characters, each with the number of equal ones up to it: as a set they are its multiset."""
-    chars = F.array_sort(F.split(text, ""))
-    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c)).cast("string")))
+    numbered = lambda chars: F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c)).cast("string")))
+    return bound(F.sort_array(F.split(text, "")), numbered)
 
 
 def alike(a: Column, b: Column, least: float = L.SIMILAR) -> Column:
-    """Whether the similarity is at least ``least``; what lengths or letters rule out is not looked at further."""
+    """Whether the similarity is at least ``least``; what lengths, edits or letters rule out is not looked at further.
+
+    What stands outside of the common blocks can be deleted and inserted, so no more edits than it has characters part two similar texts.
+    """
     both = F.length(a) + F.length(b)
     possible = 2.0 * F.least(F.length(a), F.length(b)) >= least * both
+    edits = F.call_function("levenshtein", a, b, F.floor((1 - least) * both + 1e-9).cast("int")) >= 0  # -1: more edits than these
     letters = 2.0 * F.size(F.array_intersect(_letters(a), _letters(b))) >= least * both
-    return (a == b) | (possible & letters & (ratio(a, b) >= least))
+    return (a == b) | (possible & edits & letters & (ratio(a, b) >= least))
 
 
 def _cuts(least: float, most: int = 500) -> tuple[int, list[tuple]]:

@@ -147,6 +147,37 @@ def test_fold_is_that_of_one_update_after_the_other(spark, seed):
     assert got == plain_fold(rows)
 
 
+def test_decisions_that_edits_tell_apart_are_not_compared_by_blocks(spark, monkeypatch):
+    """Decisions of the same letters in another order, and those that are held already, need no search for common blocks."""
+    said = ["abcdefgh ijklmnop", "ponmlkji hgfedcba", "abcdefgh ijklmnop", "hgfedcba ponmlkji"]
+    rows = [(1, n, None, {}, {}, [d], "", []) for n, d in enumerate(said)]
+    monkeypatch.setattr(similar, "ratio", lambda a, b: F.raise_error(F.lit("compared")).cast("double"))
+    got = M.accepted_decisions(spark.createDataFrame(rows, UPDATE), "book", "n").orderBy("place").collect()
+    assert [(r.n, r.text, r.place) for r in got] == [(0, said[0], 1), (1, said[1], 2), (3, said[3], 3)]
+
+
+def test_similar_texts_are_within_the_edits(spark):
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcdeé ñ") for _ in range(rng.randint(1, 50)))
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choice(["", "x", "é", "ab"])
+        pairs.append((a, "".join(b)))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similar.alike(F.col("a"), F.col("b")).alias("same")).collect()
+    assert [r.same for r in got] == [SequenceMatcher(None, r.a, r.b).ratio() >= L.SIMILAR for r in got]
+    assert {r.same for r in got} == {True, False}
+
+
+def test_a_book_longer_than_a_slice(spark):
+    rng = random.Random(9)
+    rows = [(b, n, None, {}, {}, ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(3)], "", []) for b, chunks in ((1, 300), (2, 1)) for n in range(chunks)]
+    got = {(r.book, r.n): r.decisions for r in M.fold(spark.createDataFrame(rows, UPDATE), "book", "n").collect()}
+    assert got == {k: m[3] for k, m in plain_fold(rows).items()}
+
+
 @pytest.mark.parametrize("most", [1, 2, 3])
 def test_names_of_a_full_memory(spark, most):
     rows = random_updates(7)
