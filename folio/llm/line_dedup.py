@@ -37,31 +37,37 @@ def _class(n: Column) -> Column:
 
 
 def _segments(edits: int) -> Column:
-    """Segments of lines of a class of lengths, as they can lie in a line of n characters: their hashes, null where they don't fit, and whether the place is that of the line's own segment.
+    """(i, ahead, behind, shift) of all segments: they begin at ``size * ahead + n * behind + shift`` of a line of n characters.
 
     All lines of a class have segments of one size, those of the first half counted
     from the line's beginning, the others from its end. Of two lines within reach
     some segment i is untouched with just i edits before it, so it is shifted by at
     most i places from the beginning and by the other edits from the end.
     """
-    line, n, size, out = F.col("line"), F.col("n"), F.col("size"), []
+    out = []
     for i in range(edits + 1):
         ahead = 2 * i <= edits
         reach = i if ahead else edits - i
-        for shift in range(-reach, reach + 1):
-            start = size * i + shift if ahead else n - size * (edits + 1 - i) + shift
-            key = F.when((start >= 0) & (start + size <= n), F.xxhash64("least", F.lit(i), F.substring(line, start + 1, size)))
-            out.append(F.struct(key.alias("key"), (F.col("mine") if shift == 0 else F.lit(False)).alias("own")))
-    return F.array(*out)
+        out += [(i, i, 0, shift) if ahead else (i, i - edits - 1, 1, shift) for shift in range(-reach, reach + 1)]
+    return F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(row, ("i", "ahead", "behind", "shift"), strict=True)]) for row in out])
 
 
 def _keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, n, own, key): a row for each segment of a line's own class (own), and for each other substring wanted of the classes that a partner's length can have."""
-    classes = F.array_distinct(F.array(*[_class(F.greatest(F.col("n") + d, F.lit(edits + 1))) for d in range(-edits, edits + 1)]))
-    lines = lines.where(F.col("n") > edits).select("h", "line", "n", F.explode(classes).alias("least"))
-    lines = lines.withColumn("size", F.expr(f"least div {edits + 1}").cast("int")).withColumn("mine", F.col("least") == _class(F.col("n")))
-    rows = lines.select("h", "n", F.explode(_segments(edits)).alias("s")).select("h", "n", "s.*")
-    return rows.where("key IS NOT NULL")
+    """(h, n, own, key): a row for each segment of a line's own class (own), and for each other substring wanted of the classes that a partner's length can have.
+
+    Lengths and segments are rows, so a key is one short expression: written out for all of them it is too long to be compiled well.
+    """
+    least, n = F.greatest(F.col("n") - edits, F.lit(edits + 1)), F.col("n")
+    octets = F.when(F.octet_length("line") == n, F.col("line").cast("binary"))  # of a line of single bytes: no search for a character's place
+    lines = lines.where(n > edits).select("h", "line", octets.alias("octets"), "n", least.alias("first"), F.explode(F.sequence(least, n + edits)).alias("m"))
+    lines = lines.select("h", "line", "octets", "n", "first", "m", _class(F.col("m")).alias("least")).where("m = first OR m = least")  # a class once
+    lines = lines.select("h", "line", "octets", "n", "least", F.expr(f"least div {edits + 1}").cast("int").alias("size"), (F.col("least") == _class(n)).alias("mine"), F.explode(_segments(edits)).alias("s"))
+    start = F.col("size") * F.col("s.ahead") + n * F.col("s.behind") + F.col("s.shift")
+    rows = lines.select("h", "line", "octets", "n", "least", "size", (F.col("mine") & (F.col("s.shift") == 0)).alias("own"), F.col("s.i").alias("i"), start.alias("start"))
+    rows = rows.where("start >= 0 AND start + size <= n")
+    part = lambda c: F.substring(c, F.col("start") + 1, F.col("size"))
+    content = F.when(F.col("octets").isNotNull(), part(F.col("octets"))).otherwise(part(F.col("line")).cast("binary"))
+    return rows.select("h", "n", "own", F.xxhash64("least", "i", content).alias("key"))
 
 
 def _characters(lines: DataFrame) -> DataFrame:
@@ -92,6 +98,11 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= most) & (F.substring(a, F.lit(1), (at + step).cast("int")) == F.substring(b, F.lit(1), (at + step).cast("int"))), at + step).otherwise(at))
 
 
+def _common_end(a: Column, b: Column) -> Column:
+    """Length of the common end; the texts are turned once."""
+    return _bound(F.struct(F.reverse(a).alias("a"), F.reverse(b).alias("b")), lambda t: _common(t["a"], t["b"]))
+
+
 #: The value of a band that has no way back under the limit.
 _LOST = 1 << 20
 
@@ -161,20 +172,22 @@ def _if_small(hashes: DataFrame, most: int = 1 << 21) -> DataFrame:
 
 
 def edit_links(lines: DataFrame, edits: int) -> DataFrame:
-    """lines: distinct (node, line). The pairs (a, b) of nodes within ``edits`` edits; of lines of at most ``edits`` characters, all within reach of each other, those with the least node."""
+    """lines: (node, line), equal ones any number of times. The pairs (a, b) of nodes within ``edits`` edits; of lines of at most ``edits`` characters, all within reach of each other, those with the least node."""
     if not 0 <= edits <= 12:
         raise ValueError("edits: 0 to 12")
     lines = lines.select("node", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
     keys = _keys(lines, edits)
     # first the lists in which a line can meet another, by sums; then their rows; letters are counted of their lines only, and then pairs are made
     lists = written(keys.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("h"))).alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "line-lists")
-    met = written(keys.join(_if_small(lists), "key", "left_semi"), "line-keys")
-    tiny, beyond = lines.where(F.col("n") <= edits), lines.where((F.col("n") > edits) & (F.col("n") <= 2 * edits))
+    met = written(keys.join(_if_small(lists), "key", "left_semi").distinct(), "line-keys")
+    few = written(lines.where(F.col("n") <= 2 * edits).distinct(), "line-few")
+    tiny, beyond = few.where(F.col("n") <= edits), few.where(F.col("n") > edits)
     # lines too short for segments: a longer one within reach has at most twice as many characters as edits, one of them in common
     short = written(_characters(tiny).alias("r").join(_characters(beyond).alias("s"), F.col("r.key") == F.col("s.key")).select(F.col("r.h").alias("a"), F.col("s.h").alias("b")).distinct(), "line-short")
     wanted = met.select("h").unionAll(short.select("a")).unionAll(short.select("b")).distinct()
     wanted = written(wanted, "line-wanted")
-    counted = written(lines.join(_if_small(wanted), "h", "left_semi").select("h", "node", "line", _letters(F.col("line")).alias("letters")), "line-letters")
+    counted = lines.join(_if_small(wanted), "h", "left_semi").select("h", "node", "line").distinct()
+    counted = written(counted.select("h", "node", "line", _letters(F.col("line")).alias("letters")), "line-letters")
     letters = met.join(counted.select("h", "letters"), "h")
     r, s = letters.where("own").alias("r"), letters.alias("s")
     on = (F.col("r.key") == F.col("s.key")) & (F.col("r.h") < F.col("s.h")) & (F.abs(F.col("r.n") - F.col("s.n")) <= edits)
@@ -184,7 +197,7 @@ def edit_links(lines: DataFrame, edits: int) -> DataFrame:
     # tables between the steps: else the last filter moves below the joins and every value is computed again at each use
     beyond_begin = F.expr("substring(a_line, begin + 1) AS a_rest"), F.expr("substring(b_line, begin + 1) AS b_rest")
     ahead = written(near.withColumn("begin", _common(F.col("a_line"), F.col("b_line"))).select("a", "b", *beyond_begin), "line-texts")
-    back = _common(F.reverse("a_rest"), F.reverse("b_rest"))
+    back = _common_end(F.col("a_rest"), F.col("b_rest"))
     cut = lambda c: F.expr(f"substring({c}_rest, 1, length({c}_rest) - back) AS {c}_rest")
     near = written(ahead.withColumn("back", back).select("a", "b", cut("a"), cut("b")), "line-rests")
     links = written(near.where(banded_distance(F.col("a_rest"), F.col("b_rest"), edits) <= edits).select("a", "b"), "line-links")
@@ -198,15 +211,14 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     """One row per input row: id, n_lines, n_removed, kept_text (what is left, white lines included)."""
     docs = keyed(df, id_col, text_col)
     lines = docs.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
-    node = F.unhex(F.md5("line"))
-    places = written(lines.select("_id", "_key", "pos", node.alias("node")), "places")
-    texts = written(lines.select("line").distinct().select(node.alias("node"), "line"), "lines")
-    classes = written(components(edit_links(texts, edits)), "classes")
-    forget(texts)
+    # one pass splits the texts, and no shuffle has lines that meet no other
+    places = written(lines.select("_id", "_key", "pos", F.unhex(F.md5("line")).alias("node"), "line"), "places")
+    classes = written(components(edit_links(places.select("node", "line"), edits)), "classes")
     places = places.join(classes, "node", "left").select("_id", "_key", "pos", F.coalesce("component", "node").alias("c"))
     firsts = places.groupBy("c").agg(F.min(F.struct("_id", "_key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("c", "f")
     gone = places.join(firsts, "c").where(~F.struct("_id", "_key", "pos").eqNullSafe(F.col("f")))
     gone = gone.groupBy("_id", "_key").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.hint("shuffle_hash")  # the texts are not sorted
     out = docs.join(gone, same_row(docs, gone), "left").select(docs["_id"], "_text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     parts = F.split("_text", "\n")
     stay = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i))

@@ -331,6 +331,14 @@ def test_short_lines(spark, edits):
     assert [r.kept_text for r in out] == [texts[0], "second", "Share\n??" + "\na" * (edits == 1)]
 
 
+def test_repeated_lines_link_once(spark):
+    """Lines needn't be distinct (no shuffle of all of them): links are those of distinct ones, and a line of wider characters meets one of single bytes."""
+    lines = ["a", "é", "abc", "abé", "the long line of words that ends here", "the long line of words that ends héré", "the löng line of words that ends here", "x" * 64 + "e", "x" * 64, "x" * 61 + "é"]
+    near = {(a, b) for a, b in combinations(range(len(lines)), 2) if distance(lines[a], lines[b]) <= 2}
+    got = [tuple(sorted((r.a, r.b))) for r in edit_links(spark.createDataFrame(list(enumerate(lines)) * 3, "node long, line string"), 2).collect()]
+    assert len(got) == len(set(got)) and set(got) == near and (4, 5) in near and (5, 6) not in near
+
+
 def test_planes():
     ids = np.random.default_rng(0).integers(0, 1 << 32, 77, dtype=np.uint64).astype("<u4")
     for bits in (False, True):
