@@ -129,20 +129,26 @@ def exact_metrics(gold: Column, pred: Column) -> list[Column]:
 
 
 def fuzzy_hits(sets: DataFrame, group: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """name_hits of sets: (group, gold, pred), both arrays of names."""
+    names = lambda c: sets.select(group, F.explode(F.array_distinct(c)).alias("name")).where("name IS NOT NULL")
+    return name_hits(sets.select(group), names(gold), names(pred), group)
+
+
+def name_hits(groups: DataFrame, golds: DataFrame, preds: DataFrame, group: str) -> DataFrame:
     """(group, tp): predicted names, in order, that find a best gold name not taken yet of similarity 0.84 or more.
 
-    sets: (group, gold, pred), both arrays of names. Similar spellings are found once for all groups.
+    golds, preds: (group, name), each once. Similar spellings are found once for all groups that have both.
     """
-    names = lambda c: sets.select(group, F.explode(F.array_distinct(c)).alias(c)).where(F.col(c).isNotNull()).withColumn("low", F.lower(c))
-    p, g = names(pred), names(gold)
-    pairs = kept(similar.similar_pairs(p.select(F.col("low").alias("a")), g.select(F.col("low").alias("b"))))
+    told = lambda df: df.select(F.col(group).alias("_group")).distinct()
     same = F.col(group).eqNullSafe(F.col("_group"))  # a null group is one too
+    names = lambda df, other, c: df.join(told(other), same, "left_semi").select(group, F.col("name").alias(c), F.lower("name").alias("low"))
+    p, g = names(preds, golds, "pred"), names(golds, preds, "gold")
+    pairs = kept(similar.similar_pairs(p.select(F.col("low").alias("a")), g.select(F.col("low").alias("b"))))
     of = g.withColumnsRenamed({group: "_group", "low": "b"})
-    edges = p.withColumnRenamed("low", "a").join(pairs, "a").join(of, same & (pairs["b"] == of["b"])).select(group, pred, gold, "score")
-    empty = p.where("low = ''").join(of.where("b = ''"), same).select(group, pred, gold, F.lit(1.0).alias("score"))
-    edges = edges.unionByName(empty).withColumnsRenamed({pred: "pred", gold: "gold"})
-    hits = similar.one_to_one(edges, group, kept).groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("tp"))
-    return sets.select(group).join(hits, same, "left").select(group, F.coalesce("tp", F.lit(0)).cast("int").alias("tp"))
+    edges = p.withColumnRenamed("low", "a").join(pairs, "a").join(of, same & (pairs["b"] == of["b"])).select(group, "pred", "gold", "score")
+    empty = p.where("low = ''").join(of.where("b = ''"), same).select(group, "pred", "gold", F.lit(1.0).alias("score"))
+    hits = similar.one_to_one(edges.unionByName(empty), group, kept).groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("tp"))
+    return groups.join(hits, same, "left").select(group, F.coalesce("tp", F.lit(0)).cast("int").alias("tp"))
 
 
 def fix_chunks(source_chunks: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from folio.functions import text as T
 from folio.operators import assemble, memory, mentions, pack, routing, segment, state
 from folio.operators.snapshots import StateTable
 from folio.plans import pipeline
-from folio.session import shared, table
+from folio.session import kept, shared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -613,16 +613,17 @@ def q_eval_fuzzy(spark, sf_dir):
     return assemble.fuzzy_hits(name_sets(spark, sf_dir), "source")
 
 
-_WORDS = "s AS (SELECT source, list(DISTINCT w) FILTER (WHERE doc_id % 2 = 0 AND w <> '') AS gold, list(DISTINCT w) FILTER (WHERE doc_id % 2 = 1 AND w <> '') AS pred FROM (SELECT source, doc_id, left(regexp_extract(text, '[\\pL]{6,}'), 12) AS w FROM documents) GROUP BY source)"
+_WORDS = "s AS (SELECT source, list(DISTINCT w) FILTER (WHERE doc_id % 2 = 0 AND w <> '') AS gold, list(DISTINCT w) FILTER (WHERE doc_id % 2 = 1 AND w <> '') AS pred FROM (SELECT source, doc_id, unnest(regexp_extract_all(text, '[\\pL]{6,}')) AS w FROM documents) GROUP BY source)"
 
 
 @query(f"""WITH RECURSIVE {_WORDS}, candidates AS (SELECT source, p, unnest(gold) AS g FROM (SELECT source, unnest(pred) AS p, gold FROM s)),
 pairs AS (SELECT DISTINCT lower(p) AS a, lower(g) AS b FROM candidates WHERE 2.0 * least(length(p), length(g)) >= {L.SIMILAR} * (length(p) + length(g))), {SIMILAR_SQL}, {GREEDY_SQL}""")
 def q_eval_fuzzy_words(spark, sf_dir):
-    """The first long word of each text, of every second text as gold names and of the others as predicted ones."""
-    word = F.nullif(F.left(F.regexp_extract("text", r"[\p{L}]{6,}", 0), F.lit(12)), F.lit(""))
-    pick = lambda n: F.collect_set(F.when(F.col("doc_id") % 2 == n, F.col("w")))
-    return assemble.fuzzy_hits(table(spark, sf_dir, "documents").select("source", "doc_id", word.alias("w")).groupBy("source").agg(pick(0).alias("gold"), pick(1).alias("pred")), "source")
+    """The long words of each text, of every second text as gold names and of the others as predicted ones."""
+    docs = table(spark, sf_dir, "documents")
+    words = kept(docs.select("source", (F.col("doc_id") % 2).alias("side"), F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]{6,}"), F.lit(0))).alias("name")).distinct())
+    pick = lambda n: words.where(F.col("side") == n).select("source", "name")
+    return assemble.name_hits(docs.select("source").distinct(), pick(0), pick(1), "source")
 
 
 @query("""WITH r AS (SELECT doc_id, quality, source FROM labels JOIN documents USING (doc_id))

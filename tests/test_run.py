@@ -77,6 +77,26 @@ def test_similar_pairs_of_short_and_long_texts(spark):
     assert {r.k: r.tp for r in assemble.fuzzy_hits(spark.createDataFrame(sets, "k int, gold array<string>, pred array<string>"), "k").collect()} == {None: 1, 1: 0}
 
 
+def test_fuzzy_words_of_whole_texts(spark, tmp_path):
+    """All long words of a text count, with all their letters."""
+    import duckdb
+
+    from folio.plans import queries
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.choice([6, 7, 9, 12, 13, 15, 18])))
+    words = [word() for _ in range(60)]
+    text = lambda change: " ".join(changed(rng, w) if change else w for w in rng.sample(words, 25))
+    rows = [(0, "a", "Firsts of all\nconstantinopolis"), (1, "a", "Seconds, constantinopolia"), (2, "b", "constantinople"), (3, "b", "constantinopxyzuvw"), (4, None, "Straße Martas"), (5, None, "no Martas"), (6, "c", None), (8, "c", ""), (9, "e", "x")]
+    rows += [(k, "d", text(k % 2)) for k in range(10, 18)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source: r.tp for r in queries.QUERIES["q_eval_fuzzy_words"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(queries.ORACLES["q_eval_fuzzy_words"]).fetchall())
+    assert got["a"] == 1 and got["b"] == 0 and got[None] == 1 and got["c"] == got["e"] == 0 and got["d"] > 10
+
+
 def test_scans(spark):
     rng, n = random.Random(6), 4
     rows = [(g, i, rng.random() < 0.2, rng.random() < 0.5) for g in (1, 2, None) for i in range(90)]
